@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm import decontamination, minhash_dedup, quality_rules, secret_scan, sharding, source_mixing, token_output
+from quarrylens.llm import (
+    decontamination,
+    html_extraction,
+    language_id,
+    line_dedup,
+    minhash_dedup,
+    quality_rules,
+    secret_scan,
+    sharding,
+    source_mixing,
+    token_output,
+)
 from quarrylens.llm.common import scratch_path
 
 
@@ -40,6 +51,22 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shuffle_into_shards(docs).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", grown.cast("int").alias("grown_shard"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_pages(_table(spark, sf_dir, "pages"), keep_columns=["page_id", "url"])
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_languages(_table(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return kept.select(
+        "doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), "dropped",
+        F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("kept_chars"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_crc32"),
+    )
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
     return found.select(F.col("path").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", "spans")
@@ -50,7 +77,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_output, op2_quality_rules, op3_minhash_dedup, op4_source_mixing, op5_sharding, op9_secret_scan, op10_decontamination)
+    f.__name__: f
+    for f in (
+        op1_token_output,
+        op2_quality_rules,
+        op3_minhash_dedup,
+        op4_source_mixing,
+        op5_sharding,
+        op6_html_extraction,
+        op7_language_id,
+        op8_line_dedup,
+        op9_secret_scan,
+        op10_decontamination,
+    )
 }
 
 ORACLES: dict[str, str] = {
