@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +47,37 @@ def fresh_name(taken: list[str], wanted: str) -> str:
     while wanted.lower() in low:
         wanted = "_" + wanted
     return wanted
+
+
+#: Bits of a key filter: 2 MB wherever it goes.
+FILTER_BITS = 1 << 24
+_SPREAD = 2654435761
+
+
+def filter_spot(code: Column, number: Column) -> Column:
+    """The bit of a key of a 64-bit hash and an int."""
+    return F.shiftrightunsigned(code.bitwiseXOR(number.cast("long") * F.lit(_SPREAD)), 13).bitwiseAND(F.lit(FILTER_BITS - 1))
+
+
+def filter_spots(codes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """filter_spot of int64 arrays."""
+    mixed = codes.view(np.uint64) ^ (numbers.astype(np.uint64) * np.uint64(_SPREAD))
+    return (mixed >> np.uint64(13)) & np.uint64(FILTER_BITS - 1)
+
+
+def key_filter(spots: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size of the bits in the one column of spots: keys that are in it may be wanted, others are not.
+
+    At most FILTER_BITS / 64 rows come to the driver.  Where it fills up it rules out less, and
+    the join that follows does the work; it never loses a key.
+    """
+    bit = F.col(spots.columns[0])
+    words = spots.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    for at, bits in words:
+        out[at] = bits
+    return out.view(np.uint64)
+
+
+def in_filter(bitmap: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    return (bitmap[(spots >> np.uint64(6)).astype(np.int64)] >> (spots & np.uint64(63)) & np.uint64(1)).astype(bool)

@@ -14,6 +14,8 @@ Before any variant is made, distinct lines are screened: two lines at distance 1
 their first or their last q words, q the power of two below half the length.  A line that
 shares neither end with another line has no partner, so the screen loses nothing.
 
+Texts are not shuffled to fetch the lines that pass, nor to cut documents that lose no line:
+a bitmap of fixed size says which may be concerned, and exact joins follow on those alone.
 Candidates are verified on their words.  Positions are (document id, hash of the text, line
 number).
 
@@ -28,12 +30,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import settle
+from quarrylens.llm.common import filter_spot, filter_spots, in_filter, key_filter, settle
 
 MIN_WORDS = 3
 NEAR_WORDS = 8
@@ -52,7 +55,7 @@ def screen_keys(words: list[bytes]) -> list[int]:
     n = len(words)
     top = n.bit_length() - 1
     out = []
-    for c in {top, (n - 1).bit_length() - 1}:
+    for c in {top, max(1, (n - 1).bit_length() - 1)}:
         q = 1 << (c - 1)
         out += [xxhash.xxh3_64_intdigest(b" ".join(words[:q]), 2 * c), xxhash.xxh3_64_intdigest(b" ".join(words[-q:]), 2 * c + 1)]
     return [k - (1 << 64) if k >> 63 else k for k in out]
@@ -150,23 +153,23 @@ def _near(texts: DataFrame, firsts: DataFrame) -> DataFrame:
     """Positions of distinct lines that are at distance 1 from an earlier one."""
     ends = firsts.where("keys is not null").select("at", F.explode("keys").alias("key"))
     shared = ends.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    passed = ends.join(shared, "key", "left_semi").select("at.*").distinct()
-    chosen = passed.groupBy(F.col("doc_id").alias("d"), F.col("tag").alias("t")).agg(F.collect_list("line_no").alias("numbers"))  # lines of one document
+    passed = settle(ends.join(shared, "key", "left_semi").select("at.*").distinct(), "screened")
+    sent = texts.sparkSession.sparkContext.broadcast(key_filter(passed.select(filter_spot(F.col("tag"), F.col("line_no")))))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
                 out = []
-                for doc_id, tag, text, numbers in zip(*(c.to_pylist() for c in batch.slice(begin, 500).columns)):
+                for doc_id, tag, text in zip(*(c.to_pylist() for c in batch.slice(begin, 500).columns)):
                     parts = text.encode("utf-8", "surrogatepass").split(b"\n")
-                    out += [(doc_id, tag, n, b" ".join(line_words(parts[n])).decode("utf-8", "surrogatepass")) for n in numbers]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.string()))], [*_POSITION, "line"])
-
-    lines = settle(
-        texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t"))).select("doc_id", "tag", "text", "numbers")
-        .mapInArrow(pick, "doc_id long, tag long, line_no int, line string").distinct(),
-        "screened-lines",
-    )
+                    may = in_filter(sent.value, filter_spots(np.full(len(parts), tag, np.int64), np.arange(len(parts))))
+                    out += [(doc_id, tag, n, b" ".join(line_words(parts[n])).decode("utf-8", "surrogatepass")) for n in np.flatnonzero(may).tolist()]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.string()))], [*_POSITION, "line"])
+
+    found = texts.where("text is not null").select("doc_id", "tag", "text").mapInArrow(pick, "doc_id long, tag long, line_no int, line string")
+    same = [found[c].eqNullSafe(passed[c]) for c in _POSITION]
+    lines = settle(found.join(passed, same, "left_semi").distinct(), "screened-lines")
     rows = _variants(lines)
     best = rows.groupBy("key").agg(*(F.min(F.when(F.col("kind") == k, F.col("at"))).alias(f"k{k}") for k in (0, 1, 2)), F.count("*").alias("n"))
     best = best.where("n > 1 and (k2 is not null or (k0 is not null and k1 is not null))").drop("n")
@@ -204,5 +207,14 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             dropped = pa.array([x or [] for x in batch.column(2).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array(counts, pa.int64()), dropped], ["doc_id", "text", "n_lines", "dropped"])
 
-    marked = texts.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t")), "left").select("doc_id", "text", "dropped")
-    return marked.mapInArrow(cut, "doc_id long, text string, n_lines long, dropped array<int>")
+    gone = settle(gone, "dropped-lines")
+    sent = docs.sparkSession.sparkContext.broadcast(key_filter(gone.select(filter_spot(F.col("t"), F.lit(0)))))
+
+    @F.pandas_udf("boolean")
+    def may_lose(tag: pd.Series) -> pd.Series:
+        return pd.Series(in_filter(sent.value, filter_spots(tag.to_numpy(np.int64), np.zeros(len(tag), np.int64))))
+
+    told = texts.withColumn("may", may_lose("tag"))
+    losing = told.where("may").join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t")), "left").select("doc_id", "text", "dropped")
+    whole = told.where("not may").select("doc_id", "text", F.lit(None).cast("array<int>").alias("dropped"))
+    return losing.union(whole).mapInArrow(cut, "doc_id long, text string, n_lines long, dropped array<int>")
