@@ -117,8 +117,10 @@ def fit(
     seed: int = SEED,
     target_accuracy: float = TARGET_ACCURACY,
 ) -> Model:
-    """Train on (text, language) rows; every fifth calibrates."""
+    """Train on (text, language) rows; every fifth calibrates.  Without rows there are no languages."""
     languages = sorted({lang for _, lang in rows})
+    if not languages:
+        return Model([], np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0, 0.0, buckets, grams)
     rng = np.random.default_rng(seed)
     embed = rng.uniform(-1 / dim, 1 / dim, (buckets, dim))
     weight, bias = np.zeros((dim, len(languages))), np.zeros(len(languages))
