@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NODE = ["module", "func"]
-
+from quarrylens.sources.scratch import settle
 
-def _settle(df: DataFrame, label: str) -> DataFrame:
-    """A table in the shared folder, or a checkpoint where none is named: the loop's lineage ends here."""
-    spark: SparkSession = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        return df.persist()  # one machine without a shared folder
-    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+NODE = ["module", "func"]
 
 
 def one_hop(edges: DataFrame, module: str, func: str) -> DataFrame:
@@ -59,7 +48,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, reverse: bool = Fals
         level = links.join(start, ["from_m", "from_f"], "left_semi").join(seen, NODE, "left_anti")
         level = level.groupBy(*NODE).agg(F.min(F.struct("caller", "callee")).alias("edge")).select(*NODE, F.lit(depth).alias("depth"), "edge.caller", "edge.callee")
         if depth < max_depth:
-            level = _settle(level, "bfs-level")
+            level = settle(level, "bfs-level")
             frontier = level.select(*NODE)
             seen = seen.union(frontier)
         found = level if found is None else found.union(level)

@@ -26,12 +26,12 @@ def _seeds(t):
 
 @query("gr02_bfs_down", f"WITH RECURSIVE $edges, {_bfs_sql('down', 'caller', 'callee', 3)} SELECT * FROM down_out")
 def _(t):
-    return G.bfs(t.edges, _seeds(t), 3).select("module", "func", "depth")
+    return G.bfs(t.edge_table, _seeds(t), 3).select("module", "func", "depth")
 
 
 @query("gr02_bfs_up", f"WITH RECURSIVE $edges, {_bfs_sql('up', 'callee', 'caller', 3)} SELECT * FROM up_out")
 def _(t):
-    return G.bfs(t.edges, _seeds(t), 3, reverse=True).select("module", "func", "depth")
+    return G.bfs(t.edge_table, _seeds(t), 3, reverse=True).select("module", "func", "depth")
 
 
 _BOTH = f"WITH RECURSIVE $edges, {_DOWN}, {_UP}, impacted AS (SELECT *, 'reverse' AS kind FROM up_out UNION ALL SELECT *, 'forward' FROM down_out)"
@@ -39,7 +39,7 @@ _BOTH = f"WITH RECURSIVE $edges, {_DOWN}, {_UP}, impacted AS (SELECT *, 'reverse
 
 @query("gr03_impact_both", f"{_BOTH} SELECT * FROM impacted")
 def _(t):
-    return G.impact(t.edges, _seeds(t)).select("module", "func", "depth", "kind")
+    return G.impact(t.edge_table, _seeds(t)).select("module", "func", "depth", "kind")
 
 
 _NODES = """nodes AS (SELECT module, func, kind FROM (SELECT 'part' AS module, '1' AS func, 0 AS rk, 'changed' AS kind UNION ALL SELECT module, func, CASE kind WHEN 'reverse' THEN 1 ELSE 2 END, kind FROM impacted)
@@ -50,10 +50,10 @@ QUALIFY row_number() OVER (PARTITION BY module, func ORDER BY rk) = 1)"""
 JOIN nodes a ON a.module = e.caller_module AND a.func = e.caller_func JOIN nodes b ON b.module = e.callee_module AND b.func = e.callee_func""")
 def _(t):
     seeds = _seeds(t)
-    nodes = G.impact_nodes(seeds, G.impact(t.edges, seeds))
+    nodes = G.impact_nodes(seeds, G.impact(t.edge_table, seeds))
     a = nodes.select(F.col("module").alias("caller_module"), F.col("func").alias("caller_func"), F.col("kind").alias("from_kind"))
     b = nodes.select(F.col("module").alias("callee_module"), F.col("func").alias("callee_func"), F.col("kind").alias("to_kind"))
-    return t.edges.join(a, ["caller_module", "caller_func"]).join(b, ["callee_module", "callee_func"]).select("from_kind", "to_kind", "caller_module", "caller_func", "callee_module", "callee_func")
+    return t.edge_table.join(a, ["caller_module", "caller_func"]).join(b, ["callee_module", "callee_func"]).select("from_kind", "to_kind", "caller_module", "caller_func", "callee_module", "callee_func")
 
 
 @query("gr05_ego_graph", """WITH $edges SELECT 'self' AS side, 'supplier' AS module, '3' AS func UNION ALL SELECT 'callee', callee_module, callee_func FROM edges WHERE caller_module = 'supplier' AND caller_func = '3'

@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylens.sources.scratch import settle
+
 MODULES = 20  # modules on the ring of module relations
 
 MODELS = [  # name, price in, price out, context, requests and tokens a minute, enabled
@@ -91,6 +93,11 @@ class Tables:
             out = out.union(x)
         return out
 
+    @cached_property
+    def edge_table(self) -> DataFrame:
+        """The edges as a stored table, for searches that read them level by level."""
+        return settle(self.edges, "call-edges")
+
     @cached_property
     def relations(self) -> DataFrame:
         """Module relations: a ring, sync and async by turns, every fifth drawn by hand."""
