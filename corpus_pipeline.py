@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.llm import decontamination, minhash_dedup, quality_rules, source_mixing, token_output
-from quarrylens.llm.common import scratch_path, settle
+from quarrylens.llm.common import fresh_name, scratch_path, settle
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     judged = quality_rules.quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judged.where("kept").select(*docs.columns)
+    return judged.where(F.col(judged.columns[-1])).select(*docs.columns)  # the verdict is last, whatever its name
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,14 +30,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     found = decontamination.find_benchmark_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where("not contaminated").select(*docs.columns)
+    return found.where(~F.col(found.columns[-1])).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, once for each time it takes them."""
     mixed = source_mixing.mix_sources(docs)
-    times = (F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
-    return mixed.where("taken > 0").withColumn("copy", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    size, taken = F.col(mixed.columns[-4]), F.col(mixed.columns[-1])
+    copies = F.sequence(F.lit(1), (taken / F.greatest(size, F.lit(1))).cast("int"))
+    return mixed.where(taken > 0).select(*docs.columns, F.explode(copies).alias(fresh_name(docs.columns, "copy"))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
