@@ -7,7 +7,8 @@ descent in numpy.  After training, a bucket's embedding times the softmax is one
 table of buckets x languages, so a prediction is a mean of table rows over the whole text.
 
 Training takes a bounded sample of labelled rows: at most ``per_language`` texts of a language
-(least seeded hash of the id first) of at most ``longest`` characters, ``most_rows`` in all.
+(least seeded hash of the id first) of at most ``longest`` characters, ``most_rows`` in all,
+from the ``MOST_LANGUAGES`` commonest languages.
 A fifth of the sample is held back to calibrate: a temperature makes scores probabilities,
 and the least score at which accepted texts reach ``target_accuracy`` becomes the limit under
 which a prediction is rejected (``accepted`` false; the prediction itself stays).
@@ -34,6 +35,7 @@ GRAMS = (2, 3, 4)
 PER_LANGUAGE = 600
 MOST_ROWS = 4000
 LONGEST = 20_000
+MOST_LANGUAGES = 1000
 EPOCHS = 8
 RATE = 0.5
 SEED = 11
@@ -169,13 +171,19 @@ def remainder(id_col: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS, longest: int = LONGEST, seed: int = SEED) -> list[tuple[str, str]]:
-    """The bounded sample: at most most_rows texts of at most longest characters come to the driver."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
-        (remainder(F.col("id")) != 0) & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & (F.length("text") <= longest)
+    """The bounded sample: at most most_rows texts of at most longest characters come to the driver.
+
+    A language's share of the hash is set from its count, a few times what is wanted, so only
+    about that many rows leave the scan; among them the least hashes are taken.
+    """
+    hashed = F.xxhash64(F.lit(seed), F.col(id_col))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), hashed.alias("h")).where(
+        (remainder(F.col("id")) != 0) & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN)
     )
-    ranked = rows.select("id", "lang", "text", F.xxhash64(F.lit(seed), "id").alias("h"))
-    # the rank's order prunes inside each task before anything moves
-    best = ranked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "text"))).where(F.col("r") <= per_language)
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    share = F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53)
+    few = rows.join(F.broadcast(counts), "lang").where((share * F.col("n") < 3 * per_language) & (F.length("text") <= longest))
+    best = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "text"))).where(F.col("r") <= per_language)
     return [(r["text"], r["lang"]) for r in best.orderBy("r", "lang").limit(most_rows).select("text", "lang").collect()]
 
 
