@@ -142,7 +142,7 @@ def mix_sources(
         plan.append((s, words, float(goals[s]), times, round(goals[s] - times * words)))
     plans = spark.createDataFrame(plan, f"`{source}` string, `{source_size}` long, `{target}` double, times long, rest long")
 
-    def fit(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         got = fit_budget(frame["len"].to_numpy(), frame["n"].to_numpy(), int(frame["rest"].iloc[0]))
         return pd.DataFrame({"src": frame["src"], "len": frame["len"], "need": got})
 
