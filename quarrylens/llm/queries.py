@@ -62,8 +62,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
     return kept.select(
-        "doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), "dropped",
-        F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("kept_chars"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_crc32"),
+        "doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.array_join("dropped", ",").alias("dropped"),
+        F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("kept_chars"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_md5"),
     )
 
 
@@ -109,4 +109,19 @@ r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT both_ways.
 m AS (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id)
 SELECT sh.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, m.root AS component_id, sh.doc_id = m.root AS kept
 FROM sh JOIN m USING (doc_id)""",
+    "op8_line_dedup": r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, n, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM l),
+k AS (SELECT doc_id, n, ws, len(ws) AS c, array_to_string(ws, ' ') AS s FROM w WHERE len(ws) >= 3),
+f AS (SELECT s, any_value(ws) AS ws, any_value(c) AS c, min((doc_id, n)) AS pos FROM k GROUP BY s),
+v AS (SELECT s, pos, i, array_to_string(list_concat(ws[1:i - 1], ws[i + 1:]), ' ') AS d FROM (SELECT s, ws, pos, unnest(range(1, c + 1)) AS i FROM f WHERE c >= 8)),
+near AS (SELECT a.s FROM v a JOIN v b ON a.d = b.d AND a.i = b.i WHERE b.pos < a.pos
+  UNION SELECT a.s FROM v a JOIN f ON a.d = f.s AND f.c >= 8 WHERE f.pos < a.pos
+  UNION SELECT f.s FROM v a JOIN f ON a.d = f.s AND f.c >= 8 WHERE a.pos < f.pos),
+gone AS (SELECT k.doc_id, k.n FROM k JOIN f USING (s) WHERE (k.doc_id, k.n) > f.pos OR k.s IN (SELECT s FROM near)),
+m AS (SELECT l.doc_id, l.n, l.line, g.n IS NOT NULL AS out FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.n = l.n),
+r AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (out) AS n_dropped, coalesce(string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) FILTER (out), '') AS dropped,
+  coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT out), '') AS kept FROM m GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, coalesce(dropped, '') AS dropped, length(coalesce(kept, '')) AS kept_chars, md5(coalesce(kept, '')) AS kept_md5
+FROM documents d LEFT JOIN r USING (doc_id)""",
 }
