@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: five-word shingles, similarity 0.8, the least doc_id stays."""
     groups = minhash_dedup.near_duplicates(docs)
-    gone = groups.where("not kept").select("doc_id").distinct()
+    gone = groups.where("not kept").select("doc_id").distinct().hint("merge")  # grows with the input: never broadcast
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
