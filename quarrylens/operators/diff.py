@@ -56,5 +56,6 @@ def test_selection(files: DataFrame, names: Sequence[str]) -> DataFrame:
     """Files whose content names any of the functions as a whole word, with those names."""
     if not names:
         return files.where(F.lit(False)).withColumn("funcs", F.array().cast("array<string>"))
-    pattern = r"\b(" + "|".join(re.escape(n) for n in sorted(names)) + r")\b"
+    # ASCII word borders, which Java's own do not keep to
+    pattern = r"(?<![A-Za-z0-9_])(" + "|".join(re.escape(n) for n in sorted(names)) + r")(?![A-Za-z0-9_])"
     return files.withColumn("funcs", F.array_distinct(F.regexp_extract_all("content", F.lit(pattern), 1))).where(F.size("funcs") > 0)
