@@ -11,10 +11,12 @@ The steps, each over all rows:
 1. One pass over the texts: shingle count, fingerprint of the word sequence, band keys.
 2. Equal sequences form one class, led by its least doc_id.  Only leaders go on.
 3. In each band bucket every leader is paired with the least one there (a star, not all pairs).
-   Pairs whose set sizes rule the similarity out are dropped; the others are confirmed on
-   their whole shingle sets.
-4. Buckets that still hold leaders of different components get the pairs across components
-   that have not been tried.
+   Set sizes and parity bitmaps of the sets rule most false pairs out, without loss: two sets
+   differ in as many shingles at least as their bitmaps differ in bits.  The other pairs are
+   confirmed on their whole shingle sets.
+4. Buckets that still hold leaders of different components get every pair across components
+   that has not been tried, under the same tests, so no link that the bands show is lost.  A
+   leader is in thirty buckets with centres of their own, so few are still apart by then.
 5. Confirmed links are reduced by union-find inside each task and joined into components by
    alternating star steps; nothing is gathered on the driver.
 
@@ -28,7 +30,6 @@ and is kept; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,14 +38,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import WORD, settle
+from quarrylens.llm.common import settle
 
 BANDS = 30
 ROWS = 5
 SIMILARITY_PCT = 80
 SHINGLE_WORDS = 5
 
-_WORDS = re.compile(WORD.encode())
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _UNSET = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -56,8 +56,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """The words of a text with A-Z in lower case, as UTF-8."""
-    return _WORDS.findall((text or "").encode("utf-8", "surrogatepass").lower())
+    """The words of a text with A-Z in lower case, as UTF-8; bytes split where [\\x20\\x09-\\x0D] stands."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
 def shingles(words: list[bytes], k: int) -> set:
@@ -128,8 +128,24 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def parity_bits(elements: np.ndarray) -> np.ndarray:
+    """A bitmap of 2 to 4 bits an element, in 64-bit words: a bit is on if an odd number of elements falls on it."""
+    size = max(64, 1 << int(2 * len(elements) - 1).bit_length()) if len(elements) else 64
+    odd = np.bincount((elements >> np.uint64(7)).astype(np.int64) & (size - 1), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def may_be_similar(n: str, m: str, x: str, y: str, pct: int) -> str:
+    """SQL: can sets of sizes n and m with parity bitmaps x and y reach the similarity?  Unknown sizes may."""
+    longer, shorter = f"if(size({x}) >= size({y}), {x}, {y})", f"if(size({x}) >= size({y}), {y}, {x})"
+    folded = f"if(size({x}) = size({y}), {x}, zip_with(slice({longer}, 1, size({shorter})), slice({longer}, 1 + size({shorter}), size({shorter})), (p, q) -> p ^ q))"
+    differ = f"aggregate(zip_with({folded}, {shorter}, (p, q) -> bit_count(p ^ q)), 0, (s, b) -> s + b)"
+    sizes = f"100 * least({n}, {m}) >= {int(pct)} * greatest({n}, {m})"
+    return f"coalesce({sizes} and (size({x}) > 2 * size({y}) or size({y}) > 2 * size({x}) or {100 + int(pct)} * {differ} <= {100 - int(pct)} * ({n} + {m})), true)"
+
+
 def sketch(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, print (of the word sequence, null without words), keys (of the bands) of each row."""
+    """doc_id, n_shingles, print (of the word sequence, null without words), keys (of the bands), bits (parity bitmap) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
@@ -153,21 +169,19 @@ def sketch(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
         signatures = superminhash(np.concatenate([x[1] for x in part]), np.repeat(np.arange(len(part)), sizes), len(part), bands * rows)
         keys = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(signatures, bands, rows).ravel()), bands).cast(pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays(
-            [pa.array([x[0] for x in part], pa.int64()), pa.array(sizes, pa.int64()), pa.array([x[2] for x in part], pa.string()), keys],
-            ["doc_id", "n_shingles", "print", "keys"],
+            [pa.array([x[0] for x in part], pa.int64()), pa.array(sizes, pa.int64()), pa.array([x[2] for x in part], pa.string()), keys, pa.array([parity_bits(x[1]) for x in part], pa.list_(pa.int64()))],
+            ["doc_id", "n_shingles", "print", "keys", "bits"],
         )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, print string, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, print string, keys array<long>, bits array<long>")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, k: int, pct: int) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, k: int, pct: int) -> DataFrame:
     """Those of the pairs (a, b) whose whole shingle sets reach the similarity.
 
-    Only texts of documents in pairs are moved: members first, then centres, whose side may be
-    skewed and is split by adaptive execution.
+    Members' texts are joined first, then centres', whose side may be skewed and is split by
+    adaptive execution.
     """
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = settle(docs.join(wanted, "doc_id", "left_semi"), "near-texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(
         texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a"
     )
@@ -218,22 +232,20 @@ def union_find(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, root: the least node reachable from each node that has a link with a lesser one.
 
-    Alternates large-star and small-star steps over tables in the shared folder until nothing
-    changes; a step moves one row for each link.
+    Alternates large-star and small-star steps over tables in the shared folder until every node
+    has one root and no root has another; a step moves one row for each link.
     """
     now = settle(union_find(links).distinct(), "links")
-    mark = None
     while True:
+        ends = now.select(F.col("a").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("parent")).union(now.select("b", F.lit(0), F.lit(1)))
+        if not ends.groupBy("x").agg(F.sum("child").alias("children"), F.max("parent").alias("parent")).where("children + parent > 1").agg(F.count("*")).first()[0]:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("x"))
-        now = settle(union_find(small.select("x.a", "x.b").where("a <> b")).distinct(), "links")
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == mark:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = seen
+        now = settle(small.select("x.a", "x.b").where("a <> b").distinct(), "links")
 
 
 def near_duplicates(
@@ -251,37 +263,39 @@ def near_duplicates(
     every = settle(sketch(docs, shingle_words, bands, rows), "sketches")
     named = every.where("print is not null and doc_id is not null")
     leads = settle(
-        named.groupBy("print").agg(F.min("doc_id").alias("lead"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "leaders"
+        named.groupBy("print").agg(F.min("doc_id").alias("lead"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "leaders"
     )
     # a doc_id that stands on rows of several classes joins them
     placed = named.join(leads.select("print", "lead"), "print").select("doc_id", "lead")
     torn = placed.groupBy("doc_id").agg(F.min("lead").alias("a"), F.max("lead").alias("z")).where("a <> z").select("doc_id", "a")
     repeated = placed.join(torn, "doc_id").where("a <> lead").select("a", F.col("lead").alias("b")).distinct()
 
-    entry = leads.select("lead", "n", F.explode("keys").alias("key"))
+    entry = leads.select("lead", F.explode("keys").alias("key"))
     centre = entry.groupBy("key").agg(F.min("lead").alias("a"), F.count("*").alias("size")).where("size > 1").select("key", "a")
-    fits = f"coalesce(100 * least(n, m) >= {int(similarity_pct)} * greatest(n, m), true)"
-    sizes = leads.groupBy("lead").agg(F.when(F.min("n") == F.max("n"), F.min("n")).alias("m"))
-    star = settle(
-        entry.join(centre, "key").where("lead <> a").select("a", F.col("lead").alias("b"), "n").distinct()
-        .join(sizes.withColumnRenamed("lead", "a"), "a").where(fits).select("a", "b"),
-        "star-pairs",
-    )
-    linked = settle(confirm(star, docs, shingle_words, similarity_pct).union(repeated), "star-links")
-    root = components(linked)
-
-    member = entry.join(root.withColumnRenamed("node", "lead"), "lead", "left").select("key", "lead", "n", F.coalesce("root", "lead").alias("root"))
+    shared = settle(entry.join(centre, "key"), "shared-buckets")
+    wanted = shared.select(F.col("lead").alias("doc_id")).distinct()  # grows with the input: never broadcast
+    texts = settle(docs.join(wanted.hint("merge"), "doc_id", "left_semi"), "near-texts")
+    own = leads.join(wanted.hint("merge"), F.col("lead") == F.col("doc_id"), "left_semi")
+    # a leader of two classes has no single set: nothing is ruled out for it
+    facts = settle(own.groupBy("lead").agg(F.when(F.count("*") == 1, F.first("n")).alias("n"), F.when(F.count("*") == 1, F.first("bits")).alias("x")), "set-facts")
+    other_facts = facts.toDF("lead_2", "m", "y")
+    similar = may_be_similar("n", "m", "x", "y", similarity_pct)
+
+    star = shared.where("lead <> a").select("lead", F.col("a").alias("lead_2")).distinct().join(facts, "lead").join(other_facts, "lead_2").where(similar)
+    tried = settle(star.select(F.col("lead_2").alias("a"), F.col("lead").alias("b")), "star-pairs")
+    links = settle(confirm(tried, texts, shingle_words, similarity_pct).union(repeated), "star-links")
+    root = components(links)
+
+    member = shared.select("key", "lead").join(root.withColumnRenamed("node", "lead"), "lead", "left").withColumn("root", F.coalesce("root", "lead"))
     mixed = member.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("size > 2 and x < y").select("key")
-    inside = settle(member.join(mixed, "key", "left_semi"), "mixed-buckets")
-    other = inside.select("key", F.col("lead").alias("lead_2"), F.col("n").alias("m"), F.col("root").alias("root_2"))
-    across = (
-        inside.join(other, "key").where(f"root < root_2 and {fits}")
-        .select(F.least("lead", "lead_2").alias("a"), F.greatest("lead", "lead_2").alias("b")).distinct()
-        .join(star, ["a", "b"], "left_anti")
-    )
-    more = confirm(settle(across, "cross-pairs"), docs, shingle_words, similarity_pct)
-    root = components(linked.union(settle(more, "cross-links")))
+    full = settle(member.join(mixed, "key", "left_semi").join(facts, "lead"), "mixed-buckets")  # buckets of one component are done
+    across = full.join(full.toDF("lead_2", "key", "root_2", "m", "y"), "key").where(f"root < root_2 and {similar}")
+    across = across.select(F.least("lead", "lead_2").alias("a"), F.greatest("lead", "lead_2").alias("b")).distinct()
+    pairs = settle(across.join(tried, ["a", "b"], "left_anti"), "cross-pairs")
+    involved = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    more = confirm(pairs, texts.join(involved, "doc_id", "left_semi"), shingle_words, similarity_pct)
+    root = components(root.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more))
 
     label = leads.join(root.withColumnRenamed("node", "lead"), "lead", "left").select("print", F.coalesce("root", "lead").alias("component"))
-    out = every.join(label, "print", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = every.join(label, "print", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
