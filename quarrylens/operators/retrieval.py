@@ -50,11 +50,9 @@ def expand(recalled: DataFrame, docs: DataFrame, relations: DataFrame, each: int
     """Newest documents of modules related to those recalled, at most `each` times their number in all."""
     have = recalled.select(F.col("module_name").alias("module")).distinct()
     wanted = related_modules(have, relations).join(have, "module", "left_anti")
-    count = wanted.agg((F.count("*") * each).alias("most"))
+    most = each * wanted.count()  # the cap needs the number of modules before the top-k is planned
     found = docs.join(F.broadcast(wanted.withColumnRenamed("module", "module_name")), "module_name", "left_semi")
-    # the greatest number of modules bounds the top-k; the exact cap follows
-    top = found.orderBy(F.desc("id")).limit(each * 1000)
-    return ranked(top, F.desc("id")).crossJoin(F.broadcast(count)).where("pos < most").drop("most")
+    return ranked(found.orderBy(F.desc("id")).limit(most), F.desc("id"))
 
 
 def newest_by(docs: DataFrame, *keys: str) -> DataFrame:
