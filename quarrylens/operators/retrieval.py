@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions import scalars as S
 from quarrylens.operators import listing
+from quarrylens.sources.scratch import settle
 
 VECTOR_K, KEYWORD_K, EXPAND_EACH = 10, 5, 5
 FIELD_MOST, CONTEXT_BYTES = 300, 6000
@@ -70,7 +71,7 @@ def recall(docs: DataFrame, vectors: DataFrame, query: DataFrame, word: str) ->
 def hybrid(docs: DataFrame, vectors: DataFrame, query: DataFrame, word: str, relations: DataFrame) -> DataFrame:
     """Recalled documents in order, then those of related modules: pos runs through."""
     ids = recall(docs, vectors, query, word)
-    got = load_in_order(ids.select("id", "pos"), docs).withColumn("grp", F.lit(0))
+    got = settle(load_in_order(ids.select("id", "pos"), docs).withColumn("grp", F.lit(0)), "recalled")  # a dozen rows, read three times
     more = expand(got, docs, relations).withColumn("grp", F.lit(1))
     both = got.unionByName(more)
     return both.withColumn("pos", F.row_number().over(Window.orderBy("grp", "pos")) - 1)  # a few dozen rows
