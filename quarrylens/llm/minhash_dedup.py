@@ -156,12 +156,12 @@ def sketch(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 words = words_of(text)
                 part.append((doc_id, shingle_hashes(words, k, known), xxhash.xxh3_128_hexdigest(b" ".join(words)) if words else None))
                 size += len(part[-1][1])
-                if size > 100_000:
+                if size > 60_000:
                     yield emit(part)
                     part, size = [], 0
             if part:
                 yield emit(part)
-            if len(known) > 500_000:
+            if len(known) > 200_000:
                 known.clear()
 
     def emit(part: list[tuple]) -> pa.RecordBatch:
@@ -294,6 +294,7 @@ def near_duplicates(
     pairs = settle(across.join(tried, ["a", "b"], "left_anti"), "cross-pairs")
     involved = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     more = confirm(pairs, texts.join(involved, "doc_id", "left_semi"), shingle_words, similarity_pct)
+    more = settle(more, "cross-links")  # a second Python step in one stage would double its workers
     root = components(root.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more))
 
     label = leads.join(root.withColumnRenamed("node", "lead"), "lead", "left").select("print", F.coalesce("root", "lead").alias("component"))
