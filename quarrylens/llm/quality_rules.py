@@ -106,7 +106,7 @@ def count_grams(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: st
     trusted = (
         labels.select(F.col(id_col).alias("id"), "quality", "toxic").groupBy("id")
         .agg(F.min(F.col("quality").eqNullSafe(1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("trusted"))
-        .where("trusted and id is not null")
+        .where("trusted and id is not null").hint("merge")  # grows with the labels: never broadcast
     )
     marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(trusted, "id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
 
