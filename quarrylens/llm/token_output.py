@@ -51,11 +51,12 @@ class ChunkEncoder:
 
     The pre-tokenizer of byte-level BPE always ends a piece before a space that a
     non-space follows, so encoding is the concatenation of the encodings of the chunks cut
-    there.  Chunks met before come from a table of at most ``most`` entries; the others of
-    a batch are encoded together, and cut where a token begins with the space marker.
+    there.  Chunks met before come from two generations of a table, each of about ``most``
+    entries; the others of a batch are encoded together, and cut where a token begins with
+    the space marker.
     """
 
-    def __init__(self, tokenizer_json: str, most: int = 1_000_000, longest: int = 48, end_id: int = END_ID):
+    def __init__(self, tokenizer_json: str, most: int = 500_000, longest: int = 48, end_id: int = END_ID):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
@@ -67,6 +68,7 @@ class ChunkEncoder:
             self.leads[i] = token.startswith("Ġ")
         self.most, self.longest = most, longest
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -92,28 +94,24 @@ class ChunkEncoder:
         seen: set[str] = set()
         for chunks in cut:
             seen.update(chunks[1:])
-        new = [c for c in seen if c not in self.known]
-        once = {}
-        if new:
-            long = [c for c in new if len(c) > self.longest]
-            once = dict(zip(long, self._whole([" " + c for c in long])))
-            short = self._learn([c for c in new if len(c) <= self.longest])
-            if len(self.known) + len(short) > self.most:
-                if len(short) <= self.most:
-                    once |= {c: self.known[c] for c in seen if c in self.known}
-                    self.known = {}
-                else:
-                    once |= short
-                    short = {}
-            self.known.update(short)
+        known, old = self.known, self.old
+        new = [c for c in seen if c not in known]
+        back = {c: old[c] for c in new if c in old}
+        new = [c for c in new if c not in back]
+        long = [c for c in new if len(c) > self.longest]
+        once = dict(zip(long, self._whole([" " + c for c in long])))
+        back |= self._learn([c for c in new if len(c) <= self.longest])
+        if len(known) + len(back) > self.most:  # what is still in use goes on to the next generation
+            self.old, self.known = known, {c: known[c] for c in seen if c in known}
+            known = self.known
+        known.update(back)
         heads = [c for c in {chunks[0] for chunks in cut} if c not in self.heads]
         if len(self.heads) + len(heads) > self.most // 10:
             self.heads = {}
             heads = list({chunks[0] for chunks in cut})
         self.heads.update(zip(heads, self._whole(heads)))
-        get = self.known.__getitem__
+        get = known.__getitem__
         if once:
-            known = self.known
 
             def get(c: str) -> bytes:
                 return once[c] if c in once else known[c]
