@@ -1,4 +1,5 @@
 from quarrylens.operators import parsers as P
+from quarrylens.plans import catalogue
 
 
 def go(body):
@@ -80,3 +81,16 @@ def test_json_candidates():
 def test_parse_files(spark):
     files = spark.createDataFrame([("a.go", "package a\nfunc F() { g() }"), ("b.go", None)], "path string, content string")
     assert [(r.path, r.func_name, list(r.callee_simple)) for r in P.parse_files(files, "go").collect()] == [("a.go", "F", ["g"])]
+
+
+def test_queries_parse_the_whole_text(spark, tmp_path, monkeypatch):
+    texts = ["one\ntwo \"q\" 'p' \\\nlast", "", None]
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    php = {(r.path, r.func_name): r.code_chars for r in catalogue.QUERIES["ud02_php_functions"](spark, str(tmp_path)).collect()}
+    assert [php[f"s/en/{i}.php", "one"] for i in range(3)] == [len("function one($a) { return ''; }") + len(t or "") for t in texts]
+    parsed = []
+    monkeypatch.setattr(P, "parse_files", lambda files, language, parse=P.parse_files: parsed.append(files) or parse(files, language))
+    assert catalogue.QUERIES["ud01_go_functions"](spark, str(tmp_path)).count() == 6
+    bodies = {r.path: r.content for r in parsed[0].collect()}
+    assert "Println(\"one two  q  'p'   last\")" in bodies["s/en/0.go"] and 'Println("")' in bodies["s/en/2.go"]
