@@ -1,7 +1,9 @@
 """HTML extraction by line-block distribution.
 
 1. Strip markup.  Tags become lines: each block element is one line of text, with its length
-   less the length of its links.  Scripts, styles, forms, the head and hidden elements go, and
+   less the length of its links.  Scripts, styles, forms, the head and hidden elements go (the
+   head ends where body text or an element not allowed in it begins, buttons, media and such at
+   their end tag; without one, a list of options or a drawing holds only its own elements), and
    so do elements that say by tag, class, id or role that they are menus, headers, footers,
    sidebars, notices, adverts or reader comments.  Where one was cut out, and at the borders of
    an article or main element, ``WINDOW`` empty lines stand.
@@ -38,7 +40,7 @@ RUN_SHARE_PCT = 30
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|svg|math|iframe|object|canvas|audio|video|select|button|head)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|textarea|title|iframe)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|</?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)"
     r"|</?(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
@@ -67,13 +69,21 @@ _BY_ELEMENT, _BY_NAME = 2, 1
 #: Closing one of these does not reach beyond a sectioning element.
 _SECTIONS = frozenset("article main nav aside header footer section form body td th table".split())
 _SELF_ENDING = frozenset("p li dt dd tr td th option".split())
+#: Cut without a gap, so that the text around them stays one line.
+_HELD = frozenset("noscript template svg math object canvas audio video select button".split())
+_SINGLE = frozenset("select button".split())  # these do not nest: the next start closes the one before
+_FOREIGN = frozenset("svg math".split())
+#: Without an end tag these hold only their own elements, and end before any other; the rest of _HELD hold nothing then.
+_OWN_ONLY = frozenset("select svg math".split())
+_IN_SELECT = frozenset("option optgroup hr".split())
+_HEAD_TAGS = frozenset("head html base basefont bgsound link meta noscript template".split())
 
 
 class _Open:
-    __slots__ = ("main", "cut", "name")
+    __slots__ = ("main", "cut", "name", "held", "loose")
 
-    def __init__(self, name: str, cut: bool, main: int):
-        self.name, self.cut, self.main = name, cut, main
+    def __init__(self, name: str, cut: bool, main: int, held: bool = False, loose: bool = False):
+        self.name, self.cut, self.main, self.held, self.loose = name, cut, main, held, loose
 
 
 def _facts(attributes: str) -> tuple[set[str], str, bool]:
@@ -118,31 +128,65 @@ class _Lines:
         self.lines += [None] * WINDOW
 
 
+def _closed(tokens: list[re.Match], page: str) -> set[int]:
+    """Where those elements of _HELD start that have an end tag of their own."""
+    out: set[int] = set()
+    waiting: dict[str, list[int]] = {}
+    for m in tokens:
+        name = (m["name"] or m["name2"] or "").lower()
+        if name in _HELD:
+            starts = waiting.setdefault(name, [])
+            if page.startswith("</", m.start()):
+                if starts:
+                    out.add(starts.pop())
+            elif not (name in _FOREIGN and (m["attrs"] or m["attrs2"] or "").endswith("/")):
+                if name in _SINGLE:
+                    starts.clear()
+                starts.append(m.start())
+    return out
+
+
 def _strip(page: str) -> list[tuple[str, int, int] | None]:
     out = _Lines()
+    tokens = list(_TOKEN.finditer(page))
+    closed = _closed(tokens, page)
     stack: list[_Open] = [_Open("", False, 0)]
     in_link = False
     at = 0
 
+    whole = loose = 0  # open elements of _HELD with and without an end tag
+
     def leave(until: int) -> None:
+        nonlocal whole, loose
         while len(stack) > until:
             gone = stack.pop()
+            if gone.held and gone.name != "head":
+                whole, loose = whole - (not gone.loose), loose - gone.loose
             below = stack[-1]
-            if gone.cut and not below.cut or gone.main > below.main:
+            if (gone.cut and not below.cut or gone.main > below.main) and not gone.held:
                 out.gap()
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at and not stack[-1].cut:
-            out.text(page[at : m.start()], in_link)
+    for m in tokens:
+        if m.start() > at:
+            if stack[-1].name == "head" and not page[at : m.start()].isspace():
+                leave(len(stack) - 1)
+            if not stack[-1].cut:
+                out.text(page[at : m.start()], in_link)
         at = m.end()
         name = (m["name"] or m["name2"] or "").lower()
         if not name:
-            if m["raw"] and m["raw"].lower() == "head":
-                out.end(stack[-1].main)
             continue
         closing = page.startswith("</", m.start())
+        if stack[-1].name == "head" and (name in ("body", "html") if closing else name not in _HEAD_TAGS):
+            leave(len(stack) - 1)
+        while loose and not closing and not whole:
+            while not stack[-1].held:
+                leave(len(stack) - 1)
+            if name in _IN_SELECT if stack[-1].name == "select" else name not in _BLOCKS and name not in _INLINE:
+                break
+            leave(len(stack) - 1)
         top = stack[-1]
-        if name == "a":
+        if name == "a" and not whole and not loose:
             in_link = not closing
         if name == "br" or name == "wbr":
             if name == "br" and not top.cut:
@@ -157,19 +201,32 @@ def _strip(page: str) -> list[tuple[str, int, int] | None]:
                 if stack[i].name == name:
                     leave(i)
                     break
-                if stack[i].name in _SECTIONS and name not in _SECTIONS:
+                if stack[i].held and not stack[i].loose or stack[i].name in _SECTIONS and name not in _SECTIONS and name not in _HELD:
                     break
             continue
         attributes = m["attrs"] or m["attrs2"] or ""
+        if name == "head":
+            if len(stack) == 1 or top.name == "html":
+                out.end(top.main)
+                stack.append(_Open(name, True, 0, held=True, loose=True))
+            continue
+        if name in _HELD:
+            if m.start() in closed:
+                stack.append(_Open(name, True, 0, held=True))
+                whole += 1
+            elif name in _OWN_ONLY and not (name in _FOREIGN and attributes.endswith("/")):
+                stack.append(_Open(name, True, 0, held=True, loose=True))
+                loose += 1
+            continue
         if attributes.endswith("/") and name not in _BLOCKS:
             continue
         if name in _SELF_ENDING or name in _BLOCKS:
-            closes = {"p"} if name not in ("li", "dt", "dd", "tr", "td", "th") else {"p", name}
+            closes = {"p"} if name not in ("li", "dt", "dd", "tr", "td", "th", "option") else {"p", name}
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name in closes:
                     leave(i)
                     break
-                if stack[i].name in _BLOCKS:
+                if stack[i].name in _BLOCKS or stack[i].held:
                     break
             top = stack[-1]
         parts, role, hidden = _facts(attributes) if attributes else (set(), "", False)
@@ -185,6 +242,8 @@ def _strip(page: str) -> list[tuple[str, int, int] | None]:
             out.end(top.main)
             out.gap()
         stack.append(_Open(name, cut, 0 if cut else main))
+    if stack[-1].name == "head" and at < len(page) and not page[at:].isspace():
+        leave(len(stack) - 1)
     if at < len(page) and not stack[-1].cut:
         out.text(page[at:], in_link)
     out.end(stack[-1].main)

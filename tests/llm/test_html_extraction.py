@@ -62,3 +62,19 @@ def test_defined_cases(spark):
 def test_unclosed_markup_takes_linear_time():
     assert main_text("<div " * 20_000 + "x") == "" and isinstance(main_text("<a title='" * 5000), str)
     assert main_text("<b>" * 50_000 + "text") == "text"
+
+
+@pytest.mark.parametrize("head", ["<html><head><title>x</title><body>", "<head><meta charset=utf-8><noscript><img src=x></noscript><link rel=a>", "<head><title>x</title></head>"])
+def test_head_ends_without_its_end_tag(head):
+    assert main_text(head + ARTICLE) == TEXT and main_text(head + "Some text") == "Some text"
+
+
+@pytest.mark.parametrize("name", "button select svg math object audio video canvas noscript template".split())
+def test_unclosed_elements_swallow_no_article(name):
+    for page in (f"<body><{name} id=x>{ARTICLE}", f"<div><{name}></div>{ARTICLE}<{name}>Go</{name}>", ARTICLE.replace("<p>Fish", f"<{name}><p>Fish")):
+        assert main_text(page) == TEXT
+    assert main_text(f"<article><p>One <{name}>x<option>y</{name}> two <{name}></{name}>three</article>") == "One two three"
+
+
+def test_held_elements_take_linear_time():
+    assert main_text("<select>" + "<option>x" * 50_000 + "</select>text") == "text" and main_text("<svg>" * 50_000 + "<p>text") == "text"
