@@ -6,9 +6,10 @@ all its documents as many whole times as fit.  The rest of its budget is fitted
 counts of documents by exact length:
 
 1. each length gives the same fraction of its documents, rounded down;
-2. longest lengths first, more are given while they fit, down to a remainder of a few lengths;
-3. bounded-knapsack dynamic programming over what is left brings the remainder to the
-   smallest that any choice of lengths reaches.
+2. longest lengths first, more are given while ``DP_WORDS`` stay open;
+3. bounded-knapsack dynamic programming fills what is left.  Where that does not reach the
+   lengths' common divisor, step 2 is undone and the programme runs over all that step 1 left,
+   so the remainder is the smallest that any choice on top of step 1 reaches.
 
 Then each length gives its number of documents in order of a seeded hash.  A length's
 documents are counted by slices of the hash; slices before the last one needed are taken
@@ -37,7 +38,7 @@ BUDGET_PCT = 150
 MOST_TIMES = 2
 SEED = 7
 SLICES = 64
-#: The dynamic programme runs over remainders up to this many words; the greedy step goes below it first.
+#: The greedy step leaves this many words to the dynamic programme.
 DP_WORDS = 1 << 16
 
 
@@ -69,31 +70,51 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: i
         return counts
     take = np.array([int(c) * budget // total for c in counts], np.int64)
     left = budget - int((lengths * take).sum())
-    longest_first = np.argsort(-lengths, kind="stable")
-    for i in longest_first:
-        if left <= dp_words:
-            break
-        more = min(int(counts[i] - take[i]), left // int(lengths[i]))
-        # leave room for the programme to choose
-        take[i] += more
-        left -= more * int(lengths[i])
+    spare = counts - take
+    useful = (spare > 0) & (lengths > 0)
+    least = left % int(np.gcd.reduce(lengths[useful])) if useful.any() else left  # no choice leaves less
     if left > dp_words:
+        more, rest = np.zeros_like(take), left
+        for i in np.argsort(-lengths, kind="stable"):
+            if rest <= dp_words:
+                break
+            # leave room for the programme to choose
+            more[i] = min(int(spare[i]), (rest - dp_words) // int(lengths[i])) if lengths[i] else 0
+            rest -= int(more[i] * lengths[i])
+        more += fill_up(lengths, spare - more, rest)
+        if left - int((lengths * more).sum()) == least:
+            return take + more
+    return take + fill_up(lengths, spare, left)
+
+
+def fill_up(lengths: np.ndarray, counts: np.ndarray, left: int) -> np.ndarray:
+    """How many of each length to take so that the sum comes nearest to left from below: five bytes for each word of left over the lengths' common divisor."""
+    take = np.zeros(len(lengths), np.int64)
+    useful = (counts > 0) & (lengths > 0) & (lengths <= left)
+    if not useful.any():
         return take
+    unit = int(np.gcd.reduce(lengths[useful]))
+    left = min(left, int((lengths * counts)[useful].sum())) // unit
     # binary multiples of each length, as items of the programme
     items: list[tuple[int, int]] = []
     reach = np.zeros(left + 1, bool)
     reach[0] = True
-    by = np.full(left + 1, -1, np.int64)  # the item by which a sum was first reached
-    for i in longest_first:
-        spare, size = int(counts[i] - take[i]), int(lengths[i])
-        spare = min(spare, left // size) if size else 0
+    by = np.full(left + 1, -1, np.int32)  # the item by which a sum was first reached
+    top = 0  # the largest sum so far
+    for i in np.argsort(-lengths, kind="stable"):
+        if not useful[i]:
+            continue
+        size = int(lengths[i]) // unit
+        spare = min(int(counts[i]), left // size)
         part = 1
         while spare > 0:
             n = min(part, spare)
             weight = n * size
-            new = np.flatnonzero(reach[: left + 1 - weight] & ~reach[weight:]) + weight
+            end = min(left, top + weight)
+            new = np.flatnonzero(reach[: end + 1 - weight] & ~reach[weight : end + 1]) + weight
             reach[new] = True
             by[new] = len(items)
+            top = max(top, int(new[-1])) if len(new) else top
             items.append((int(i), n))
             spare -= n
             part *= 2
@@ -103,7 +124,7 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: i
     while at:
         i, n = items[by[at]]
         take[i] += n
-        at -= n * int(lengths[i])
+        at -= n * int(lengths[i]) // unit
     return take
 
 

@@ -71,3 +71,18 @@ def test_mix(spark):
 def test_empty(spark):
     assert X.mix_sources(spark.createDataFrame([], DOCS)).count() == 0
     assert [r._taken for r in X.mix_sources(spark.createDataFrame([(1, None, None, 0, "", "")], DOCS)).collect()] == [0]
+
+
+def test_no_greedy_choice_stands_in_the_way():
+    lengths = np.array([100_000, 71_000, 70_000])
+    assert X.fit_budget(lengths, np.array([1, 1, 1]), 150_000).tolist() == [0, 1, 1]
+    for seed in range(300):
+        r = random.Random(seed)
+        lengths = np.array(sorted(r.sample(range(50, 400), r.randrange(2, 6)))) * r.choice([1, 6])
+        counts = np.array([r.randrange(1, 4) for _ in lengths])
+        total = int((lengths * counts).sum())
+        budget = r.randrange(0, total)
+        low = [int(c) * budget // total for c in counts]
+        best = max(s for k in itertools.product(*(range(p, c + 1) for p, c in zip(low, counts))) if (s := int((lengths * np.array(k)).sum())) <= budget)
+        take = X.fit_budget(lengths, counts, budget, dp_words=100)
+        assert int((lengths * take).sum()) == best and (take <= counts).all() and (take >= low).all()
