@@ -12,7 +12,8 @@
 3. Keep all text between a surge and its dive.  Of several such runs, those inside the page's
    article or main element are the text, or else those inside elements whose class or id says
    so; on a page without either, the longest run and any that is at least ``RUN_SHARE_PCT``
-   per cent as long.
+   per cent as long, and, whatever their length, runs of sibling blocks that only elements
+   cut out part from these.
 
 Lines keep page order, joined by one newline; white space inside a line is one space;
 character references are decoded.
@@ -80,10 +81,16 @@ _HEAD_TAGS = frozenset("head html base basefont bgsound link meta noscript templ
 
 
 class _Open:
-    __slots__ = ("main", "cut", "name", "held", "loose")
+    __slots__ = ("main", "cut", "name", "held", "loose", "block", "around")
 
     def __init__(self, name: str, cut: bool, main: int, held: bool = False, loose: bool = False):
         self.name, self.cut, self.main, self.held, self.loose = name, cut, main, held, loose
+        self.block: object = None  # the block element around its text, and the one around that
+        self.around: object = None
+
+    def within(self, below: "_Open") -> "_Open":
+        self.block, self.around = (self, below.block) if self.name in _BLOCKS else (below.block, below.around)
+        return self
 
 
 def _facts(attributes: str) -> tuple[set[str], str, bool]:
@@ -102,10 +109,10 @@ def _facts(attributes: str) -> tuple[set[str], str, bool]:
 
 
 class _Lines:
-    """Lines of a page: (text, length without links, how surely inside the article); None stands for an empty line."""
+    """Lines of a page: (text, length without links, how surely inside the article, its block and the block around it); None stands for an empty line."""
 
     def __init__(self):
-        self.lines: list[tuple[str, int, int] | None] = []
+        self.lines: list[tuple[str, int, int, object, object] | None] = []
         self.pieces: list[str] = []
         self.linked = 0
 
@@ -115,13 +122,14 @@ class _Lines:
         if in_link:
             self.linked += len("".join(raw.split()))
 
-    def end(self, main: int) -> None:
+    def end(self, top: _Open) -> None:
         if self.pieces:
+            main = top.main
             line = " ".join("".join(self.pieces).split())
             if line:
                 own = len(line.replace(" ", "")) - self.linked
                 # a line that is mostly links counts as empty, but in an article it is text
-                self.lines.append((line, len(line) if main == _BY_ELEMENT else own if 2 * own > self.linked else 0, main))
+                self.lines.append((line, len(line) if main == _BY_ELEMENT else own if 2 * own > self.linked else 0, main, top.block, top.around))
             self.pieces, self.linked = [], 0
 
     def gap(self) -> None:
@@ -146,7 +154,7 @@ def _closed(tokens: list[re.Match], page: str) -> set[int]:
     return out
 
 
-def _strip(page: str) -> list[tuple[str, int, int] | None]:
+def _strip(page: str) -> list[tuple[str, int, int, object, object] | None]:
     out = _Lines()
     tokens = list(_TOKEN.finditer(page))
     closed = _closed(tokens, page)
@@ -193,7 +201,7 @@ def _strip(page: str) -> list[tuple[str, int, int] | None]:
                 out.text(" ", False)
             continue
         if name in _BLOCKS and not top.cut:
-            out.end(top.main)
+            out.end(top)
         if name in _VOID or name in _INLINE or name == "a":
             continue
         if closing:
@@ -207,7 +215,7 @@ def _strip(page: str) -> list[tuple[str, int, int] | None]:
         attributes = m["attrs"] or m["attrs2"] or ""
         if name == "head":
             if len(stack) == 1 or top.name == "html":
-                out.end(top.main)
+                out.end(top)
                 stack.append(_Open(name, True, 0, held=True, loose=True))
             continue
         if name in _HELD:
@@ -239,14 +247,14 @@ def _strip(page: str) -> list[tuple[str, int, int] | None]:
                 bad -= _ARTICLE_PARTS
             cut = bool(bad)
         if cut and not top.cut or main > top.main:
-            out.end(top.main)
+            out.end(top)
             out.gap()
-        stack.append(_Open(name, cut, 0 if cut else main))
+        stack.append(_Open(name, cut, 0 if cut else main).within(top))
     if stack[-1].name == "head" and at < len(page) and not page[at:].isspace():
         leave(len(stack) - 1)
     if at < len(page) and not stack[-1].cut:
         out.text(page[at:], in_link)
-    out.end(stack[-1].main)
+    out.end(stack[-1])
     return out.lines
 
 
@@ -270,6 +278,14 @@ def runs(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
     return out
 
 
+def _parted_by_cuts(lines: list, one: tuple[int, int], two: tuple[int, int]) -> bool:
+    """Is there nothing between two runs but what was cut out, and do sibling blocks stand on both sides?"""
+    if any(lines[one[1] : two[0]]):
+        return False
+    (_, _, _, a, above), (_, _, _, b, beyond) = lines[one[1] - 1], lines[two[0]]
+    return above is beyond or a is b or a is beyond or b is above
+
+
 def main_text(page: str | None) -> str:
     """The article of a page."""
     lines = _strip(page or "")
@@ -279,7 +295,14 @@ def main_text(page: str | None) -> str:
     found = runs(lengths)
     mass = [sum(lengths[a:b]) for a, b in found]
     most = max(mass, default=0)
-    kept = [span for span, n in zip(found, mass) if inside or 100 * n >= RUN_SHARE_PCT * most]
+    keep = [bool(inside) or 100 * n >= RUN_SHARE_PCT * most for n in mass]
+    if not all(keep):
+        joined = [_parted_by_cuts(lines, a, b) for a, b in zip(found, found[1:])]
+        for order in (range(1, len(found)), range(len(found) - 2, -1, -1)):
+            for i in order:
+                before = i - 1 if order.step > 0 else i + 1
+                keep[i] |= keep[before] and joined[min(i, before)]
+    kept = [span for span, good in zip(found, keep) if good]
     return "\n".join(line[0] for a, b in kept for line in lines[a:b] if line)
 
 

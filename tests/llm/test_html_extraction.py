@@ -78,3 +78,12 @@ def test_unclosed_elements_swallow_no_article(name):
 
 def test_held_elements_take_linear_time():
     assert main_text("<select>" + "<option>x" * 50_000 + "</select>text") == "text" and main_text("<svg>" * 50_000 + "<p>text") == "text"
+
+
+@pytest.mark.parametrize("tags", ["div", "body", "section"])
+def test_an_advert_does_not_part_the_opening_from_the_body(tags):
+    long = "".join(f"<p>Paragraph {i} with a good number of words in it.</p>" for i in range(9))
+    lines = "\n".join(f"Paragraph {i} with a good number of words in it." for i in range(9))
+    ad, menu = '<div class="ad">Buy now</div>', "".join(f"<li><a href={i}>to page {i}</a>" for i in range(4))
+    assert main_text(f"<{tags}><h1>Title</h1><p>Opening.</p>{ad}{long}{ad}<p>End.</p>{ad}Last.</{tags}>") == f"Title\nOpening.\n{lines}\nEnd.\nLast."
+    assert main_text(f"<div><div>Slogan</div></div><nav>x</nav><{tags}>{long}</{tags}><ul>{menu}</ul><div>tiny</div>") == lines
