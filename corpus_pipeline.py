@@ -21,10 +21,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: five-word shingles, similarity 0.8, the least doc_id stays."""
-    groups = minhash_dedup.near_duplicates(docs)
-    gone = groups.where("not kept").select("doc_id").distinct().hint("merge")  # grows with the input: never broadcast
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group: five-word shingles, similarity 0.8, the least doc_id stays, null last."""
+    rows, row_id = docs, "doc_id"
+    if not docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        # ids do not tell rows apart: number the rows in order of their ids, equal ids in any order
+        row_id = fresh_name(docs.columns, "row_no")
+        ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.rand(7))
+        rows = settle(ordered.withColumn(row_id, F.monotonically_increasing_id()), "numbered-rows")
+    groups = minhash_dedup.near_duplicates(rows, id_col=row_id)
+    gone = groups.where("not kept").select(F.col("doc_id").alias(row_id)).distinct().hint("merge")  # grows with the input: never broadcast
+    return rows.join(gone, row_id, "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
