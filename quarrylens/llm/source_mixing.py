@@ -6,20 +6,28 @@ all its documents as many whole times as fit.  The rest of its budget is fitted
 counts of documents by exact length:
 
 1. each length gives the same fraction of its documents, rounded down;
-2. longest lengths first, more are given while ``DP_WORDS`` stay open;
-3. bounded-knapsack dynamic programming fills what is left.  Where that does not reach the
-   lengths' common divisor, step 2 is undone and the programme runs over all that step 1 left,
-   so the remainder is the smallest that any choice on top of step 1 reaches.
+2. lengths with the largest rounded-off parts give one more document each while ``dp_words``
+   stay open;
+3. bounded-knapsack dynamic programming over the documents not yet given fills what is open.
+
+Where that does not reach the lengths' common divisor, beyond which no choice can go, steps 1 to
+3 run once more with ``longest_times`` the longest text left open from the start, so that
+documents are given back and several of each length are free; the nearer of the two stands.  A
+budget within that span is open whole, and its remainder then is the smallest of all choices.
+The programme counts in units of the lengths' common divisor.  Beyond ``MOST_SUMS`` sums it
+counts in larger units, lengths rounded up, and once more over what that left.
 
 Then each length gives its number of documents in order of a seeded hash.  A length's
-documents are counted by slices of the hash; slices before the last one needed are taken
-whole, and only documents of that slice are ranked, so no group is gathered in one task.
+documents are counted by slices of the hash, as many as the table's rows ask for; slices before
+the last one needed are taken whole, and only documents of that slice are ranked, so no group is
+gathered in one task.
 
 Defined cases: null text has size 0 and gives nothing; null is a source like any other and
-comes last; a null or repeated doc_id is a row of its own unless rows are equal in id, text
-hash and place in the order, which then rank in any order; an empty table gives no rows; a
-source without words has target 0; other columns travel along in ``mix_sources`` and are not
-read in the query.
+comes last; a null or repeated doc_id is a row of its own; rows that tie in id, text hash and
+so in the order are told apart by nothing, and any of them may be taken; a very long text is one
+document of its length; an empty table gives no rows; a source without words has target 0; other
+columns travel along in ``mix_sources`` and are not read in the query.  A row for each source
+goes to the driver, where the targets are shared out.
 """
 
 from __future__ import annotations
@@ -38,8 +46,15 @@ BUDGET_PCT = 150
 MOST_TIMES = 2
 SEED = 7
 SLICES = 64
-#: The greedy step leaves this many words to the dynamic programme.
+#: A slice of the hash holds about this many rows of the whole table.
+SLICE_ROWS = 1 << 16
+#: What stays open for the dynamic programme: this many words, and this many times the longest text.
 DP_WORDS = 1 << 16
+LONGEST_TIMES = 8
+#: Sums the programme may hold, at five bytes each.
+MOST_SUMS = 1 << 24
+#: Plans of up to this many sources are broadcast, of more joined by merge.
+MOST_SENT = 10_000
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, budget_pct: int = BUDGET_PCT, most_times: int = MOST_TIMES) -> dict[str | None, Fraction]:
@@ -62,39 +77,49 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, bu
     return out
 
 
-def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP_WORDS) -> np.ndarray:
-    """How many documents of each length to take so that their words come nearest to the budget from below."""
+def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP_WORDS, longest_times: int = LONGEST_TIMES, most_sums: int = MOST_SUMS) -> np.ndarray:
+    """How many documents of each length to take so that their words come near to the budget from below."""
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts
-    take = np.array([int(c) * budget // total for c in counts], np.int64)
-    left = budget - int((lengths * take).sum())
-    spare = counts - take
-    useful = (spare > 0) & (lengths > 0)
-    least = left % int(np.gcd.reduce(lengths[useful])) if useful.any() else left  # no choice leaves less
-    if left > dp_words:
-        more, rest = np.zeros_like(take), left
-        for i in np.argsort(-lengths, kind="stable"):
-            if rest <= dp_words:
-                break
-            # leave room for the programme to choose
-            more[i] = min(int(spare[i]), (rest - dp_words) // int(lengths[i])) if lengths[i] else 0
-            rest -= int(more[i] * lengths[i])
-        more += fill_up(lengths, spare - more, rest)
-        if left - int((lengths * more).sum()) == least:
-            return take + more
-    return take + fill_up(lengths, spare, left)
-
-
-def fill_up(lengths: np.ndarray, counts: np.ndarray, left: int) -> np.ndarray:
-    """How many of each length to take so that the sum comes nearest to left from below: five bytes for each word of left over the lengths' common divisor."""
+    least = budget % int(np.gcd.reduce(lengths[(lengths > 0) & (counts > 0)]))  # no choice leaves less
+    best = None
+    for held, open_ in ((0, dp_words), (max(dp_words, longest_times * int(lengths.max())),) * 2):
+        given = max(0, budget - held)
+        take = np.array([int(c) * given // total for c in counts], np.int64)
+        part = [int(c) * given % total for c in counts]  # what rounding down took off, in 1 / total
+        left = budget - int((lengths * take).sum())
+        for i in sorted(range(len(lengths)), key=lambda i: (-part[i], -int(lengths[i]))):
+            if part[i] and left - int(lengths[i]) >= open_:
+                take[i] += 1
+                left -= int(lengths[i])
+        for _ in range(2):
+            take = take + fill_up(lengths, counts - take, left, most_sums)
+            left = budget - int((lengths * take).sum())
+        if best is None or left < best[0]:
+            best = left, take
+        if left == least:
+            break
+    return best[1]
+
+
+def fill_up(lengths: np.ndarray, counts: np.ndarray, left: int, most_sums: int = MOST_SUMS) -> np.ndarray:
+    """How many of each length to take so that the sum comes nearest to left from below.
+
+    Five bytes for each unit of left.  With more than most_sums units the unit grows and lengths
+    are rounded up to it, which may leave as many units open as documents are taken.
+    """
     take = np.zeros(len(lengths), np.int64)
     useful = (counts > 0) & (lengths > 0) & (lengths <= left)
     if not useful.any():
         return take
     unit = int(np.gcd.reduce(lengths[useful]))
-    left = min(left, int((lengths * counts)[useful].sum())) // unit
+    whole = min(left, int((lengths * counts)[useful].sum()))
+    unit *= max(1, -(-(whole // unit) // most_sums))
+    lengths = -(-lengths // unit)
+    left //= unit
+    left = min(left, int((lengths * counts)[useful].sum()))
     # binary multiples of each length, as items of the programme
     items: list[tuple[int, int]] = []
     reach = np.zeros(left + 1, bool)
@@ -104,7 +129,9 @@ def fill_up(lengths: np.ndarray, counts: np.ndarray, left: int) -> np.ndarray:
     for i in np.argsort(-lengths, kind="stable"):
         if not useful[i]:
             continue
-        size = int(lengths[i]) // unit
+        size = int(lengths[i])
+        if size > left:
+            continue
         spare = min(int(counts[i]), left // size)
         part = 1
         while spare > 0:
@@ -124,7 +151,7 @@ def fill_up(lengths: np.ndarray, counts: np.ndarray, left: int) -> np.ndarray:
     while at:
         i, n = items[by[at]]
         take[i] += n
-        at -= n * int(lengths[i]) // unit
+        at -= n * int(lengths[i])
     return take
 
 
@@ -150,9 +177,11 @@ def mix_sources(
     size, source_size, target, taken, source, order, slice_, rank = names
     mark = F.xxhash64(F.lit(seed), docs[id_col], docs[text_col])
     rows = settle(
-        docs.select(*(docs[c] for c in carried), docs[source_col].alias(source), word_count(docs[text_col]).alias(size), mark.alias(order), F.shiftrightunsigned(mark, 40).cast("int").alias(slice_)),
+        docs.select(*(docs[c] for c in carried), docs[source_col].alias(source), word_count(docs[text_col]).alias(size), mark.alias(order), F.shiftrightunsigned(mark, 33).cast("int").alias(slice_)),
         "mix-sizes",
-    ).withColumn(slice_, F.pmod(F.col(slice_), F.lit(slices)))
+    )
+    slices = max(slices, -(-rows.count() // SLICE_ROWS))
+    rows = rows.withColumn(slice_, F.pmod(F.col(slice_), F.lit(slices)))
 
     cells = settle(rows.groupBy(source, size, slice_).agg(F.count("*").alias("n")), "mix-cells")
     totals = {r[0]: int(r[1]) for r in cells.groupBy(source).agg(F.sum(F.col(size) * F.col("n"))).collect()}  # a row for each source
@@ -161,13 +190,14 @@ def mix_sources(
     for s, words in totals.items():
         times = int(goals[s] // words) if words else 0
         plan.append((s, words, float(goals[s]), times, round(goals[s] - times * words)))
+    how = "broadcast" if len(plan) <= MOST_SENT else "merge"
     plans = spark.createDataFrame(plan, f"`{source}` string, `{source_size}` long, `{target}` double, times long, rest long")
 
     def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         got = fit_budget(frame["len"].to_numpy(), frame["n"].to_numpy(), int(frame["rest"].iloc[0]))
         return pd.DataFrame({"src": frame["src"], "len": frame["len"], "need": got})
 
-    lengths = cells.join(F.broadcast(plans), cells[source].eqNullSafe(plans[source])).where(F.col(size) > 0).groupBy(cells[source].alias("src"), F.col(size).alias("len")).agg(F.sum("n").alias("n"), F.first("rest").alias("rest"))
+    lengths = cells.join(plans.hint(how), cells[source].eqNullSafe(plans[source])).where(F.col(size) > 0).groupBy(cells[source].alias("src"), F.col(size).alias("len")).agg(F.sum("n").alias("n"), F.first("rest").alias("rest"))
     needs = lengths.groupBy("src").applyInPandas(fit, "src string, len long, need long")  # a row for each length of a source
 
     so_far = Window.partitionBy(source, size).orderBy(slice_).rowsBetween(Window.unboundedPreceding, -1)
@@ -180,5 +210,5 @@ def mix_sources(
     whole = joined.where("room is null or room >= n").withColumn("once", F.col("room").isNotNull())
     cut = joined.where("room < n").withColumn(rank, F.row_number().over(Window.partitionBy(source, size, slice_).orderBy(order, *[c for c in [id_col] if c in carried])))
     cut = cut.withColumn("once", F.col(rank) <= F.col("room")).drop(rank)
-    out = whole.unionByName(cut).join(F.broadcast(plans.withColumnRenamed(source, "p_source")), F.col(source).eqNullSafe(F.col("p_source")))
+    out = whole.unionByName(cut).join(plans.withColumnRenamed(source, "p_source").hint(how), F.col(source).eqNullSafe(F.col("p_source")))
     return out.select(*carried, size, source_size, target, (F.col(size) * (F.col("times") + F.col("once").cast("long"))).alias(taken))

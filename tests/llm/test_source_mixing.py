@@ -30,8 +30,7 @@ def test_budget_is_met_as_near_as_lengths_allow():
         take = X.fit_budget(lengths, counts, budget)
         assert (take >= 0).all() and (take <= counts).all()
         total = int((lengths * take).sum())
-        proportional = [int(c) * budget // max(1, int((lengths * counts).sum())) for c in counts]
-        best = max(s for k in itertools.product(*(range(p, c + 1) if budget < (lengths * counts).sum() else [c] for p, c in zip(proportional, counts))) if (s := int((lengths * np.array(k)).sum())) <= max(budget, 0))
+        best = max(s for k in itertools.product(*(range(c + 1) for c in counts)) if (s := int((lengths * np.array(k)).sum())) <= max(budget, 0))
         assert total == best and total <= budget
 
 
@@ -76,13 +75,35 @@ def test_empty(spark):
 def test_no_greedy_choice_stands_in_the_way():
     lengths = np.array([100_000, 71_000, 70_000])
     assert X.fit_budget(lengths, np.array([1, 1, 1]), 150_000).tolist() == [0, 1, 1]
+    assert (X.fit_budget(np.array([80_000, 100_000]), np.array([2, 2]), 170_000) * [80_000, 100_000]).sum() == 160_000
+    assert (X.fit_budget(np.array([100_003, 99_991]), np.array([5, 5]), 350_000) * [100_003, 99_991]).sum() == 300_009
     for seed in range(300):
         r = random.Random(seed)
         lengths = np.array(sorted(r.sample(range(50, 400), r.randrange(2, 6)))) * r.choice([1, 6])
         counts = np.array([r.randrange(1, 4) for _ in lengths])
         total = int((lengths * counts).sum())
         budget = r.randrange(0, total)
-        low = [int(c) * budget // total for c in counts]
-        best = max(s for k in itertools.product(*(range(p, c + 1) for p, c in zip(low, counts))) if (s := int((lengths * np.array(k)).sum())) <= budget)
+        best = max(s for k in itertools.product(*(range(c + 1) for c in counts)) if (s := int((lengths * np.array(k)).sum())) <= budget)
         take = X.fit_budget(lengths, counts, budget, dp_words=100)
-        assert int((lengths * take).sum()) == best and (take <= counts).all() and (take >= low).all()
+        got = int((lengths * take).sum())
+        assert (take <= counts).all() and (take >= 0).all() and got <= budget
+        assert got == best or budget > X.LONGEST_TIMES * lengths.max() and best - got <= lengths.min() // 10
+
+
+def test_coarse_units_leave_little():
+    for seed in range(50):
+        r = random.Random(seed)
+        lengths = np.array(sorted(r.sample(range(1000, 40_000), 30)))
+        counts = np.array([r.randrange(1, 5) for _ in lengths])
+        budget = r.randrange(int((lengths * counts).sum()))
+        got = int((lengths * X.fit_budget(lengths, counts, budget, dp_words=100, most_sums=3000)).sum())
+        assert 0 <= budget - got <= 1000
+
+
+def test_more_slices_give_the_same_words(spark, monkeypatch):
+    docs = spark.createDataFrame(rows(), DOCS)
+    words = lambda: {r[0]: r[1] for r in X.mix_sources(docs).groupBy("source").sum("_taken").collect()}
+    want = words()
+    monkeypatch.setattr(X, "SLICE_ROWS", 5)
+    monkeypatch.setattr(X, "MOST_SENT", 2)
+    assert words() == want
