@@ -6,11 +6,14 @@ finds every candidate place, and Myers' bit-parallel distance confirms it in the
 the piece.  Items and texts are compared in lower case with each run of white space as one
 space; the whole text is searched.
 
-The items travel to the executors.  Their size is measured first; beyond ``most_chars`` they
-are dealt into blocks by hash, each block takes one pass over the documents, and no pass
-shuffles anything.
-
-Defined cases: null texts hold no item; null and empty items are found nowhere; repeated items
+The items travel to the executors, in blocks of about ``block_chars`` characters, dealt by hash
+once their size has been measured.  One block is kept as one automaton.  Of several, a worker
+holds one at a time: it gathers about ``span_chars`` characters of texts, runs them through
+block after block, and goes on to the next texts.  Beyond ``blocks_a_pass`` blocks the result is
+written and read again, so what travels at once is bounded.  No pass shuffles anything, and a
+stage has one Python step.
+
+Defined cases: null texts hold no item; a very long text is searched whole, in a span of its own; null and empty items are found nowhere; repeated items
 count once for each item_id, and a null item_id is dropped; repeated documents are judged each;
 an empty benchmark finds nothing; columns of the input pass through, and result columns whose
 names are taken get underscores in front.
@@ -18,6 +21,9 @@ names are taken get underscores in front.
 
 from __future__ import annotations
 
+import hashlib
+import json
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,12 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrylens.llm.common import fresh_name
+from quarrylens.llm.common import fresh_name, settle
 
 ERROR_PCT = 5
-MOST_CHARS = 16_000_000
+#: Characters of items in one automaton, about 100 bytes of memory each.
+BLOCK_CHARS = 2_000_000
+BLOCKS_A_PASS = 16
+SPAN_CHARS = 32_000_000
 
-_AUTOMATA: dict[int, tuple] = {}
+_AUTOMATA: dict[str, tuple] = {}
 
 
 def plain(text: str | None) -> str:
@@ -124,6 +133,21 @@ def items_in(text: str | None, machine, patterns: list[tuple[Pattern, set[int]]]
     return sorted({i for number in found for i in patterns[number][1]})
 
 
+def _packed(rows: list[tuple[int, str]]) -> tuple[str, bytes]:
+    """Items as a name, by what they hold, and bytes."""
+    raw = json.dumps(rows).encode()
+    return hashlib.sha256(raw).hexdigest(), zlib.compress(raw, 1)
+
+
+def _machine(name: str, packed: bytes, error_pct: int) -> tuple:
+    """The automaton of a block; the worker keeps the last one."""
+    key = f"{name}-{error_pct}"
+    if key not in _AUTOMATA:
+        _AUTOMATA.clear()
+        _AUTOMATA[key] = _automaton([tuple(x) for x in json.loads(zlib.decompress(packed))], error_pct)
+    return _AUTOMATA[key]
+
+
 def find_benchmark_items(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -133,33 +157,58 @@ def find_benchmark_items(
     item_text_col: str = "text",
     keep_columns: list[str] | None = None,
     error_pct: int = ERROR_PCT,
-    most_chars: int = MOST_CHARS,
+    block_chars: int = BLOCK_CHARS,
+    blocks_a_pass: int = BLOCKS_A_PASS,
+    span_chars: int = SPAN_CHARS,
 ) -> DataFrame:
     """The kept columns of every row of docs (all unless named), with items (sorted ids of the items it holds) and contaminated."""
     carried = docs.columns if keep_columns is None else keep_columns
-    items_name = fresh_name(carried, "items")
-    flag_name = fresh_name([*carried, items_name], "contaminated")
+    items_name, flag_name = result_names(carried)
     text_name = fresh_name([*carried, items_name, flag_name], "text_to_search")
     wanted = benchmark.select(F.col(item_id_col).cast("long").alias("id"), F.col(item_text_col).alias("text")).where("id is not null and text is not null")
     total = wanted.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // most_chars))
-    out = docs.select(*(docs[c] for c in carried), docs[text_col].alias(text_name), F.array().cast("array<long>").alias(items_name))
+    blocks = max(1, -(-total // block_chars))
     schema = T.StructType([*(docs.schema[c] for c in carried), T.StructField(text_name, T.StringType()), T.StructField(items_name, T.ArrayType(T.LongType()))])
-    for block in range(blocks):
-        rows = wanted.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).orderBy("id", "text").collect()  # about most_chars characters
-        sent = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in rows])
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items = sent.value
-            key = hash((error_pct, tuple(items)))
-            if key not in _AUTOMATA:
-                _AUTOMATA.clear()
-                _AUTOMATA[key] = _automaton(items, error_pct)
-            machine, patterns = _AUTOMATA[key]
-            for batch in batches:
-                texts, before = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
-                now = [sorted({*old, *items_in(text, machine, patterns)}) for text, old in zip(texts.to_pylist(), before.to_pylist())]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(now, pa.list_(pa.int64()))], [*carried, text_name, items_name])
-
-        out = out.mapInArrow(search, schema)
+    out = docs.select(*(docs[c] for c in carried), docs[text_col].alias(text_name), F.array().cast("array<long>").alias(items_name))
+    for first in range(0, blocks, blocks_a_pass):
+        sent = []
+        for block in range(first, min(blocks, first + blocks_a_pass)):
+            rows = wanted.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).orderBy("id", "text").collect()  # about block_chars characters
+            sent.append(docs.sparkSession.sparkContext.broadcast(_packed([(r[0], r[1]) for r in rows])))
+        if first:
+            out = settle(out, "decontaminated")
+        out = out.mapInArrow(_search(sent, error_pct, span_chars if len(sent) > 1 else 0), schema)
     return out.drop(text_name).withColumn(flag_name, F.size(items_name) > 0)
+
+
+def result_names(carried: list[str]) -> tuple[str, str]:
+    """What the columns items and contaminated are called beside these."""
+    items = fresh_name(carried, "items")
+    return items, fresh_name([*carried, items], "contaminated")
+
+
+def _search(sent: list, error_pct: int, span_chars: int):
+    """The step that adds the blocks' items to rows that end in a text and the items found so far."""
+
+    def found(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = batch.num_columns - 2
+        texts, now = batch.column(at).to_pylist(), [set(x) for x in batch.column(at + 1).to_pylist()]
+        for block in sent:
+            machine, patterns = _machine(*block.value, error_pct)
+            for text, mine in zip(texts, now):
+                mine.update(items_in(text, machine, patterns))
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([sorted(x) for x in now], pa.list_(pa.int64()))], batch.schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.column(batch.num_columns - 2).nbytes
+            if size > span_chars:
+                yield from map(found, pa.Table.from_batches(held).combine_chunks().to_batches())
+                held, size = [], 0
+        if held:
+            yield from map(found, pa.Table.from_batches(held).combine_chunks().to_batches())
+
+    return run

@@ -36,8 +36,8 @@ BENCH = [(1, "The quick brown fox jumps over the lazy dog and runs away from the
 DOCS = "doc_id long, text string, items string, contaminated int"
 
 
-@pytest.mark.parametrize("most", [16_000_000, 60])
-def test_matches_against_brute_force(spark, most):
+@pytest.mark.parametrize("blocks", [{}, {"block_chars": 60, "span_chars": 200}, {"block_chars": 60, "blocks_a_pass": 2}])
+def test_matches_against_brute_force(spark, blocks):
     r = random.Random(2)
     rows = []
     for i in range(80):
@@ -50,7 +50,9 @@ def test_matches_against_brute_force(spark, most):
             words.insert(r.randrange(len(words) + 1), "".join(item).replace(" ", r.choice([" ", "\n", "  "])).upper() if r.random() < 0.3 else "".join(item))
         rows.append((i, " ".join(words), "", 0))
     rows += [(100, None, "", 0), (101, "", "", 0), (None, BENCH[0][1], "", 0), (102, "x " * 100_000 + BENCH[5 - 1][1], "", 0), (3, rows[3][1], "", 0)]
-    got = D.find_benchmark_items(spark.createDataFrame(rows, DOCS), spark.createDataFrame(BENCH, "item_id long, text string"), most_chars=most)
+    got = D.find_benchmark_items(spark.createDataFrame(rows, DOCS), spark.createDataFrame(BENCH, "item_id long, text string"), **blocks)
+    steps = got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+    assert steps == 1  # one Python step a stage, however many blocks
     assert got.columns == ["doc_id", "text", "items", "contaminated", "_items", "_contaminated"]
     out = got.collect()
     assert len(out) == len(rows)
