@@ -1,7 +1,7 @@
 """Secret scans: an incremental blob ledger.
 
 A text is a blob, addressed by its SHA-256.  The ledger is a Parquet folder with one row for
-each blob and rule version that has been scanned.  A scan reduces the input to distinct blobs
+each blob and rule version that has been scanned, partitioned by rule version.  A scan reduces the input to distinct blobs
 (inside each task first, so a hot blob never gathers), leaves out those whose pair with the
 rule version is in the ledger, scans the rest, appends them, and joins the findings back to
 every path that carries the blob.  A second version of a file, or a copy of it, costs nothing;
@@ -44,7 +44,7 @@ EXTRA_RULES = {
     "jwt": ("eyJ", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
 }
 
-LEDGER = "blob string, rule_version string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+LEDGER = "blob string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
 def scan_text(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
@@ -70,29 +70,29 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
-def scan_blobs(blobs: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
+def scan_blobs(blobs: DataFrame) -> DataFrame:
     """Ledger rows of (blob, text) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(6)]
             for blob, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 base, spans = scan_text(text)
-                row = [blob, rule_version, *(sum(s[2] == kind for s in base) for kind in BASE_KINDS), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans)]
+                row = [blob, *(sum(s[2] == kind for s in base) for kind in BASE_KINDS), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans)]
                 for column, value in zip(out, row):
                     column.append(value)
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], [x.split()[0] for x in LEDGER.split(", ")])
 
     return blobs.select("blob", "text").mapInArrow(run, LEDGER)
 
 
-def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
-    """The ledger's rows; a pair that two scans appended at once appears once."""
+def read_ledger(spark: SparkSession, ledger: str, rule_version: str = RULE_VERSION) -> DataFrame:
+    """The ledger's rows of one rule version; other versions are not read.  What two scans appended at once stands twice."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger)
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.createDataFrame([], LEDGER)
-    return spark.read.schema(LEDGER).parquet(ledger).dropDuplicates(["blob", "rule_version"])
+    return spark.read.schema(f"{LEDGER}, rule_version string").parquet(ledger).where(F.col("rule_version") == rule_version).drop("rule_version")
 
 
 def scan_secrets(
@@ -111,8 +111,7 @@ def scan_secrets(
     spark = docs.sparkSession
     ledger = ledger or scratch_path(spark, "blob-ledger")
     addressed = docs.select(F.col(path_col).alias("path"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("blob", F.sha2(F.col("text").cast("binary"), 256))
-    known = read_ledger(spark, ledger).where(F.col("rule_version") == rule_version)
-    unseen = addressed.groupBy("blob").agg(F.first("text").alias("text")).join(known.select("blob"), "blob", "left_anti")
-    scan_blobs(unseen, rule_version).write.mode("append").parquet(ledger)
-    findings = read_ledger(spark, ledger).where(F.col("rule_version") == rule_version).drop("rule_version")
+    unseen = addressed.groupBy("blob").agg(F.first("text").alias("text")).join(read_ledger(spark, ledger, rule_version).select("blob"), "blob", "left_anti")
+    scan_blobs(unseen).withColumn("rule_version", F.lit(rule_version)).write.mode("append").partitionBy("rule_version").parquet(ledger)
+    findings = read_ledger(spark, ledger, rule_version).dropDuplicates(["blob"])  # by the key of the join that follows, so in one shuffle
     return addressed.select("path", "blob").join(findings, "blob").select("path", "blob", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
