@@ -7,15 +7,16 @@ descent in numpy.  After training, a bucket's embedding times the softmax is one
 table of buckets x languages, so a prediction is a mean of table rows over the whole text.
 
 Training takes a bounded sample of labelled rows: at most ``per_language`` texts of a language
-(least seeded hash of the id first) of at most ``longest`` characters, ``most_rows`` in all,
-from the ``MOST_LANGUAGES`` commonest languages.
+(least seeded hash of the id first), cut to ``longest`` characters, ``most_rows`` in all, from the ``MOST_LANGUAGES`` commonest languages.
 A fifth of the sample is held back to calibrate: a temperature makes scores probabilities,
 and the least score at which accepted texts reach ``target_accuracy`` becomes the limit under
 which a prediction is rejected (``accepted`` false; the prediction itself stays).
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0 and rejected; so
 is every text if there was nothing to learn from; null ids are never learnt from and not held
-out; repeated rows are predicted each; columns beside id, text and language are not read.
+out; repeated rows are predicted each; of languages with equal probability the first by code
+point is predicted; texts of any length are read whole for a prediction, some at a time; columns
+beside id, text and language are not read.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ SEED = 11
 TARGET_ACCURACY = 0.99
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD_MARK = re.compile(r"[^\W\d_]")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _STEP, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 _SLICE = 1 << 19
@@ -74,6 +75,11 @@ def features(text: str, buckets: int = BUCKETS, grams: tuple[int, ...] = GRAMS)
                 yield (((code[good] ^ (code[good] >> np.uint64(30))) * _MIX) >> shift).astype(np.int64)
 
 
+def has_letter(text: str) -> bool:
+    """Is there a character of Unicode's category L?  Numerals such as one half are word characters, but no letters."""
+    return any(m[0].isalpha() for m in _WORD_MARK.finditer(text))
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -96,7 +102,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score and whether it is accepted."""
-        if not self.languages or not text or not _LETTER.search(text):
+        if not self.languages or not text or not has_letter(text):
             return UNKNOWN, 0.0, False
         p = _softmax(self.logits(text)[None] / self.temperature)[0]
         best = int(p.argmax())
@@ -177,12 +183,12 @@ def training_rows(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str,
     about that many rows leave the scan; among them the least hashes are taken.
     """
     hashed = F.xxhash64(F.lit(seed), F.col(id_col))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), hashed.alias("h")).where(
+    rows = docs.select(F.col(id_col).alias("id"), F.substring(text_col, 1, longest).alias("text"), F.col(lang_col).alias("lang"), hashed.alias("h")).where(
         (remainder(F.col("id")) != 0) & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN)
     )
     counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
     share = F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53)
-    few = rows.join(F.broadcast(counts), "lang").where((share * F.col("n") < 3 * per_language) & (F.length("text") <= longest))
+    few = rows.join(F.broadcast(counts), "lang").where((share * F.col("n") < 3 * per_language) & F.col("text").isNotNull())
     best = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "text"))).where(F.col("r") <= per_language)
     return [(r["text"], r["lang"]) for r in best.orderBy("r", "lang").limit(most_rows).select("text", "lang").collect()]
 

@@ -61,3 +61,16 @@ def test_rejection_is_calibrated():
     model = N.fit(rows)
     assert model.predict("the dog and cat") == model.predict("the dog and cat") and model.predict("the dog and cat")[0] == "en"
     assert model.predict("le chien et chat")[2] and 0 <= model.limit <= 1
+
+
+def test_numerals_are_no_letters():
+    model = N.fit([("plain words here", "a"), ("autres mots encore", "b")] * 5)
+    for text in ("½ ² ①", "Ⅷ 12 _", "...", ""):
+        assert model.predict(text)[0] == N.UNKNOWN
+    assert model.predict("½ x")[0] != N.UNKNOWN and model.predict("字")[0] != N.UNKNOWN
+
+
+def test_long_texts_are_learnt_from_in_part(spark):
+    docs = spark.createDataFrame([(i, "lange worte " * 3000 if i % 2 else "short words " * 9, "de" if i % 2 else "en") for i in range(60)], "doc_id long, text string, lang string")
+    rows = N.training_rows(docs, id_col="doc_id", text_col="text", lang_col="lang")
+    assert {lang for _, lang in rows} == {"de", "en"} and max(len(t) for t, _ in rows) == N.LONGEST
