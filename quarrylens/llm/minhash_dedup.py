@@ -18,12 +18,15 @@ The steps, each over all rows:
    that has not been tried, under the same tests, so no link that the bands show is lost.  A
    leader is in thirty buckets with centres of their own, so few are still apart by then.
 5. Confirmed links are reduced by union-find inside each task and joined into components by
-   alternating star steps; nothing is gathered on the driver.
+   alternating star steps.  Nodes with over a ``HUB_SHARE``-th of the links are few by their
+   count, so what a step tells their neighbours is broadcast, and no task takes all links of one;
+   no list of links or components is gathered on the driver.
 
 With 30 bands of 5 rows a pair at similarity 0.8 misses every band with a chance of 7e-6.
 
 Defined cases: null, empty and wordless texts have no shingles and link with nothing; a text
-shorter than a shingle is one shingle; rows that repeat a doc_id count as one document with
+shorter than a shingle is one shingle; very long texts are read whole; of documents that tie
+the least doc_id stays; rows that repeat a doc_id count as one document with
 all their texts and are each reported; a null doc_id links with nothing, has a null component
 and is kept; an empty table gives an empty result; other columns are not read.
 """
@@ -44,6 +47,9 @@ BANDS = 30
 ROWS = 5
 SIMILARITY_PCT = 80
 SHINGLE_WORDS = 5
+#: A hub has more than this share of all links, and so at most twice as many hubs exist.
+HUB_SHARE = 10_000
+HUB_LINKS = 256
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _UNSET = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -241,13 +247,22 @@ def components(links: DataFrame) -> DataFrame:
         if not ends.groupBy("x").agg(F.sum("child").alias("children"), F.max("parent").alias("parent")).where("children + parent > 1").agg(F.count("*")).first()[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("x"))
+        large = with_least(both).select("u", "v", F.least("m", "u").alias("m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = settle(large, "large-star")
+        small = with_least(large).select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("x"))
         now = settle(small.select("x.a", "x.b").where("a <> b").distinct(), "links")
 
 
+def with_least(links: DataFrame) -> DataFrame:
+    """The links (u, v) with m, the least v of their u."""
+    counted = settle(links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least-neighbours")
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hub = f"n > {max(HUB_LINKS, total // HUB_SHARE)}"
+    hubs = F.broadcast(counted.where(hub).select("u", "m"))  # at most HUB_SHARE rows
+    others = counted.where(f"not ({hub})").select("u", "m").hint("merge")
+    return links.join(hubs, "u").union(links.join(hubs, "u", "left_anti").join(others, "u"))
+
+
 def near_duplicates(
     docs: DataFrame,
     *,

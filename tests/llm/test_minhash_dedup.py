@@ -101,3 +101,12 @@ def test_components_of_chains(spark):
     r.shuffle(links)
     got = {x.node: x.root for x in M.components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()}
     assert got == {i: 0 for i in range(1, 61)} | {120: 100, 150: 100, 201: 200}
+
+
+@pytest.mark.parametrize("hub_links", [0, 3])
+def test_components_with_hubs(spark, monkeypatch, hub_links):
+    monkeypatch.setattr(M, "HUB_LINKS", hub_links)
+    monkeypatch.setattr(M, "HUB_SHARE", 50)
+    links = [(0, i) for i in range(1, 200)] + [(i, i + 1000) for i in range(50, 90)] + [(500, i) for i in range(501, 700)] + [(1060, 650)]
+    got = {x.node: x.root for x in M.components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()}
+    assert got == {n: 0 for link in links for n in link if n}
