@@ -16,17 +16,33 @@ WORD = r"[^\x20\x09-\x0D]+"
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is made.
+    Only where that setting is absent and all runs on one machine, as in tests, a temporary
+    folder is made; a cluster without the setting is refused, as its executors share no such folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quarrylens-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the tables and files that this process wrote to the shared folder; results not yet written elsewhere go with them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:

@@ -21,7 +21,8 @@ number).
 
 Defined cases: null texts have no lines and stay null; empty lines stay; a null id sorts
 first; rows equal in id and text are one document and are both cut alike; rows that repeat an
-id under other texts are ordered by the text's hash; an empty table gives no rows; columns
+id under other texts are ordered by the text's hash; very long lines and texts are read whole;
+of lines that tie in everything but their place the earliest stays; an empty table gives no rows; columns
 beside id and text are not read.
 """
 

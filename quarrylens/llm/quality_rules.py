@@ -12,7 +12,8 @@ Base rules, on words ``[^\\x20\\x09-\\x0D]+``: fewer than ``min_words`` words, o
 Defined cases: null text has no words and fails the base; a text with fewer bytes than an
 n-gram scores 0; a null or unlabelled doc_id is untrusted; where a doc_id has several labels,
 all must trust it; with no trusted text, the ratio of two equal multinomials applies (every
-score 0); repeated rows are counted and judged each; columns of the input pass through, and
+score 0); very long texts are read whole, some at a time; a score equal to the threshold is kept;
+repeated rows are counted and judged each; columns of the input pass through, and
 result columns whose names are taken get underscores in front.
 """
 
@@ -141,6 +142,14 @@ def ratio_table(good: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.log((good + 1) / (good.sum() + len(good))) - np.log((raw + 1) / (raw.sum() + len(raw)))
 
 
+def result_names(carried: list[str]) -> list[str]:
+    """What the columns of RESULT are called beside these."""
+    names: list[str] = []
+    for name in RESULT:
+        names.append(fresh_name([*carried, *names], name))
+    return names
+
+
 def quality_rules(
     docs: DataFrame,
     labels: DataFrame,
@@ -163,9 +172,7 @@ def quality_rules(
     good, raw = count_grams(docs, labels, id_col=id_col, text_col=text_col, n=n, buckets=buckets)
     sent = docs.sparkSession.sparkContext.broadcast(ratio_table(good, raw))
     carried = docs.columns if keep_columns is None else keep_columns
-    names = []
-    for name in RESULT:
-        names.append(fresh_name([*carried, *names], name))
+    names = result_names(carried)
     kinds = [T.LongType()] * 5 + [T.BooleanType(), T.DoubleType(), T.BooleanType()]
     schema = T.StructType([*(docs.schema[c] for c in carried), *(T.StructField(a, k) for a, k in zip(names, kinds))])
     text = fresh_name(carried, "text_to_judge")

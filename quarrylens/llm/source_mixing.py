@@ -155,6 +155,14 @@ def fill_up(lengths: np.ndarray, counts: np.ndarray, left: int, most_sums: int =
     return take
 
 
+def result_names(carried: list[str]) -> list[str]:
+    """What size, source_size, target and taken are called beside these columns."""
+    names: list[str] = []
+    for name in ("size", "source_size", "target", "taken"):
+        names.append(fresh_name([*carried, *names], name))
+    return names
+
+
 def mix_sources(
     docs: DataFrame,
     *,
@@ -171,10 +179,9 @@ def mix_sources(
     """The kept columns of every row of docs (all unless named) with size, source_size, target and taken (words, repeats counted)."""
     spark = docs.sparkSession
     carried = docs.columns if keep_columns is None else keep_columns
-    names: list[str] = []
-    for name in ("size", "source_size", "target", "taken", "mix_source", "mix_order", "mix_slice", "mix_rank"):
-        names.append(fresh_name([*carried, *names], name))
-    size, source_size, target, taken, source, order, slice_, rank = names
+    names = result_names(carried)
+    size, source_size, target, taken = names
+    source, order, slice_, rank = (fresh_name([*carried, *names], name) for name in ("mix_source", "mix_order", "mix_slice", "mix_rank"))
     mark = F.xxhash64(F.lit(seed), docs[id_col], docs[text_col])
     rows = settle(
         docs.select(*(docs[c] for c in carried), docs[source_col].alias(source), word_count(docs[text_col]).alias(size), mark.alias(order), F.shiftrightunsigned(mark, 33).cast("int").alias(slice_)),
