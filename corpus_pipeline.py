@@ -2,6 +2,13 @@
 
 Each stage is a function of (spark, docs, sf_dir) whose result is written as Parquet and read
 again as the next one's docs.  All but the last return the columns of documents.
+
+Defined cases, in every stage: a null or empty text is rejected by the quality rules and so by
+the pipeline, but is a document without words to each later stage when that runs alone, which
+keeps it (mixing, which takes words, takes none of it); a null doc_id is a document like any
+other, and rows that repeat a doc_id are documents each; rows equal in text are near duplicates,
+of which the least doc_id stays, null last; texts of any length are read whole; an empty table
+gives no rows; columns beside those of documents pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +24,7 @@ from quarrylens.llm.common import fresh_name, scratch_path, settle
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     judged = quality_rules.quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judged.where(F.col(judged.columns[-1])).select(*docs.columns)  # the verdict is last, whatever its name
+    return judged.where(F.col(quality_rules.result_names(docs.columns)[-1])).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,13 +43,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     found = decontamination.find_benchmark_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(~F.col(found.columns[-1])).select(*docs.columns)
+    return found.where(~F.col(decontamination.result_names(docs.columns)[1])).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, once for each time it takes them."""
     mixed = source_mixing.mix_sources(docs)
-    size, taken = F.col(mixed.columns[-4]), F.col(mixed.columns[-1])
+    size, _, _, taken = map(F.col, source_mixing.result_names(docs.columns))
     copies = F.sequence(F.lit(1), (taken / F.greatest(size, F.lit(1))).cast("int"))
     return mixed.where(taken > 0).select(*docs.columns, F.explode(copies).alias(fresh_name(docs.columns, "copy"))).select(*docs.columns)
 
