@@ -1,19 +1,24 @@
 """HTML extraction by line-block distribution.
 
 1. Strip markup.  Tags become lines: each block element is one line of text, with its length
-   less the length of its links.  Scripts, styles, forms, the head and hidden elements go (the
-   head ends where body text or an element not allowed in it begins, buttons, media and such at
-   their end tag; without one, a list of options or a drawing holds only its own elements), and
-   so do elements that say by tag, class, id or role that they are menus, headers, footers,
-   sidebars, notices, adverts or reader comments.  Where one was cut out, and at the borders of
-   an article or main element, ``WINDOW`` empty lines stand.
+   less the length of its links.  Scripts, styles, the head, media and drawings are markup and
+   go (the head ends where body text or an element not allowed in it begins, buttons, media and
+   such at their end tag; without one, a list of options or a drawing holds only its own
+   elements).  What tags and names say is a hint, and acts on the lengths alone: lines of
+   elements that say by tag, class, id or role that they are menus, headers, footers, sidebars,
+   notices, adverts, forms or reader comments, or that are hidden, have length 0, and so has all
+   outside the article or main element where a page has one.  Inside an article some names are
+   too common to be trusted (``related work``, ``search results``): their lines have length 0 if
+   half of the element's text or more is links, if it holds controls of a form, or if it is a
+   few words without a sentence.  ``WINDOW`` empty lines stand at the borders of such elements,
+   and of an article or main element.
 2. Sum the lengths over sliding windows of WINDOW lines.  The text surges at the first window
    whose sum leaves zero and dives at the first that falls back to it.
-3. Keep all text between a surge and its dive.  Of several such runs, those inside the page's
-   article or main element are the text, or else those inside elements whose class or id says
-   so; on a page without either, the longest run and any that is at least ``RUN_SHARE_PCT``
-   per cent as long, and, whatever their length, runs of sibling blocks that only elements
-   cut out part from these.
+3. Keep all text between a surge and its dive.  Of several such runs all are the text on a page
+   with an article or main element, or with elements whose class or id says so; on a page
+   without either, the longest run and any that is at least ``RUN_SHARE_PCT`` per cent as long,
+   and, whatever their length, runs of sibling blocks that only lines of length 0 part from
+   these.
 
 Lines keep page order, joined by one newline; white space inside a line is one space;
 character references are decoded.
@@ -29,6 +34,7 @@ from __future__ import annotations
 import html as references
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -62,6 +68,9 @@ _CUT_PARTS = frozenset(
     " dropdown footer footnav gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion recommended"
     " related replies respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
+#: In the article itself these are believed only of what looks the part.
+_DOUBTFUL = frozenset("related recommended share sharing search social skip discussion respond replies widget widgets overlay dropdown toolbar banner".split())
+FEW_CHARS = 80
 #: In the article itself these name a part of it.
 _ARTICLE_PARTS = frozenset("header".split())
 _BODY_PARTS = frozenset("article entry post story content main".split())
@@ -77,18 +86,22 @@ _FOREIGN = frozenset("svg math".split())
 #: Without an end tag these hold only their own elements, and end before any other; the rest of _HELD hold nothing then.
 _OWN_ONLY = frozenset("select svg math".split())
 _IN_SELECT = frozenset("option optgroup hr".split())
+_CONTROLS = frozenset("form input select button".split())
 _HEAD_TAGS = frozenset("head html base basefont bgsound link meta noscript template".split())
 
 
 class _Open:
-    __slots__ = ("main", "cut", "name", "held", "loose", "block", "around")
+    __slots__ = ("main", "cut", "name", "held", "loose", "block", "around", "mute", "doubt")
 
     def __init__(self, name: str, cut: bool, main: int, held: bool = False, loose: bool = False):
         self.name, self.cut, self.main, self.held, self.loose = name, cut, main, held, loose
         self.block: object = None  # the block element around its text, and the one around that
         self.around: object = None
+        self.mute = held  # its text is markup
+        self.doubt: tuple[int, int] | None = None  # lines and form controls before it, if what its name says is in doubt
 
     def within(self, below: "_Open") -> "_Open":
+        self.mute = self.mute or below.mute
         self.block, self.around = (self, below.block) if self.name in _BLOCKS else (below.block, below.around)
         return self
 
@@ -108,13 +121,23 @@ def _facts(attributes: str) -> tuple[set[str], str, bool]:
     return parts, role, hidden
 
 
+class _Line(NamedTuple):
+    text: str
+    length: int  # 0 where a hint says that it is no part of the text
+    linked: int  # of its links
+    main: int  # how surely inside the article
+    cut: bool
+    block: object  # the block element around it, and the one around that
+    around: object
+
+
 class _Lines:
-    """Lines of a page: (text, length without links, how surely inside the article, its block and the block around it); None stands for an empty line."""
+    """Lines of a page; None stands for an empty line."""
 
     def __init__(self):
-        self.lines: list[tuple[str, int, int, object, object] | None] = []
+        self.lines: list[_Line | None] = []
         self.pieces: list[str] = []
-        self.linked = 0
+        self.linked = self.controls = 0
 
     def text(self, raw: str, in_link: bool) -> None:
         raw = references.unescape(raw) if "&" in raw else raw
@@ -124,17 +147,27 @@ class _Lines:
 
     def end(self, top: _Open) -> None:
         if self.pieces:
-            main = top.main
             line = " ".join("".join(self.pieces).split())
             if line:
                 own = len(line.replace(" ", "")) - self.linked
                 # a line that is mostly links counts as empty, but in an article it is text
-                self.lines.append((line, len(line) if main == _BY_ELEMENT else own if 2 * own > self.linked else 0, main, top.block, top.around))
+                length = 0 if top.cut else len(line) if top.main == _BY_ELEMENT else own if 2 * own > self.linked else 0
+                self.lines.append(_Line(line, length, self.linked, top.main, top.cut, top.block, top.around))
             self.pieces, self.linked = [], 0
 
     def gap(self) -> None:
         self.lines += [None] * WINDOW
 
+    def settle(self, doubt: tuple[int, int]) -> None:
+        """Is an element of a doubtful name what the name says?  Then its lines have no length."""
+        at, controls = doubt
+        mine = [x for x in self.lines[at:] if x and not x.cut]
+        chars = sum(len(x.text.replace(" ", "")) for x in mine)
+        few = chars < FEW_CHARS and not any(x.text[-1] in ".!?:…。" for x in mine)
+        if chars and (2 * sum(x.linked for x in mine) >= chars or self.controls > controls or few):
+            out = [x and x._replace(length=0, cut=True) for x in self.lines[at:]]
+            self.lines[at:] = [*[None] * WINDOW, *out, *[None] * WINDOW]
+
 
 def _closed(tokens: list[re.Match], page: str) -> set[int]:
     """Where those elements of _HELD start that have an end tag of their own."""
@@ -154,7 +187,7 @@ def _closed(tokens: list[re.Match], page: str) -> set[int]:
     return out
 
 
-def _strip(page: str) -> list[tuple[str, int, int, object, object] | None]:
+def _strip(page: str) -> list[_Line | None]:
     out = _Lines()
     tokens = list(_TOKEN.finditer(page))
     closed = _closed(tokens, page)
@@ -171,16 +204,21 @@ def _strip(page: str) -> list[tuple[str, int, int, object, object] | None]:
             if gone.held and gone.name != "head":
                 whole, loose = whole - (not gone.loose), loose - gone.loose
             below = stack[-1]
+            if gone.doubt:
+                out.end(gone)
+                out.settle(gone.doubt)
             if (gone.cut and not below.cut or gone.main > below.main) and not gone.held:
+                out.end(gone)
                 out.gap()
 
     for m in tokens:
         if m.start() > at:
             if stack[-1].name == "head" and not page[at : m.start()].isspace():
                 leave(len(stack) - 1)
-            if not stack[-1].cut:
+            if not stack[-1].mute:
                 out.text(page[at : m.start()], in_link)
         at = m.end()
+        out.controls += m["raw"] is not None and m["raw"].lower() == "textarea"
         name = (m["name"] or m["name2"] or "").lower()
         if not name:
             continue
@@ -197,11 +235,13 @@ def _strip(page: str) -> list[tuple[str, int, int, object, object] | None]:
         if name == "a" and not whole and not loose:
             in_link = not closing
         if name == "br" or name == "wbr":
-            if name == "br" and not top.cut:
+            if name == "br" and not top.mute:
                 out.text(" ", False)
             continue
-        if name in _BLOCKS and not top.cut:
+        if name in _BLOCKS and not top.mute:
             out.end(top)
+        if not closing and name in _CONTROLS:
+            out.controls += 1
         if name in _VOID or name in _INLINE or name == "a":
             continue
         if closing:
@@ -240,21 +280,28 @@ def _strip(page: str) -> list[tuple[str, int, int, object, object] | None]:
         parts, role, hidden = _facts(attributes) if attributes else (set(), "", False)
         named = bool(parts & _BODY_PARTS) and name not in ("html", "body")
         main = _BY_ELEMENT if name in ("article", "main") or role in ("main", "article") else max(top.main, _BY_NAME if named else 0)
+        doubt = False
         cut = top.cut or hidden or name in _CUT_TAGS or role in _CUT_ROLES or name == "header" and not main
         if not cut and parts and name not in ("html", "body", "main"):
             bad = parts & _CUT_PARTS
             if main:
                 bad -= _ARTICLE_PARTS
-            cut = bool(bad)
+                doubt = bool(bad) and bad <= _DOUBTFUL and name in _BLOCKS
+            cut = bool(bad) and not doubt
+        if doubt:
+            out.end(top)
         if cut and not top.cut or main > top.main:
             out.end(top)
             out.gap()
         stack.append(_Open(name, cut, 0 if cut else main).within(top))
+        if doubt:
+            stack[-1].doubt = len(out.lines), out.controls
     if stack[-1].name == "head" and at < len(page) and not page[at:].isspace():
         leave(len(stack) - 1)
-    if at < len(page) and not stack[-1].cut:
+    if at < len(page) and not stack[-1].mute:
         out.text(page[at:], in_link)
     out.end(stack[-1])
+    leave(1)
     return out.lines
 
 
@@ -278,20 +325,19 @@ def runs(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
     return out
 
 
-def _parted_by_cuts(lines: list, one: tuple[int, int], two: tuple[int, int]) -> bool:
-    """Is there nothing between two runs but what was cut out, and do sibling blocks stand on both sides?"""
-    if any(lines[one[1] : two[0]]):
+def _parted_by_cuts(lines: list[_Line | None], one: tuple[int, int], two: tuple[int, int]) -> bool:
+    """Is there nothing between two runs but lines that a hint took the length of, and do sibling blocks stand on both sides?"""
+    if any(line and not line.cut for line in lines[one[1] : two[0]]):
         return False
-    (_, _, _, a, above), (_, _, _, b, beyond) = lines[one[1] - 1], lines[two[0]]
-    return above is beyond or a is b or a is beyond or b is above
+    before, after = lines[one[1] - 1], lines[two[0]]
+    return before.around is after.around or before.block is after.block or before.block is after.around or after.block is before.around
 
 
 def main_text(page: str | None) -> str:
     """The article of a page."""
     lines = _strip(page or "")
-    inside = max((line[2] for line in lines if line), default=0)
-    lines = [line if line and line[2] == inside else None for line in lines]
-    lengths = [line[1] if line else 0 for line in lines]
+    inside = max((line.main for line in lines if line and not line.cut), default=0)
+    lengths = [line.length if line and line.main == inside else 0 for line in lines]
     found = runs(lengths)
     mass = [sum(lengths[a:b]) for a, b in found]
     most = max(mass, default=0)
@@ -303,7 +349,7 @@ def main_text(page: str | None) -> str:
                 before = i - 1 if order.step > 0 else i + 1
                 keep[i] |= keep[before] and joined[min(i, before)]
     kept = [span for span, good in zip(found, keep) if good]
-    return "\n".join(line[0] for a, b in kept for line in lines[a:b] if line)
+    return "\n".join(line.text for a, b in kept for line in lines[a:b] if line)
 
 
 def extract_pages(pages: DataFrame, *, html_col: str = "html", keep_columns: list[str] | None = None) -> DataFrame:

@@ -1,7 +1,15 @@
+import html
+import random
+import re
+
+import pyarrow.parquet as pq
 import pytest
 
+from quarrylens.llm import html_extraction as X
 from quarrylens.llm.html_extraction import extract_pages, main_text, runs
 
+from ..conftest import SF
+
 ARTICLE = "<article><h1>Title</h1><p>One  <b>two</b>\n three.<p>Fish &amp; chips &#233; &lt;b&gt;</p><ul><li>a<li>b</ul></article>"
 TEXT = "Title\nOne two three.\nFish & chips é <b>\na\nb"
 
@@ -87,3 +95,57 @@ def test_an_advert_does_not_part_the_opening_from_the_body(tags):
     ad, menu = '<div class="ad">Buy now</div>', "".join(f"<li><a href={i}>to page {i}</a>" for i in range(4))
     assert main_text(f"<{tags}><h1>Title</h1><p>Opening.</p>{ad}{long}{ad}<p>End.</p>{ad}Last.</{tags}>") == f"Title\nOpening.\n{lines}\nEnd.\nLast."
     assert main_text(f"<div><div>Slogan</div></div><nav>x</nav><{tags}>{long}</{tags}><ul>{menu}</ul><div>tiny</div>") == lines
+
+
+def by_pattern(page):
+    """The text of an article whose page has one, by patterns alone."""
+    body = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    body = re.sub(r"<!--.*?-->|<(script|style)\b.*?</\1>", "", body, flags=re.S)
+    blocks = re.split(r"</?(?:p|h1|h2|h3|ul|ol|li|div|blockquote|pre|table|tr|td)\b[^>]*>", body)
+    lines = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in blocks]
+    return "\n".join(x for x in lines if x)
+
+
+def by_windows(page):
+    """What is kept of a page with an article: each line from whose window of WINDOW lines no sum falls to 0 between two lines with a length."""
+    lines = X._strip(page)
+    inside = max((x.main for x in lines if x and not x.cut), default=0)
+    length = [x.length if x and x.main == inside else 0 for x in lines]
+    kept, dropped = [], 0
+    for i, line in enumerate(lines):
+        if line:
+            before = [k for k in range(i + 1) if length[k]]
+            after = [k for k in range(i, len(lines)) if length[k]]
+            good = bool(before) and bool(after) and all(sum(length[k : k + X.WINDOW]) for k in range(before[-1], after[0] + 1))
+            kept += [line.text] * good
+            dropped += not good
+    return "\n".join(kept), dropped
+
+
+def test_whole_pages_by_brute_force():
+    pages = [r["html"] for r in pq.read_table(f"{SF}/pages.parquet").to_pylist()]
+    decided = 0
+    for page in pages:
+        got = X.main_text(page)
+        want, dropped = by_windows(page)
+        assert got == want == by_pattern(page)
+        decided += dropped > 0
+    assert decided == len(pages)  # on every page there are lines that the windows part from the text
+
+
+def test_pages_without_telling_names():
+    r = random.Random(4)
+    for _ in range(200):
+        words = lambda n: " ".join(r.choice(["river", "stone", "cloud", "&amp;", "tree"]) for _ in range(n))
+        menu = "".join(f'<li><a href="/{k}">{words(2)}</a></li>' for k in range(r.randrange(3, 9)))
+        text = [words(r.randrange(20, 60)) for _ in range(r.randrange(4, 9))]
+        end = "".join(f'<div class="x{k}"><a href="/{k}">{words(5)}</a> |</div>' for k in range(r.randrange(1, 4)))
+        page = f"<html><body><div class=q1><ul>{menu}</ul></div><div class=q2>{''.join(f'<p>{t}</p>' for t in text)}</div><div class=q3>{end}</div></body></html>"
+        assert X.main_text(page) == "\n".join(t.replace("&amp;", "&") for t in text)
+
+
+def test_doubtful_names_inside_an_article():
+    work = "<div class='related work'><p>Related work is a section of prose.</p></div>"
+    page = f"<main><p>One text.</p>{work}<div class=related><a href=x>more</a> <a href=y>of this</a></div><div class=search>Find <input name=q> it all here now.</div><section class=share>Share this</section><p>End.</p></main>"
+    assert X.main_text(page) == "One text.\nRelated work is a section of prose.\nEnd."
+    assert X.main_text(page.replace("main>", "div>")) == "One text.\nEnd."
