@@ -91,8 +91,8 @@ def read_ledger(spark: SparkSession, ledger: str, rule_version: str = RULE_VERSI
     """The ledger's rows of one rule version; other versions are not read.  What two scans appended at once stands twice."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger)
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], LEDGER)
-    return spark.read.schema(f"{LEDGER}, rule_version string").parquet(ledger).where(F.col("rule_version") == rule_version).drop("rule_version")
+        return spark.createDataFrame([], f"{LEDGER}, rule_version string")
+    return spark.read.schema(f"{LEDGER}, rule_version string").parquet(ledger).where(F.col("rule_version") == rule_version)
 
 
 def scan_secrets(
@@ -113,5 +113,5 @@ def scan_secrets(
     addressed = docs.select(F.col(path_col).alias("path"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("blob", F.sha2(F.col("text").cast("binary"), 256))
     unseen = addressed.groupBy("blob").agg(F.first("text").alias("text")).join(read_ledger(spark, ledger, rule_version).select("blob"), "blob", "left_anti")
     scan_blobs(unseen).withColumn("rule_version", F.lit(rule_version)).write.mode("append").partitionBy("rule_version").parquet(ledger)
-    findings = read_ledger(spark, ledger, rule_version).dropDuplicates(["blob"])  # by the key of the join that follows, so in one shuffle
+    findings = read_ledger(spark, ledger, rule_version).dropDuplicates(["blob", "rule_version"]).drop("rule_version")  # not by the join's key alone, which would bind a hot blob to one task
     return addressed.select("path", "blob").join(findings, "blob").select("path", "blob", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
