@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -180,3 +182,54 @@ def safe_path(path: Column) -> Column:
 
 def page_count(total: Column, size: Column) -> Column:
     return F.greatest(F.lit(1).cast("long"), F.ceil(total / size))
+
+
+def hmac_pads(key: bytes) -> tuple[bytes, bytes]:
+    """Inner and outer pad of HMAC-SHA256."""
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    return bytes(b ^ 0x36 for b in key), bytes(b ^ 0x5C for b in key)
+
+
+def hmac_sha256(key: bytes, message: Column) -> Column:
+    """HMAC-SHA256 of a text in lower-case hex, of two hashes that Spark has."""
+    inner, outer = hmac_pads(key)
+    return F.sha2(F.concat(F.lit(outer), F.unhex(F.sha2(F.concat(F.lit(inner), message.cast("binary")), 256))), 256)
+
+
+def expand_placeholders(s: Column, values: dict[str, str], most: int = 5) -> Column:
+    """The first ``most`` placeholders ${X} replaced by values, unknown ones by nothing; an open one stays."""
+    known = F.create_map(*(F.lit(x) for kv in (values or {"": ""}).items() for x in kv))
+    whole = r"(?s)^(.*?)\$\{([^}]*)\}(.*)$"
+    for _ in range(most):
+        value = F.coalesce(F.try_element_at(known, F.regexp_extract(s, whole, 2)), F.lit(""))
+        s = F.when(s.rlike(whole), F.concat(F.regexp_extract(s, whole, 1), value, F.regexp_extract(s, whole, 3))).otherwise(s)
+    return s
+
+
+def random_id() -> Column:
+    """32 random hex digits."""
+    return F.replace(F.uuid(), F.lit("-"))
+
+
+def push_event(body: Column) -> Column:
+    """provider, repo_url, branch, tag, deleted, before, after and error of a push payload, as the two providers send it.
+
+    error says what is missing: body, json, event, url or branch; empty if the event can be used.
+    """
+    get = lambda *path: F.get_json_object(body, "$." + ".".join(path))
+    kind, hook = F.coalesce(get("object_kind"), F.lit("")), F.coalesce(get("hook_name"), F.lit(""))
+    # fixed values: the providers' names of their events
+    provider = F.when(kind.isin("push", "tag_push"), "gitlab").when(hook.isin("push_hooks", "tag_push_hooks"), "gitee").otherwise("")
+    by_kind = F.when(provider == "gitlab", kind == "tag_push").otherwise(hook == "tag_push_hooks")
+    places = [("repository", "git_http_url"), ("project", "git_http_url"), ("repository", "url"), ("repository", "git_ssh_url"), ("project", "git_ssh_url"), ("repository", "html_url"), ("project", "html_url")]
+    url = F.coalesce(*(F.when(F.trim(get(*p)) != "", get(*p)) for p in places))
+    ref, after = F.coalesce(get("ref"), F.lit("")), F.coalesce(get("after"), F.lit(""))
+    known = provider != ""
+    tag = known & (by_kind | is_tag(ref))
+    branch = F.when(known & ~tag & (ref != ""), F.regexp_replace(ref, "^refs/heads/", ""))
+    deleted = known & ~tag & (after == "0" * 40)
+    error = (
+        F.when(F.coalesce(body, F.lit("")) == "", "body").when(F.try_parse_json(body).isNull(), "json").when(~known, "event").when(url.isNull(), "url")
+        .when(~tag & ~deleted & (F.coalesce(branch, F.lit("")) == ""), "branch").otherwise("")
+    )
+    return F.struct(provider.alias("provider"), F.when(known, url).alias("repo_url"), branch.alias("branch"), tag.alias("tag"), deleted.alias("deleted"), get("before").alias("before"), after.alias("after"), error.alias("error"))

@@ -67,14 +67,20 @@ def skip_reason(path: Column) -> Column:
 
 
 def term_hits(docs: DataFrame, query: str) -> DataFrame:
-    """docs with hits, how many of the query's terms each holds."""
+    """docs with hits, how many of the query's terms each holds.  The body is put in lower case once a row."""
     body = F.lower(F.concat_ws(" ", "module_name", "func_name", "file_path", "summary", "process_flow", "risk_point"))
-    return docs.withColumn("hits", F.size(F.filter(S.query_terms(F.lit(query)), lambda w: F.contains(body, w))).cast("long"))
+    each = (F.contains(F.col("body_"), F.lit(w)).cast("long") for w in terms_of(docs, query))
+    return docs.withColumn("body_", body).withColumn("hits", sum(each, F.lit(0).cast("long"))).drop("body_")
+
+
+def terms_of(docs: DataFrame, query: str) -> list[str]:
+    """The terms of one query, taken out once."""
+    return docs.sparkSession.range(1).select(S.query_terms(F.lit(query))).first()[0]
 
 
 def relevant(docs: DataFrame, query: str, least: int = 2) -> DataFrame:
     """Documents with two terms or more of the query; all of them if the query has no terms."""
-    return term_hits(docs, query).where((F.col("hits") >= least) | (F.size(S.query_terms(F.lit(query))) == 0))
+    return term_hits(docs, query).where((F.col("hits") >= least) if terms_of(docs, query) else F.lit(True))
 
 
 def candidate_models(models: DataFrame, estimated_tokens: int = 0, least_price: float | None = None) -> DataFrame:

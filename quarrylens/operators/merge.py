@@ -33,15 +33,36 @@ def merge_actions(existing: DataFrame, parsed: DataFrame) -> DataFrame:
     return both.withColumn("action", action)
 
 
+#: What a generator writes about a function.
+GENERATED = ["summary", "process_flow", "risk_point"]
+
+
 def apply_merge(existing: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Documents after the merge.  A second merge of the same code hits every automatic document."""
-    act = merge_actions(existing, parsed).where("action in ('flag', 'overwrite')").select("id", "code", "action")
-    out = existing.join(act, "id", "left")
-    changed = F.col("action").isNotNull()
-    kept = out.withColumn("source_code", F.when(changed, F.col("code")).otherwise(F.col("source_code"))).withColumn(
-        "source_code_changed", F.when(F.col("action") == "flag", 1).when(F.col("action") == "overwrite", 0).otherwise(F.col("source_code_changed")).cast("long")
-    )
-    return kept.select(*existing.columns)
+    """Documents after the merge, those of new functions included.  A second merge of the same code hits every automatic document.
+
+    parsed: KEYS, code, and what it brings of module_name, func_line and GENERATED.  A manual
+    document takes code and line alone and is marked for review; an automatic one takes all; a
+    new one also keeps what was generated, as origin_auto_doc, which no later merge touches.
+    New ids follow the greatest one, without order or gaps of any meaning.
+    """
+    act = merge_actions(existing, parsed).where("action <> 'hit'")
+    known = act.where("id is not null").select("id", "code", "action", *(F.col(c).alias(f"new_{c}") for c in ["func_line", "module_name", *GENERATED] if c in parsed.columns and c in existing.columns))
+    out = existing.join(known, "id", "left")
+    changed, overwrite = F.col("action").isNotNull(), F.col("action") == "overwrite"
+    values = {
+        "source_code": F.when(changed, F.col("code")).otherwise(F.col("source_code")),
+        "source_code_changed": F.when(F.col("action") == "flag", 1).when(overwrite, 0).otherwise(F.col("source_code_changed")).cast("long"),
+    }
+    for c in ["func_line", "module_name", *GENERATED]:
+        if f"new_{c}" in known.columns:
+            values[c] = F.when(changed if c == "func_line" else overwrite, F.col(f"new_{c}")).otherwise(F.col(c))
+    kept = out.withColumns(values).select(*existing.columns)
+    last = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))  # one row
+    own = {"id": F.col("last") + 1 + F.monotonically_increasing_id(), "source_code": F.col("code"), "content_source": F.lit(AUTO), "source_code_changed": F.lit(0), "is_deleted": F.lit(0)}
+    own["origin_auto_doc"] = F.to_json(F.struct(*(c for c in GENERATED if c in parsed.columns))) if set(GENERATED) & set(parsed.columns) else F.lit(None)
+    brought = {c: F.col(c) for c in parsed.columns}
+    new = parsed.join(existing.select(*KEYS), KEYS, "left_anti").crossJoin(F.broadcast(last))
+    return kept.union(new.select(*((own | {k: v for k, v in brought.items() if k not in own}).get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in existing.schema)))
 
 
 def retire_ghosts(existing: DataFrame, current: DataFrame, keys: tuple[str, ...] = ("file", "func")) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -67,9 +88,9 @@ def call_edges(parsed: DataFrame) -> DataFrame:
 
 
 def change_text(changed: DataFrame, edges: DataFrame) -> DataFrame:
-    """impact of each changed function (module, func): a sentence that names its direct callers and callees.
+    """change_summary, impact and attention of each changed function (module, func, and summary if there is one).
 
-    The wording is a fixed value.
+    impact names its direct callers and callees.  The wording is a fixed value.
     """
     name = S.function_key(F.col("module"), F.col("func"))
     links = edges.select(S.function_key(F.col("caller_module"), F.col("caller_func")).alias("caller"), S.function_key(F.col("callee_module"), F.col("callee_func")).alias("callee"))
@@ -79,4 +100,9 @@ def change_text(changed: DataFrame, edges: DataFrame) -> DataFrame:
     downs = links.join(own.select(F.col("name").alias("caller")), "caller", "left_semi").groupBy(F.col("caller").alias("name")).agg(joined("callee").alias("downs"))
     all_ = own.join(ups, "name", "left").join(downs, "name", "left")
     part = lambda head, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(head), F.col(c), F.lit("。"))).otherwise("")
-    return all_.withColumn("impact", F.concat(F.lit("修改 "), "name", F.lit("。"), part(" 上游调用方：", "ups"), part(" 下游依赖：", "downs")))
+    about = F.when(F.trim("summary") != "", F.concat(F.lit("："), "summary")).otherwise("") if "summary" in changed.columns else F.lit("")
+    return all_.withColumns({
+        "change_summary": F.concat(F.lit("本轮迭代修改 "), "name", about),
+        "impact": F.concat(F.lit("修改 "), "name", F.lit("。"), part(" 上游调用方：", "ups"), part(" 下游依赖：", "downs")),
+        "attention": F.concat(F.lit("建议回归 "), "name", F.lit(" 及其调用链。")),
+    })

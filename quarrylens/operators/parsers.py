@@ -123,19 +123,30 @@ def php_functions(source: str | None) -> list[tuple]:
     return out
 
 
+_BRACE = re.compile(r'"(?:[^"\\]|\\.)*+(?:"|\Z)|[{}]', re.S)
+
+
 def json_candidates(text: str | None) -> list[str]:
-    """Balanced objects in a text, braces in strings aside, that parse as JSON; outermost, in order."""
+    """Balanced objects in a text, braces in strings aside, that parse as JSON; outermost, in order.
+
+    An object that does not parse takes what is inside it along, and so does one nested too deeply
+    to be read.
+    """
     text = text or ""
-    out, at = [], text.find("{")
-    decoder = json.JSONDecoder()
-    while at >= 0:
-        try:
-            _, end = decoder.raw_decode(text, at)
-        except ValueError:
-            at = text.find("{", at + 1)
-        else:
-            out.append(text[at:end])
-            at = text.find("{", end)
+    out: list[str] = []
+    depth = start = 0
+    for m in _BRACE.finditer(text):
+        if m[0] == "{":
+            start = m.start() if not depth else start
+            depth += 1
+        elif m[0] == "}" and depth:
+            depth -= 1
+            if not depth:
+                try:
+                    json.loads(text[start : m.end()])
+                except (ValueError, RecursionError):
+                    continue
+                out.append(text[start : m.end()])
     return out
 
 

@@ -17,7 +17,7 @@ KEYWORD_COLUMNS = ("module_name", "func_name", "file_path", "summary", "process_
 def vector_top_k(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
     """The k nearest vectors by L2 distance: id, distance.  Filters belong on `vectors`, before the limit; query is one row."""
     one = F.broadcast(query.limit(1).select(F.col("embedding").alias("wanted")))
-    return vectors.crossJoin(one).select("id", F.round(S.l2_distance(F.col("embedding"), F.col("wanted")), 6).alias("distance")).orderBy("distance", "id").limit(k)
+    return vectors.crossJoin(one).select("id", S.l2_distance(F.col("embedding"), F.col("wanted")).alias("distance")).orderBy("distance", "id").limit(k)
 
 
 def ranked(df: DataFrame, *order: Column) -> DataFrame:
@@ -87,3 +87,15 @@ def context_entries(docs: DataFrame, most_bytes: int = CONTEXT_BYTES) -> DataFra
     entry = F.format_string(_ENTRY, F.col("pos") + 1, "module_name", "func_name", "file_path", "func_line", field("summary"), field("process_flow"), field("risk_point"))
     sized = docs.withColumn("entry", entry).withColumn("bytes", F.octet_length("entry").cast("long"))
     return sized.withColumn("used", F.sum("bytes").over(Window.orderBy("pos"))).where(F.col("used") <= most_bytes)
+
+
+# fixed values: what a result says without documents
+_NO_DOCUMENTS = "知识库中暂未检索到与当前需求相关的业务文档，缺少对应资料。"
+_NOTE = "\n说明：知识库暂未检索到与当前需求匹配的业务文档，建议补充相关代码后重新分析。"
+
+
+def degraded(results: DataFrame) -> DataFrame:
+    """results (analysis, n: documents recalled) with knowledge_missing, and an analysis that says so."""
+    said = F.coalesce("analysis", F.lit(""))
+    told = F.when(F.trim(said) == "", F.lit(_NO_DOCUMENTS)).when(~F.contains(said, F.lit("知识库")), F.concat(said, F.lit(_NOTE))).otherwise(said)
+    return results.withColumn("knowledge_missing", F.col("n") == 0).withColumn("analysis", F.when(F.col("n") == 0, told).otherwise(F.col("analysis")))

@@ -10,6 +10,7 @@ from quarrylens.operators import merge as M
 from quarrylens.operators import retrieval as R
 from quarrylens.plans.joins import _DIFF, _GHOSTS
 from quarrylens.plans.registry import query
+from quarrylens.sources.scratch import settle
 
 
 def _bfs_sql(name: str, near: str, far: str, depth: int) -> str:
@@ -50,7 +51,7 @@ QUALIFY row_number() OVER (PARTITION BY module, func ORDER BY rk) = 1)"""
 JOIN nodes a ON a.module = e.caller_module AND a.func = e.caller_func JOIN nodes b ON b.module = e.callee_module AND b.func = e.callee_func""")
 def _(t):
     seeds = _seeds(t)
-    nodes = G.impact_nodes(seeds, G.impact(t.edge_table, seeds))
+    nodes = settle(G.impact_nodes(seeds, G.impact(t.edge_table, seeds)), "impact-nodes")  # read by both joins
     a = nodes.select(F.col("module").alias("caller_module"), F.col("func").alias("caller_func"), F.col("kind").alias("from_kind"))
     b = nodes.select(F.col("module").alias("callee_module"), F.col("func").alias("callee_func"), F.col("kind").alias("to_kind"))
     return t.edge_table.join(a, ["caller_module", "caller_func"]).join(b, ["callee_module", "callee_func"]).select("from_kind", "to_kind", "caller_module", "caller_func", "callee_module", "callee_func")
@@ -139,6 +140,21 @@ def _(t):
     return M.merge_actions(t.active, _parsed(t)).select("file_path", "func_name", "action")
 
 
+@query("sk09_doc_merge", f"""WITH $docs, {_EXISTING}, had AS (SELECT a.*, NULL AS origin_auto_doc FROM active a),
+p AS (SELECT d.repo_id, d.file_path, d.func_name, d.module_name || '!' AS module_name, d.func_line + 1 AS func_line, x.code, split_part(x.code, chr(10), 2) AS summary, d.process_flow || '.' AS process_flow, d.risk_point FROM docs d JOIN parsed x ON x.repo_id = d.repo_id AND x.file_path = d.file_path AND x.func_name = d.func_name),
+j AS (SELECT p.*, e.id, e.module_name AS m0, e.func_line AS l0, e.source_code AS c0, e.summary AS s0, e.process_flow AS f0, e.content_source AS t0, e.source_code_changed AS r0, {_ACTION} AS act FROM p LEFT JOIN had e ON e.repo_id = p.repo_id AND e.file_path = p.file_path AND e.func_name = p.func_name)
+SELECT repo_id, file_path, func_name, CASE WHEN act IN ('insert', 'overwrite') THEN module_name ELSE m0 END AS module_name, CASE WHEN act = 'hit' THEN l0 ELSE func_line END AS func_line, md5(CASE WHEN act = 'hit' THEN c0 ELSE code END) AS code_md5,
+md5(CASE WHEN act IN ('insert', 'overwrite') THEN summary || process_flow ELSE s0 || f0 END) AS doc_md5, CASE WHEN act IN ('insert', 'overwrite') THEN 1 ELSE t0 END AS content_source, CASE act WHEN 'flag' THEN 1 WHEN 'hit' THEN r0 ELSE 0 END AS source_code_changed, act = 'insert' AS has_origin FROM j""")
+def _(t):
+    more = t.docs.select("repo_id", "file_path", "func_name", F.concat("module_name", F.lit("!")).alias("module_name"), (F.col("func_line") + 1).alias("func_line"), F.concat("process_flow", F.lit(".")).alias("process_flow"), "risk_point")
+    parsed = _parsed(t).join(more, ["repo_id", "file_path", "func_name"]).withColumn("summary", F.split_part("code", F.lit("\n"), F.lit(2)))
+    after = M.apply_merge(t.active.withColumn("origin_auto_doc", F.lit(None).cast("string")), parsed)
+    return after.select(
+        "repo_id", "file_path", "func_name", "module_name", "func_line", F.md5(F.col("source_code").cast("binary")).alias("code_md5"), F.md5(F.concat("summary", "process_flow").cast("binary")).alias("doc_md5"),
+        "content_source", "source_code_changed", F.col("origin_auto_doc").isNotNull().alias("has_origin"),
+    )
+
+
 @query("mg02_ghost_retire", f"WITH $code, g AS ({_GHOSTS}) SELECT file, func, 3 AS operate_type, true AS delete_vector FROM g")
 def _(t):
     retired, log, vectors = M.retire_ghosts(t.old_code, t.new_code)
@@ -147,7 +163,7 @@ def _(t):
 
 @query("mg03_change_text", """WITH $edges, f AS (SELECT DISTINCT callee_func AS func FROM edges WHERE callee_module = 'region'),
 up AS (SELECT callee_func AS func, string_agg(caller_module || '.' || caller_func, '、' ORDER BY caller_module || '.' || caller_func) AS ups FROM edges WHERE callee_module = 'region' GROUP BY 1)
-SELECT f.func, '修改 region.' || f.func || '。' || CASE WHEN ups IS NOT NULL THEN ' 上游调用方：' || ups || '。' ELSE '' END AS impact FROM f LEFT JOIN up USING (func)""")
+SELECT f.func, '本轮迭代修改 region.' || f.func AS change_summary, '修改 region.' || f.func || '。' || CASE WHEN ups IS NOT NULL THEN ' 上游调用方：' || ups || '。' ELSE '' END AS impact, '建议回归 region.' || f.func || ' 及其调用链。' AS attention FROM f LEFT JOIN up USING (func)""")
 def _(t):
     changed = t.edges.where("callee_module = 'region'").select(F.col("callee_module").alias("module"), F.col("callee_func").alias("func")).distinct()
-    return M.change_text(changed, t.edges).select("func", "impact")
+    return M.change_text(changed, t.edges).select("func", "change_summary", "impact", "attention")

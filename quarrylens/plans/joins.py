@@ -147,12 +147,12 @@ def _(t):
     return D.test_selection(t.active.select("id", F.col("source_code").alias("content")), ["token", "password", "License", "stupid"]).select("id", F.array_join(F.array_sort("funcs"), ",").alias("funcs"))
 
 
-_TOPK = "SELECT id, round(list_distance(CAST(v AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS distance FROM vs"
+_TOPK = "SELECT id, round(far, 6) AS distance FROM (SELECT id, list_distance(CAST(v AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS far FROM vs)"
 
 
-@query("jn19_vector_topk", f"WITH $docs, vs AS (SELECT vec_id AS id, embedding AS v FROM embeddings e JOIN active d ON d.id = e.vec_id WHERE repo_id = 1) {_TOPK} ORDER BY distance, id LIMIT 10")
+@query("jn19_vector_topk", f"WITH $docs, vs AS (SELECT vec_id AS id, embedding AS v FROM embeddings e JOIN active d ON d.id = e.vec_id WHERE repo_id = 1) {_TOPK} ORDER BY far, id LIMIT 10")
 def _(t):
-    return R.vector_top_k(t.vectors.join(t.slim.where("repo_id = 1").select("id"), "id", "left_semi"), t.vectors.where("id = 0"), 10)
+    return R.vector_top_k(t.vectors.join(t.slim.where("repo_id = 1").select("id"), "id", "left_semi"), t.vectors.where("id = 0"), 10).withColumn("distance", F.round("distance", 6))
 
 
 @query("jn20_repo_name", "WITH $docs, repos(repo_id, name) AS (VALUES (1, 'en'), (2, 'fr')) SELECT d.id, coalesce(r.name, '') AS repo_name FROM active d LEFT JOIN repos r USING (repo_id)")

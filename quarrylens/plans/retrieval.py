@@ -11,7 +11,7 @@ from quarrylens.plans.registry import query
 
 _LIKE = " OR ".join(f"{c} ILIKE '%stupid%'" for c in R.KEYWORD_COLUMNS)
 _RECALL = f"""$docs, $relations, d1 AS (SELECT * FROM active WHERE repo_id = 1),
-near AS (SELECT vec_id AS id, round(list_distance(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS distance FROM embeddings WHERE vec_id IN (SELECT id FROM d1)),
+near AS (SELECT vec_id AS id, list_distance(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS distance FROM embeddings WHERE vec_id IN (SELECT id FROM d1)),
 a AS (SELECT id, row_number() OVER (ORDER BY distance, id) - 1 AS pos FROM near QUALIFY pos < 10),
 b AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS pos FROM d1 WHERE {_LIKE} QUALIFY pos < 5),
 u AS (SELECT 0 AS channel, pos, id FROM a WHERE id > 0 UNION ALL SELECT 1, pos, id FROM b WHERE id > 0),

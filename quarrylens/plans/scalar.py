@@ -105,7 +105,7 @@ def _(t):
     return e.select("event_id", S.json_object(msg).alias("obj"))
 
 
-@query("fn18_balanced_json")
+@query("fn18_balanced_json", """SELECT event_id, props AS candidate FROM events WHERE props IS NOT NULL UNION ALL SELECT event_id, '{"s": "}{"}' FROM events WHERE props IS NOT NULL""")
 def _(t):
     e = t.raw("events")
     said = F.concat(F.lit("first {broken} then "), "props", F.lit(' and {"s": "}{"} end'))
@@ -174,3 +174,45 @@ def _(t):
 def _(t):
     row = F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))
     return t.raw("customer").select("c_custkey", F.to_json(row, {"ignoreNullFields": "false"}).alias("snapshot"))
+
+
+_KEY = b"shared secret"
+
+
+def _blob(raw: bytes) -> str:
+    return "'" + "".join(f"\\x{b:02X}" for b in raw) + "'::BLOB"
+
+
+@query("fn24_signature", f"""WITH m AS (SELECT event_id, event_type || ':' || props AS msg FROM events WHERE props IS NOT NULL), s AS (SELECT event_id, msg, sha256({_blob(S.hmac_pads(_KEY)[1])} || from_hex(sha256({_blob(S.hmac_pads(_KEY)[0])} || encode(msg)))) AS signature FROM m)
+SELECT event_id, signature, event_id % 3 = 0 AS accepted FROM s""")
+def _(t):
+    said = t.raw("events").where("props is not null").select("event_id", S.hmac_sha256(_KEY, F.concat_ws(":", "event_type", "props")).alias("signature"))
+    sent = F.when(F.col("event_id") % 3 == 0, F.col("signature")).otherwise(F.reverse("signature"))
+    return said.select("event_id", "signature", (sent == F.col("signature")).alias("accepted"))
+
+
+@query("fn29_placeholders", "SELECT event_id, CASE event_type WHEN 'view' THEN 'a=1/seen/' WHEN 'click' THEN 'a=1/hit/' ELSE 'a=1//' END || '${' AS filled FROM events")
+def _(t):
+    text = F.concat(F.lit("a=${A}/${"), "event_type", F.lit("}/${NONE}${"))
+    return t.raw("events").select("event_id", S.expand_placeholders(text, {"A": "1", "view": "seen", "click": "hit"}).alias("filled"))
+
+
+@query("fn30_random_ids", "SELECT count(*) AS n, count(*) AS different, 32 AS length FROM events")
+def _(t):
+    ids = t.raw("events").select(S.random_id().alias("id"))
+    return ids.agg(F.count("*").alias("n"), F.countDistinct("id").alias("different"), F.max(F.length("id")).alias("length"))
+
+
+@query("sc20_push_payloads", """WITH p AS (SELECT event_id, event_type AS k, 'https://git.example.com/r' || user_id || '.git' AS url FROM events)
+SELECT event_id, CASE k WHEN 'view' THEN 'gitlab' WHEN 'click' THEN 'gitlab' WHEN 'purchase' THEN 'gitee' WHEN 'signup' THEN 'gitee' ELSE '' END AS provider, CASE WHEN k IN ('view', 'click', 'purchase', 'signup') THEN url END AS repo_url,
+CASE WHEN k IN ('view', 'signup') THEN 'b/' || event_id END AS branch, k IN ('click', 'purchase') AS tag, k = 'signup' AS deleted, CASE WHEN k IN ('view', 'click', 'purchase', 'signup') THEN '' ELSE 'event' END AS error FROM p""")
+def _(t):
+    url = F.concat(F.lit("https://git.example.com/r"), F.col("user_id").cast("string"), F.lit(".git"))
+    kind = F.col("event_type")
+    branch = F.concat(F.lit("refs/heads/b/"), F.col("event_id").cast("string"))
+    body = F.to_json(F.struct(
+        F.when(kind == "view", "push").when(kind == "click", "tag_push").alias("object_kind"), F.when(kind == "purchase", "push_hooks").when(kind == "signup", "push_hooks").alias("hook_name"),
+        F.when(kind == "purchase", "refs/tags/v1").otherwise(branch).alias("ref"), F.when(kind == "signup", "0" * 40).otherwise("abc").alias("after"),
+        F.struct(F.when(kind != "click", url).alias("git_http_url")).alias("repository"), F.struct(F.when(kind == "click", url).alias("git_http_url")).alias("project"),
+    ))
+    return t.raw("events").select("event_id", S.push_event(body).alias("e")).select("event_id", "e.provider", "e.repo_url", "e.branch", "e.tag", "e.deleted", "e.error")

@@ -8,6 +8,7 @@ from quarrylens.functions import scalars as S
 from quarrylens.operators import sessions as C
 from quarrylens.plans.registry import query
 from quarrylens.plans.windows import _TEN, _sessions
+from quarrylens.sources.adapters import MODELS
 from quarrylens.streaming import stateful as R
 
 
@@ -41,7 +42,21 @@ def _(t):
 
 @query("sm11_scheduler")
 def _(t):
-    return R.scheduled(t.calls, [("beta", 60, 100_000), ("gamma", 30, 50_000), ("alpha", 60, 100_000)], 86400, 86400, 3)
+    value, kind = F.col("value"), F.col("event_type")
+    fault = F.when(kind == "error", "auth").when(value > 90, "business").otherwise("retriable")
+    faults = F.when((kind == "error") | (value > 50), F.create_map(F.lit("beta"), fault, F.lit("gamma"), F.when(value > 80, fault).otherwise("retriable")))
+    calls = t.tasks.select(
+        F.col("task_id").alias("pool"), "event_id", F.floor(F.col("us") / 1_000_000).alias("at"), F.floor(value * 1000).alias("tokens"),
+        F.when(kind == "signup", F.when(value > 95, "nobody").otherwise("alpha")).alias("forced"), (kind == "purchase").alias("high_quality"), faults.alias("faults"),
+    )
+    models = [(n, (i + o) / 2, c, r, k) for n, i, o, c, r, k, on in MODELS if on]
+    return R.scheduled(calls, models, 86400, 86400, 3, floor=0.001)
+
+
+@query("sm03_dispatch", "SELECT event_id, 'handle_' || event_type AS handler FROM events WHERE event_type IN ('view', 'click')")
+def _(t):
+    messages = t.raw("events").select("event_id", F.col("event_type").alias("type"))
+    return R.dispatched(messages, {"view": "handle_view", "click": "handle_click"}).select("event_id", "handler")
 
 
 _SESSIONS = """l AS (SELECT task_id, us, event_id, CASE WHEN us - lag(us) OVER w >= {gap} * CAST(1000000 AS BIGINT) OR lag(us) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM tasks WINDOW w AS (PARTITION BY task_id ORDER BY us, event_id)),

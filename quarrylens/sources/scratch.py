@@ -5,19 +5,33 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+_MADE: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the tables that this process wrote there; results that still read them must have been written elsewhere."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the folder that spark.checkpoint.dir names: its lineage ends here and outlives executors.
 
-    Only where that is unset, as on one machine, a temporary folder is made and set.
+    Only where that is unset and all runs on one machine a temporary folder is made and set.
     """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quarrylens-")
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -55,6 +55,10 @@ class Breaker:
     def is_open(self, at: int) -> bool:
         return at < self.open_until
 
+    def open(self, at: int) -> None:
+        """Open at once, as after an error that no repetition mends."""
+        self.open_until = at + self.ttl
+
     def step(self, at: int, failed: bool) -> bool:
         """Was the call let through?  Its outcome counts only if so."""
         if self.is_open(at):
@@ -97,53 +101,115 @@ def rate_limited(calls: DataFrame, window: int, rpm: int, tpm: int) -> DataFrame
 
 
 def broken_circuits(calls: DataFrame, ttl: int, threshold: int) -> DataFrame:
-    """calls (event_id, model, at, failed) with passed: false while the model's circuit is open."""
-    ordered = calls.select("model", "at", "event_id", "failed").repartition("model").sortWithinPartitions("model", "at", "event_id")
+    """calls (event_id, model, at, failed, and auth if some failures are of that kind) with passed: false while the model's circuit is open."""
+    ordered = calls.select("model", "at", "event_id", "failed", F.col("auth") if "auth" in calls.columns else F.lit(False).alias("auth")).repartition("model").sortWithinPartitions("model", "at", "event_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, breaker = None, None
         for frame in frames:
             passed = []
-            for m, at, failed in zip(frame["model"], frame["at"], frame["failed"]):
+            for m, at, failed, auth in zip(frame["model"], frame["at"], frame["failed"], frame["auth"]):
                 if breaker is None or m != model:
                     model, breaker = m, Breaker(ttl, threshold)
-                passed.append(breaker.step(int(at), bool(failed)))
+                passed.append(breaker.step(int(at), bool(failed) and not auth))
+                if passed[-1] and failed and auth:
+                    breaker.open(int(at))
             yield frame[["event_id", "model"]].assign(passed=passed)
 
     return ordered.mapInPandas(run, "event_id long, model string, passed boolean")
 
 
-def scheduled(calls: DataFrame, candidates: list[tuple[str, int, int]], window: int, ttl: int, threshold: int, switches: int = 2) -> DataFrame:
-    """calls (event_id, at, tokens, failed) with the model that answers, by fallback.
-
-    candidates: (name, rpm, tpm) from the cheapest.  A model that is open or limited is passed
-    over; one that fails counts for its breaker and costs a switch; after `switches` of them, or
-    without candidates left, the call has no model.  Every call depends on those before it, so
-    the pool is one history.
+def scheduled(
+    calls: DataFrame,
+    models: list[tuple[str, float, int, int, int]],
+    window: int,
+    ttl: int,
+    threshold: int,
+    switches: int = 2,
+    floor: float = 0.0,
+) -> DataFrame:
+    """What answers each call: event_id, model, switched (attempts that failed before it), error.
+
+    calls: pool, event_id, at, tokens, forced (a model's name or null), high_quality, and faults, a
+    map of models to the error that they give this call (retriable, auth or business).
+    models: name, average price, context, rpm and tpm of those enabled.
+
+    A forced model is called alone, whatever its state.  Otherwise models whose context fits (and
+    whose price reaches ``floor``, for calls of high quality) are tried from the cheapest; one
+    that is open or limited is passed over; a retriable error counts for the breaker, an auth
+    error opens it at once, and both cost a switch, of which there are ``switches``; a business
+    error ends the call.  error: '', unknown (forced model), none (no candidate), rejected
+    (business), or failed (nothing left to try).
+
+    Calls of one pool depend on those before them: each pool is an ordered history of its own,
+    sorted by Spark and read in pieces.
     """
-    ordered = calls.select("at", "event_id", "tokens", "failed").repartition(1).sortWithinPartitions("at", "event_id")
+    cheapest = sorted(models, key=lambda m: m[1])
+    ordered = calls.select("pool", "at", "event_id", "tokens", "forced", "high_quality", F.map_entries("faults").alias("faults")).repartition("pool").sortWithinPartitions("pool", "at", "event_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pool = [(name, RateLimit(window, rpm, tpm), Breaker(ttl, threshold)) for name, rpm, tpm in candidates]
+        pool, state = None, {}
         for frame in frames:
-            chosen = []
-            for at, tokens, failed in zip(frame["at"], frame["tokens"], frame["failed"]):
-                answer, tries = None, 0
-                for number, (name, limit, breaker) in enumerate(pool):
-                    if tries > switches:
-                        break
-                    if breaker.is_open(int(at)) or not limit.step(int(at), int(tokens)):
-                        continue
-                    tries += 1
-                    bad = bool(failed) and number == 0  # the fault of a call is its first model's
-                    breaker.step(int(at), bad)
-                    if not bad:
-                        answer = name
-                        break
-                chosen.append(answer)
-            yield frame[["event_id"]].assign(model=pd.Series(chosen, dtype=object, index=frame.index))
-
-    return ordered.mapInPandas(run, "event_id long, model string")
+            out = []
+            for row in frame.itertuples(index=False):
+                if not state or row.pool != pool:
+                    pool, state = row.pool, {m[0]: (RateLimit(window, m[3], m[4]), Breaker(ttl, threshold)) for m in cheapest}
+                out.append((row.event_id, *_scheduled(row, cheapest, state, switches, floor)))
+            yield pd.DataFrame(out, columns=["event_id", "model", "switched", "error"])
+
+    return ordered.mapInPandas(run, "event_id long, model string, switched int, error string")
+
+
+def _scheduled(call, models: list[tuple], state: dict, switches: int, floor: float) -> tuple[str | None, int, str]:
+    faults = {x["key"]: x["value"] for x in call.faults} if call.faults is not None else {}
+    if call.forced:
+        if call.forced not in state:
+            return None, 0, "unknown"
+        return (None, 0, "failed") if call.forced in faults else (call.forced, 0, "")
+    tokens, at, switched = int(call.tokens), int(call.at), 0
+    fitting = [m[0] for m in models if not (tokens > 0 and 0 < m[2] < tokens) and not (call.high_quality and m[1] < floor)]
+    for name in fitting:
+        limit, breaker = state[name]
+        if switched > switches:
+            break
+        if breaker.is_open(at) or not limit.step(at, tokens):
+            continue
+        fault = faults.get(name)
+        if fault == "business":
+            return None, switched, "rejected"
+        if fault == "auth":
+            breaker.open(at)
+        else:
+            breaker.step(at, fault is not None)
+        if fault is None:
+            return name, switched, ""
+        switched += 1
+    return None, switched, "failed" if fitting else "none"
+
+
+def dispatched(messages: DataFrame, handlers: dict[str, str]) -> DataFrame:
+    """Messages of known types, with the handler that takes them; unknown types are dropped."""
+    known = F.create_map(*(F.lit(x) for kv in handlers.items() for x in kv))
+    return messages.withColumn("handler", F.try_element_at(known, F.col("type"))).where("handler is not null")
+
+
+def sync_vectors(changes: DataFrame, apply, checkpoint: str):
+    """Start a stream that hands each micro-batch of vector changes (id, version, ...) to apply, the last version of each id once.
+
+    A batch that is repeated after a failure brings the same rows, so apply must be an upsert.
+    """
+    def each(batch: DataFrame, number: int) -> None:
+        last = batch.groupBy("id").agg(F.max_by(F.struct(*batch.columns), "version").alias("row")).select("row.*")
+        apply(last, number)
+
+    return changes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
+
+
+def stream_sessions(events: DataFrame, gap_seconds: int, late: str) -> DataFrame:
+    """Sessions of each key that end after a gap, on a stream: key, start, end, n; the state of a session is dropped once it has ended."""
+    w = F.session_window("ts", f"{gap_seconds} seconds")
+    closed = events.withWatermark("ts", late).groupBy("key", w.alias("w")).agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("n"))
+    return closed.select("key", "start", "end", "n")
 
 
 def stream_rate_limit(calls: DataFrame, window: int, rpm: int, tpm: int) -> DataFrame:

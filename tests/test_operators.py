@@ -1,3 +1,5 @@
+import hmac
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,8 @@ from quarrylens.operators import graph as G
 from quarrylens.operators import listing as L
 from quarrylens.operators import merge as M
 from quarrylens.operators import retrieval as R
+from quarrylens.operators import sessions as C
+from quarrylens.sources.files import list_files, read_files
 
 EDGE = "caller_module string, caller_func string, callee_module string, callee_func string, call_kind int"
 
@@ -46,8 +50,19 @@ def test_merge_is_idempotent(spark):
     actions = lambda d: {r.func_name: r.action for r in M.merge_actions(d, new).collect()}
     assert actions(have) == {"f": "hit", "g": "flag", "h": "overwrite", "i": "insert"}
     after = M.apply_merge(have, new)
-    assert actions(after) == {"f": "hit", "g": "flag", "h": "hit", "i": "insert"}
-    assert {r.func_name: r.source_code_changed for r in after.collect()} == {"f": 0, "g": 1, "h": 0}
+    assert actions(after) == {"f": "hit", "g": "flag", "h": "hit", "i": "hit"}
+    assert {r.func_name: r.source_code_changed for r in after.collect()} == {"f": 0, "g": 1, "h": 0, "i": 0}
+    assert sorted(map(tuple, M.apply_merge(after, new).collect())) == sorted(map(tuple, after.collect()))
+
+
+def test_merge_keeps_origins_and_manual_texts(spark):
+    schema = "id long, repo_id long, module_name string, file_path string, func_name string, func_line long, source_code string, summary string, origin_auto_doc string, content_source long, source_code_changed long"
+    have = spark.createDataFrame([(1, 1, "m", "a", "f", 3, "x", "old", '{"summary":"first"}', 1, 0), (2, 1, "m", "a", "g", 4, "y", "by hand", "{}", 2, 0)], schema)
+    new = spark.createDataFrame([(1, "n", "a", "f", 5, "x2", "new f"), (1, "n", "a", "g", 6, "y2", "new g"), (1, "n", "b", "h", 7, "z", "new h")], "repo_id long, module_name string, file_path string, func_name string, func_line long, code string, summary string")
+    got = {r.func_name: r for r in M.apply_merge(have, new).collect()}
+    assert (got["f"].module_name, got["f"].func_line, got["f"].summary, got["f"].origin_auto_doc) == ("n", 5, "new f", '{"summary":"first"}')
+    assert (got["g"].module_name, got["g"].func_line, got["g"].summary, got["g"].source_code_changed) == ("m", 6, "by hand", 1)
+    assert (got["h"].origin_auto_doc, got["h"].content_source) == ('{"summary":"new h"}', 1) and got["h"].id > 2
 
 
 def test_ordered_union_has_no_repeats(spark):
@@ -94,3 +109,70 @@ def test_stable_plan_has_no_python(spark):
     plan = catalogue.QUERIES["rt01_hybrid_retrieval"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "TakeOrderedAndProject" in plan and "CartesianProduct" not in plan
     assert isinstance(pd.__version__, str)
+
+
+def test_push_payloads(spark):
+    gitlab = '{"object_kind":"push","ref":"refs/heads/main","before":"a","after":"b","project":{"git_http_url":"https://h/r.git"}}'
+    cases = {
+        gitlab: ("gitlab", "https://h/r.git", "main", False, False, ""),
+        gitlab.replace('"object_kind":"push"', '"hook_name":"push_hooks"'): ("gitee", "https://h/r.git", "main", False, False, ""),
+        gitlab.replace("push", "tag_push"): ("gitlab", "https://h/r.git", None, True, False, ""),
+        gitlab.replace("refs/heads/main", "refs/tags/v1"): ("gitlab", "https://h/r.git", None, True, False, ""),
+        gitlab.replace('"after":"b"', f'"after":"{"0" * 40}"'): ("gitlab", "https://h/r.git", "main", False, True, ""),
+        gitlab.replace("git_http_url", "html_url"): ("gitlab", "https://h/r.git", "main", False, False, ""),
+        gitlab.replace("git_http_url", "other"): ("gitlab", None, "main", False, False, "url"),
+        gitlab.replace("refs/heads/main", ""): ("gitlab", "https://h/r.git", None, False, False, "branch"),
+        '{"object_kind":"merge"}': ("", None, None, False, False, "event"),
+        "{broken": ("", None, None, False, False, "json"),
+        "": ("", None, None, False, False, "body"),
+    }
+    got = spark.createDataFrame([(c,) for c in cases], "body string").select("body", S.push_event(F.col("body")).alias("e")).collect()
+    assert {r.body: (r.e.provider, r.e.repo_url, r.e.branch, r.e.tag, r.e.deleted, r.e.error) for r in got} == cases
+
+
+def test_change_text(spark):
+    e = edges(spark, ("oCreate", "uGet"), ("uGet", "uUpdate"))
+    changed = spark.createDataFrame([("u", "Get", "reads a user"), ("x", "Lone", " ")], "module string, func string, summary string")
+    got = {r.func: r for r in M.change_text(changed, e).collect()}
+    assert got["Get"].change_summary == "本轮迭代修改 u.Get：reads a user" and got["Get"].impact == "修改 u.Get。 上游调用方：o.Create。 下游依赖：u.Update。"
+    assert got["Lone"].change_summary == "本轮迭代修改 x.Lone" and got["Lone"].attention == "建议回归 x.Lone 及其调用链。"
+
+
+def test_degraded_results(spark):
+    rows = [("", 0), ("some words", 0), ("知识库 says", 0), ("fine", 3), (None, 0)]
+    got = [(r.knowledge_missing, r.analysis) for r in R.degraded(spark.createDataFrame(rows, "analysis string, n long")).collect()]
+    assert got[0] == got[4] == (True, "知识库中暂未检索到与当前需求相关的业务文档，缺少对应资料。")
+    assert got[1][1].startswith("some words\n说明：") and got[2][1] == "知识库 says" and got[3] == (False, "fine")
+
+
+def test_chat_store(spark):
+    has = spark.createDataFrame([("a", i, "user", f"m{i}") for i in range(25)] + [("b", 0, "user", "hi")], "session string, pos long, role string, text string")
+    more = C.append(has, spark.createDataFrame([("a", 5, "assistant", "x"), ("a", 6, "user", "y"), ("c", 1, "user", "z")], "session string, at long, role string, text string"))
+    assert {(r.session, r.pos, r.text) for r in more.where("text in ('x', 'y', 'z')").collect()} == {("a", 25, "x"), ("a", 26, "y"), ("c", 0, "z")}
+    assert C.delete(has, spark.createDataFrame([("a",)], "session string")).count() == 1
+    meta = spark.createDataFrame([("a", "title", "old"), ("b", "t", "")], "session string, title string, summary string")
+    kept, after = C.roll_up(has, meta, lambda was, said: F.concat(was, F.lit("|"), F.left(said, F.lit(9))))
+    assert kept.where("session = 'a'").count() == C.KEEP and kept.where("session = 'b'").count() == 1
+    assert {r.session: (r.title, r.summary) for r in after.collect()} == {"a": ("title", "old|user: m0\n"), "b": ("t", "")}
+    told = C.prompts(has.where("session = 'b'"), meta=spark.createDataFrame([("b", "sum", "ctx")], "session string, summary string, context string")).first().prompt
+    assert told == "[历史对话摘要]\nsum\n\nctx\n\n[当前问题]\nhi\n"
+
+
+def test_files_in_a_folder(spark, tmp_path):
+    (tmp_path / "x y").mkdir()
+    (tmp_path / "a.go").write_text("package a\n")
+    (tmp_path / "x y" / "b.go").write_text("package b\nfunc F() {}\n")
+    (tmp_path / "c.txt").write_text("no")
+    assert {(r.path, r.bytes) for r in list_files(spark, str(tmp_path), "*.go").collect()} == {("a.go", 10), ("x y/b.go", 22)}
+    assert {(r.path, r.content) for r in read_files(spark, str(tmp_path), "*.go").collect()} == {("a.go", "package a\n"), ("x y/b.go", "package b\nfunc F() {}\n")}
+
+
+def test_signature_of_the_standard_library(spark):
+    for key in (b"k", b"long" * 40):
+        got = spark.createDataFrame([("some text é",)], "s string").select(S.hmac_sha256(key, F.col("s"))).first()[0]
+        assert got == hmac.new(key, "some text é".encode(), "sha256").hexdigest()
+
+
+def test_top_k_is_by_the_raw_distance(spark):
+    vectors = spark.createDataFrame([(1, [1.0 + 2e-8]), (2, [1.0 + 1e-8])], "id long, embedding array<double>")
+    assert [r.id for r in R.vector_top_k(vectors, spark.createDataFrame([([1.0],)], "embedding array<double>"), 2).collect()] == [2, 1]

@@ -76,6 +76,9 @@ def test_php_lines():
 def test_json_candidates():
     assert P.json_candidates('x {"a": "}{"} y {bad} {"b": {"c": 1}}') == ['{"a": "}{"}', '{"b": {"c": 1}}']
     assert P.json_candidates("none") == [] and P.json_candidates(None) == []
+    assert P.json_candidates('{a {"k":1}} {"z": 2}') == ['{"z": 2}']  # what does not parse takes its inside along
+    assert P.json_candidates('{"a":' + "[" * 200_000) == [] and P.json_candidates('{"a":' + "[" * 200_000 + "]" * 200_000 + "}") == []
+    assert P.json_candidates('} "{" {"s": "\\"}"}') == ['{"s": "\\"}"}'] and P.json_candidates('"open {') == []
 
 
 def test_parse_files(spark):
