@@ -103,7 +103,7 @@ class ChunkEncoder:
     between them begins.  A text of any length is encoded in parts of about ``part_chars``.
     """
 
-    def __init__(self, tokenizer_json: str, most: int = 500_000, most_chars: int = 16 << 20, part_chars: int = 4 << 20):
+    def __init__(self, tokenizer_json: str, most: int = 250_000, most_chars: int = 8 << 20, part_chars: int = 2 << 20):
         from tokenizers import Tokenizer
 
         rules = json.loads(tokenizer_json)
@@ -389,6 +389,7 @@ def write_token_files(
                 whole = np.insert(ids, np.cumsum(sizes), end_id).astype(kind)
                 writer = writer or _ShardWriter(folder, f"shard-{shard:06d}", kind, seq_len, batch_sequences)
                 writer.add(batch.column(0).slice(first, last - first), sizes + 1, whole)
+        pa.default_memory_pool().release_unused()
         if writer:
             name, n_docs, n_tokens = writer.close()
             yield pa.RecordBatch.from_pydict({"shard": [shard], "name": [name], "n_docs": [n_docs], "n_tokens": [n_tokens]})
