@@ -103,7 +103,7 @@ class ChunkEncoder:
     between them begins.  A text of any length is encoded in parts of about ``part_chars``.
     """
 
-    def __init__(self, tokenizer_json: str, most: int = 250_000, most_chars: int = 8 << 20, part_chars: int = 2 << 20):
+    def __init__(self, tokenizer_json: str, most: int = 500_000, most_chars: int = 16 << 20, part_chars: int = 2 << 20):
         from tokenizers import Tokenizer
 
         rules = json.loads(tokenizer_json)
