@@ -14,12 +14,12 @@ def _(t):
         F.lit('package main\n\nimport (\n\t"fmt"\n\tu "shop/user"\n)\n\nfunc First(a int) error {\n\tfmt.Println("'), F.regexp_replace("source_code", r'["\\\n]', " "),
         F.lit('")\n\tu.Get(a)\n\treturn check(a)\n}\n\nfunc (s *S) Second() { s.inner.Do(); make([]int, 1) }\n'),
     )
-    out = P.parse_files(t.docs.select(F.col("file_path").alias("path"), body.alias("content")), "go")
+    out = P.parse_files(t.sources.select(F.col("file_path").alias("path"), body.alias("content")), "go")
     return out.select("path", "func_name", "start_line", "signature", F.array_join("callee_simple", ",").alias("plain"), F.array_join("callee", ",").alias("qualified"))
 
 
 @query("ud02_php_functions")
 def _(t):
     body = F.concat(F.lit("<?php\n// function no() {}\nfunction one($a) { return '"), F.regexp_replace("source_code", r"['\\\n]", " "), F.lit("'; }\nclass A {\n  abstract function two();\n  function &three() { if (1) { } }\n}\n"))
-    out = P.parse_files(t.docs.select(F.regexp_replace("file_path", "go$", "php").alias("path"), body.alias("content")), "php")
+    out = P.parse_files(t.sources.select(F.regexp_replace("file_path", "go$", "php").alias("path"), body.alias("content")), "php")
     return out.select("path", "func_name", "start_line", F.length("code").alias("code_chars"))

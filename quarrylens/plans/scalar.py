@@ -11,12 +11,12 @@ from quarrylens.plans.registry import query
 
 @query("fn01_truncate", "WITH $docs SELECT id, CASE WHEN length(source_code) > 300 THEN left(source_code, 300) || '...' ELSE source_code END AS short FROM docs")
 def _(t):
-    return t.docs.select("id", S.truncate(F.col("source_code"), 300).alias("short"))
+    return t.sources.select("id", S.truncate(F.col("source_code"), 300).alias("short"))
 
 
 @query("fn02_token_estimate", r"WITH $docs, a AS (SELECT id, length(source_code) AS n, length(regexp_replace(source_code, '[^\x00-\x7F]', '', 'g')) AS a FROM docs) SELECT id, CAST(n - a + (a + 3) // 4 AS BIGINT) AS tokens FROM a")
 def _(t):
-    return t.docs.select("id", S.token_estimate(F.col("source_code")).alias("tokens"))
+    return t.sources.select("id", S.token_estimate(F.col("source_code")).alias("tokens"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in S.STOP_WORDS)
@@ -24,7 +24,7 @@ _STOP = ", ".join(f"'{w}'" for w in S.STOP_WORDS)
 
 @query("fn03_query_terms", f"WITH $docs, w AS (SELECT id, list_filter(list_transform(regexp_extract_all(source_code, '[A-Za-z][A-Za-z0-9_]{{2,}}'), lambda x: lower(x)), lambda x: x NOT IN ({_STOP})) AS xs FROM docs), u AS (SELECT DISTINCT id, unnest(xs) AS x FROM w) SELECT id, count(*) AS terms, min(x) AS least FROM u GROUP BY id")
 def _(t):
-    terms = t.docs.select("id", F.explode(S.query_terms(F.col("source_code"))).alias("x"))
+    terms = t.sources.select("id", F.explode(S.query_terms(F.col("source_code"))).alias("x"))
     return terms.groupBy("id").agg(F.count("*").alias("terms"), F.min("x").alias("least"))
 
 
@@ -45,7 +45,7 @@ def _(t):
 
 @query("fn07_func_key", "WITH $docs SELECT id, module_name || '.' || func_name AS key FROM docs")
 def _(t):
-    return t.docs.select("id", S.function_key(F.col("module_name"), F.col("func_name")).alias("key"))
+    return t.sources.select("id", S.function_key(F.col("module_name"), F.col("func_name")).alias("key"))
 
 
 @query("fn08_normalize_url", r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(url), '/$', ''), '\.git$', ''), '^(https|http|ssh)://', ''), '^git@', ''), '^([^:]*):', '\1/') AS key FROM pages")
@@ -84,12 +84,12 @@ def _(t):
 
 @query("fn14_line_of", "WITH $docs SELECT id, CAST(1 + length(left(source_code, func_line)) - length(replace(left(source_code, func_line), chr(10), '')) AS BIGINT) AS line FROM docs WHERE func_line <= length(source_code)")
 def _(t):
-    return t.docs.where("func_line <= length(source_code)").select("id", S.line_of(F.col("source_code"), F.col("func_line").cast("int")).alias("line"))
+    return t.sources.where("func_line <= length(source_code)").select("id", S.line_of(F.col("source_code"), F.col("func_line").cast("int")).alias("line"))
 
 
 @query("fn15_embed_text", "WITH $docs SELECT id, concat_ws(chr(10), module_name, func_name, summary, process_flow, risk_point) AS body FROM docs")
 def _(t):
-    return t.docs.select("id", S.embedding_text(*(F.col(c) for c in ("module_name", "func_name", "summary", "process_flow", "risk_point"))).alias("body"))
+    return t.sources.select("id", S.embedding_text(*(F.col(c) for c in ("module_name", "func_name", "summary", "process_flow", "risk_point"))).alias("body"))
 
 
 @query("fn16_safe_int", r"SELECT page_id, coalesce(TRY_CAST(regexp_extract(url, '/([^/?#.]+)[^/]*$', 1) AS BIGINT), 0) AS n FROM pages")
@@ -167,7 +167,7 @@ def _(t):
 
 @query("fn34_page_count", "WITH $docs SELECT module_name, CAST(greatest(1, ceil(count(*) / 7.0)) AS BIGINT) AS pages FROM docs GROUP BY 1")
 def _(t):
-    return t.docs.groupBy("module_name").agg(F.count("*").alias("n")).select("module_name", S.page_count(F.col("n"), F.lit(7)).cast("long").alias("pages"))
+    return t.sources.groupBy("module_name").agg(F.count("*").alias("n")).select("module_name", S.page_count(F.col("n"), F.lit(7)).cast("long").alias("pages"))
 
 
 @query("fn36_snapshot_json", """SELECT c_custkey, '{"name":"' || c_name || '","segment":"' || c_mktsegment || '","nation":' || c_nationkey || '}' AS snapshot FROM customer""")

@@ -37,12 +37,9 @@ class Tables:
         return self.spark.createDataFrame(list(rows), schema)
 
     @cached_property
-    def docs(self) -> DataFrame:
-        """One function of a repository with its document."""
-        d, lab = self.raw("documents"), self.raw("labels")
-        joined = d.join(lab, "doc_id", "left")
+    def _source_columns(self) -> list[Column]:
         text, flow = F.coalesce("text", F.lit("")), F.instr(F.coalesce("text", F.lit("")), "\n")
-        return joined.select(
+        return [
             F.col("doc_id").alias("id"),
             F.expr("CASE lang WHEN 'en' THEN 1 WHEN 'fr' THEN 2 WHEN 'de' THEN 3 WHEN 'es' THEN 4 ELSE 0 END").cast("long").alias("repo_id"),
             F.col("source").alias("module_name"),
@@ -53,6 +50,19 @@ class Tables:
             F.split_part(text, F.lit("\n"), F.lit(1)).alias("summary"),
             F.when(flow > 0, F.substring(text, flow + 1, F.length(text))).otherwise("").alias("process_flow"),
             F.split_part(text, F.lit("\n"), F.lit(-1)).alias("risk_point"),
+        ]
+
+    @cached_property
+    def sources(self) -> DataFrame:
+        """One function of a repository, without what the labels say: no join, so no text is shuffled."""
+        return self.raw("documents").select(*self._source_columns, "n_chars")
+
+    @cached_property
+    def docs(self) -> DataFrame:
+        """One function of a repository with its document; labels hold at most one row for each."""
+        joined = self.raw("documents").join(self.raw("labels"), "doc_id", "left")
+        return joined.select(
+            *self._source_columns,
             F.when(F.col("quality") == 0, 2).otherwise(1).cast("long").alias("content_source"),
             F.coalesce("toxic", F.lit(0)).cast("long").alias("source_code_changed"),
             F.when((F.col("quality") == 0) & (F.col("toxic") == 1), 1).otherwise(0).cast("long").alias("is_deleted"),
