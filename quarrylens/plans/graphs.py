@@ -129,10 +129,9 @@ _EXISTING = "existing AS (SELECT id, repo_id, file_path, func_name, source_code,
 _ACTION = "CASE WHEN e.id IS NULL THEN 'insert' WHEN e.content_source = 1 AND e.source_code_changed = 0 AND trim(e.source_code) = trim(p.code) THEN 'hit' WHEN e.content_source = 2 THEN 'flag' ELSE 'overwrite' END"
 
 
-def _parsed(t):
-    lengths = t.raw("documents").select(F.col("doc_id").alias("id"), "n_chars")
+def _parsed(t, *more):
     code = F.when(F.col("n_chars") % 7 == 0, F.concat("source_code", F.lit("!"))).otherwise(F.concat(F.lit(" "), "source_code"))
-    return t.docs.join(lengths, "id").select("repo_id", "file_path", "func_name", code.alias("code"))
+    return t.sources.select("repo_id", "file_path", "func_name", code.alias("code"), *more)
 
 
 @query("mg01_doc_merge", f"WITH $docs, {_EXISTING} SELECT p.file_path, p.func_name, {_ACTION} AS action FROM parsed p LEFT JOIN existing e ON e.repo_id = p.repo_id AND e.file_path = p.file_path AND e.func_name = p.func_name")
@@ -146,8 +145,8 @@ j AS (SELECT p.*, e.id, e.module_name AS m0, e.func_line AS l0, e.source_code AS
 SELECT repo_id, file_path, func_name, CASE WHEN act IN ('insert', 'overwrite') THEN module_name ELSE m0 END AS module_name, CASE WHEN act = 'hit' THEN l0 ELSE func_line END AS func_line, md5(CASE WHEN act = 'hit' THEN c0 ELSE code END) AS code_md5,
 md5(CASE WHEN act IN ('insert', 'overwrite') THEN summary || process_flow ELSE s0 || f0 END) AS doc_md5, CASE WHEN act IN ('insert', 'overwrite') THEN 1 ELSE t0 END AS content_source, CASE act WHEN 'flag' THEN 1 WHEN 'hit' THEN r0 ELSE 0 END AS source_code_changed, act = 'insert' AS has_origin FROM j""")
 def _(t):
-    more = t.docs.select("repo_id", "file_path", "func_name", F.concat("module_name", F.lit("!")).alias("module_name"), (F.col("func_line") + 1).alias("func_line"), F.concat("process_flow", F.lit(".")).alias("process_flow"), "risk_point")
-    parsed = _parsed(t).join(more, ["repo_id", "file_path", "func_name"]).withColumn("summary", F.split_part("code", F.lit("\n"), F.lit(2)))
+    more = F.concat("module_name", F.lit("!")).alias("module_name"), (F.col("func_line") + 1).alias("func_line"), F.concat("process_flow", F.lit(".")).alias("process_flow"), "risk_point"
+    parsed = _parsed(t, *more).where("file_path is not null").withColumn("summary", F.split_part("code", F.lit("\n"), F.lit(2)))
     after = M.apply_merge(t.active.withColumn("origin_auto_doc", F.lit(None).cast("string")), parsed)
     return after.select(
         "repo_id", "file_path", "func_name", "module_name", "func_line", F.md5(F.col("source_code").cast("binary")).alias("code_md5"), F.md5(F.concat("summary", "process_flow").cast("binary")).alias("doc_md5"),
