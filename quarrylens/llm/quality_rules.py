@@ -114,13 +114,17 @@ def count_grams(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: st
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, buckets), np.int64)  # trusted, other
         waiting: tuple[list, list] = ([], [])
+        held = [0, 0]  # n-grams that wait: never more than two slices
         for batch in batches:
             for text, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                mine = waiting[not good]
-                mine.extend(grams(text or "", n, buckets))
-                if len(mine) >= 512 or (mine and len(mine[-1]) >= _SLICE // 2):
-                    total[int(not good)] += np.bincount(np.concatenate(mine), minlength=buckets)
-                    mine.clear()
+                k = int(not good)
+                for part in grams(text or "", n, buckets):
+                    waiting[k].append(part)
+                    held[k] += len(part)
+                    if held[k] >= _SLICE:
+                        total[k] += np.bincount(np.concatenate(waiting[k]), minlength=buckets)
+                        waiting[k].clear()
+                        held[k] = 0
         for k, mine in enumerate(waiting):
             if mine:
                 total[k] += np.bincount(np.concatenate(mine), minlength=buckets)

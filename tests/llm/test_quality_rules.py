@@ -69,3 +69,15 @@ def test_long_text_is_counted_in_slices(monkeypatch):
     whole = np.sort(np.concatenate(list(Q.grams(text, 4, 1024))))
     monkeypatch.setattr(Q, "_SLICE", 100)
     assert (np.sort(np.concatenate(list(Q.grams(text, 4, 1024)))) == whole).all()
+
+
+def test_counts_wait_in_bounded_memory(spark, monkeypatch):
+    r = random.Random(10)
+    texts = ["".join(r.choice("abc é") for _ in range(r.randrange(900))) for _ in range(60)] + [None, "", "ab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 60, 3)], LABELS)
+    monkeypatch.setattr(Q, "_SLICE", 100)
+    good, raw = Q.count_grams(docs, labels, id_col="doc_id", text_col="text", n=4, buckets=1024)
+    monkeypatch.undo()
+    count = lambda some: np.bincount(np.concatenate([np.zeros(0, int), *(g for t in some for g in Q.grams(t or "", 4, 1024))]), minlength=1024)
+    assert (raw == count(texts)).all() and (good == count(texts[:60:3])).all()
