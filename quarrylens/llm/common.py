@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +59,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def values(column: pa.Array, rows: int = 256) -> Iterator:
+    """The values of a column, few of them in Python at a time: a whole batch of texts takes as much again."""
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()
+
+
 def fresh_name(taken: list[str], wanted: str) -> str:
     """wanted, with underscores in front until no input column has that name (names compare without case)."""
     low = {c.lower() for c in taken}

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import settle
+from quarrylens.llm.common import settle, values
 
 BANDS = 30
 ROWS = 5
@@ -158,7 +158,7 @@ def sketch(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
         for batch in batches:
             part: list[tuple] = []
             size = 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, text in zip(values(batch.column(0)), values(batch.column(1))):
                 words = words_of(text)
                 part.append((doc_id, shingle_hashes(words, k, known), xxhash.xxh3_128_hexdigest(b" ".join(words)) if words else None))
                 size += len(part[-1][1])
@@ -196,7 +196,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, pct: int) -> DataFrame:
         last, left = None, set()
         for batch in batches:
             out = []
-            for a, b, text_a, text_b in zip(*(c.to_pylist() for c in batch.columns)):
+            for a, b, text_a, text_b in zip(*(values(c) for c in batch.columns)):
                 if last != text_a:
                     last, left = text_a, shingles(words_of(text_a), k)
                 right = shingles(words_of(text_b), k)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrylens.llm.common import WORD, fresh_name
+from quarrylens.llm.common import WORD, fresh_name, values
 
 N = 4
 BUCKETS = 1 << 16
@@ -116,7 +116,7 @@ def count_grams(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: st
         waiting: tuple[list, list] = ([], [])
         held = [0, 0]  # n-grams that wait: never more than two slices
         for batch in batches:
-            for text, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text, good in zip(values(batch.column(0)), values(batch.column(1))):
                 k = int(not good)
                 for part in grams(text or "", n, buckets):
                     waiting[k].append(part)
@@ -185,7 +185,7 @@ def quality_rules(
         table = sent.value
         for batch in batches:
             facts, scores, kept, failed = [], [], [], []
-            for value in batch.column(batch.num_columns - 1).to_pylist():
+            for value in values(batch.column(batch.num_columns - 1)):
                 row = base_facts(value)
                 total = size = 0
                 for part in grams(value or "", n, buckets):
