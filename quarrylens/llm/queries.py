@@ -13,6 +13,7 @@ from quarrylens.llm import (
     html_extraction,
     language_id,
     line_dedup,
+    merkle_manifest,
     minhash_dedup,
     quality_rules,
     secret_scan,
@@ -76,6 +77,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_benchmark_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep_columns=["doc_id"])
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    torn = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    received = [torn if c == "text" else F.col(c) for c in merkle_manifest.FIELDS]
+    return merkle_manifest.merkle_manifest(_table(spark, sf_dir, "documents"), received=received)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -89,9 +96,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_dedup,
         op9_secret_scan,
         op10_decontamination,
+        op13_merkle_manifest,
     )
 }
 
+#: crc32 of a DuckDB string of characters below 128, bit by bit.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)), lambda a, b:
+  list_reduce(list_prepend(xor(a, b), range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)))"""
+
 ORACLES: dict[str, str] = {
     "op3_minhash_dedup": r"""
 WITH RECURSIVE w AS (
@@ -124,4 +136,29 @@ r AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (out) AS n_dropped, co
   coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT out), '') AS kept FROM m GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, coalesce(dropped, '') AS dropped, length(coalesce(kept, '')) AS kept_chars, md5(coalesce(kept, '')) AS kept_md5
 FROM documents d LEFT JOIN r USING (doc_id)""",
+    "op13_merkle_manifest": r"""
+WITH RECURSIVE f AS (
+  SELECT doc_id, source, text, """
+    + "".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END AS f_{c}, " for c in merkle_manifest.FIELDS)
+    + rf"""CASE WHEN doc_id IS NOT NULL AND {_CRC32.format("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS torn
+  FROM documents),
+h AS (SELECT doc_id, source, sha256(f_doc_id || f_source || f_lang || f_n_chars || f_text) AS leaf,
+  sha256(f_doc_id || f_source || f_lang || f_n_chars || CASE WHEN torn IS NULL THEN '-' ELSE strlen(torn) || ':' || torn END) AS got FROM f),
+d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, dense_rank() OVER (ORDER BY source NULLS FIRST) AS s, count(*) OVER (PARTITION BY source) AS n FROM h),
+t(s, lvl, i, h, n) AS (SELECT s, 0, i, leaf, n FROM d
+  UNION ALL SELECT s, lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM t WHERE n > 1 GROUP BY s, lvl, i // 3, n),
+top AS (SELECT s, h, lvl FROM t WHERE n = 1),
+u(lvl, i, h, n) AS (SELECT 0, s - 1, h, (SELECT count(*) FROM top) FROM top
+  UNION ALL SELECT lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM u WHERE n > 1 GROUP BY lvl, i // 3, n),
+nodes AS (SELECT s, lvl, i, h FROM t WHERE n > 1 UNION ALL SELECT top.s, top.lvl + u.lvl, u.i, u.h FROM u, top WHERE u.n > 1),
+steps AS (SELECT d.s, d.i, nodes.lvl, nodes.i AS pos, nodes.h, nodes.i = p AS own FROM
+  (SELECT d.s, d.i, l.lvl, CASE WHEN l.lvl < top.lvl THEN d.i // CAST(3 ** l.lvl AS BIGINT) ELSE (d.s - 1) // CAST(3 ** (l.lvl - top.lvl) AS BIGINT) END AS p
+   FROM d JOIN top USING (s) JOIN (SELECT DISTINCT s, lvl FROM nodes) l USING (s)) d JOIN nodes ON nodes.s = d.s AND nodes.lvl = d.lvl AND nodes.i // 3 = p // 3),
+proof AS (SELECT s, i, sha256(coalesce(string_agg(h, '' ORDER BY lvl, pos) FILTER (NOT own), '')) AS proof FROM steps GROUP BY s, i),
+fold(s, i, lvl, h) AS (SELECT s, i, 0, got FROM d
+  UNION ALL SELECT fold.s, fold.i, fold.lvl + 1, sha256(string_agg(CASE WHEN own THEN fold.h ELSE steps.h END, '' ORDER BY pos)) FROM fold JOIN steps ON steps.s = fold.s AND steps.i = fold.i AND steps.lvl = fold.lvl GROUP BY fold.s, fold.i, fold.lvl),
+ends AS (SELECT s, i, arg_max(h, lvl) AS h FROM fold GROUP BY s, i),
+root AS (SELECT h FROM u WHERE n = 1)
+SELECT d.doc_id, d.leaf, top.h AS subroot, root.h AS root, coalesce(proof.proof, sha256('')) AS proof_sha256, ends.h AS folded_root, ends.h = root.h AS verified
+FROM d JOIN top USING (s) JOIN ends ON ends.s = d.s AND ends.i = d.i LEFT JOIN proof ON proof.s = d.s AND proof.i = d.i CROSS JOIN root""",
 }
