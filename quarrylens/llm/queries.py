@@ -12,6 +12,7 @@ from quarrylens.llm import (
     decontamination,
     html_extraction,
     language_id,
+    license_scan,
     line_dedup,
     merkle_manifest,
     minhash_dedup,
@@ -77,6 +78,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_benchmark_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep_columns=["doc_id"])
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_table(spark, sf_dir, "documents"), keep_columns=["doc_id"]).drop("detections")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     torn = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
     received = [torn if c == "text" else F.col(c) for c in merkle_manifest.FIELDS]
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_dedup,
         op9_secret_scan,
         op10_decontamination,
+        op11_license_scan,
         op13_merkle_manifest,
     )
 }

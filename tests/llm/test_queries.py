@@ -14,6 +14,7 @@ COLUMNS = {
     "op5": "doc_id size text_crc32 law shard slot grown_shard",
     "op6": "page_id url text n_chars",
     "op7": "doc_id held_out lang_pred score",
+    "op11": "doc_id n_words n_base first_word last_word base_labels labels score",
     "op13": "doc_id leaf subroot root proof_sha256 folded_root verified",
     "op9": "doc_id n_assign n_access n_hex base_sha256 spans",
 }
