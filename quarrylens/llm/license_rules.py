@@ -58,7 +58,7 @@ bsd 80 bsd OF bsd(?: style)? LIC
 bsd 60 bsd (?:the )?bsd(?: style)? LIC
 bsd 50 bsd bsd licensed
 apache-2.0 95 apache SPDX apache 2 0
-apache-2.0 90 apache you may not use this file except in compliance with the LIC .{0,60} apache org licenses LIC 2 0
+apache-2.0 90 apache you may not use this file except in compliance with the LIC (?:.{0,60} )?apache org licenses LIC 2 0
 apache-2.0 80 apache OF apache LIC <2>
 apache-2.0 80 apache OF apache <2>(?: LIC)?
 apache-2.0 70 apache (?:the )?apache(?: software)? LIC <2>
