@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.llm import (
+    conversation_repair,
     decontamination,
     html_extraction,
     language_id,
@@ -82,6 +83,20 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_table(spark, sf_dir, "documents"), keep_columns=["doc_id"]).drop("detections")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_conversations(damaged(_table(spark, sf_dir, "conversations")), present=F.col("fate") != 0)
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """conversations with faults by crc32(conv_id:turn) % 20, the fate of a row: 0 is to be dropped."""
+    key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    role, text, fate = F.coalesce("role", F.lit(" ")), F.coalesce("text", F.lit(" ")), F.col("fate")
+    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.crc32(key) % 20).alias("fate"))
+    text = F.when(fate == 1, "").when(fate == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    rows = rows.select("conv_id", "turn", F.when(fate == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), "fate")
+    return rows.withColumn("copy", F.explode(F.when(fate == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("copy")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     torn = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
     received = [torn if c == "text" else F.col(c) for c in merkle_manifest.FIELDS]
@@ -102,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_secret_scan,
         op10_decontamination,
         op11_license_scan,
+        op12_conversation_repair,
         op13_merkle_manifest,
     )
 }
@@ -142,6 +158,38 @@ r AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (out) AS n_dropped, co
   coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT out), '') AS kept FROM m GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, coalesce(dropped, '') AS dropped, length(coalesce(kept, '')) AS kept_chars, md5(coalesce(kept, '')) AS kept_md5
 FROM documents d LEFT JOIN r USING (doc_id)""",
+    "op12_conversation_repair": r"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+f AS (SELECT conv_id, turn, role, text, """
+    + _CRC32.format("k")
+    + r""" % 20 AS fate FROM c),
+d AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN fate = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM f WHERE fate <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS r FROM d),
+again AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS again FROM o),
+x AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' ELSE '' END AS fault,
+  lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r AS pair FROM again),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS rows FROM x GROUP BY conv_id),
+ins(s, t, ins, insc, said) AS (VALUES ('', '', '', 0, ''), ('s', 's', '', 0, ''), ('u', 'u', '', 0, ''), ('a', 'a', '', 0, ''), ('', 'u', 'I', 2, chr(10) || 'user:'), ('s', 'u', 'I', 2, chr(10) || 'user:'), ('a', 'u', 'I', 2, chr(10) || 'user:'),
+  ('u', 'a', 'I', 2, chr(10) || 'assistant:'), ('', 'a', 'II', 4, chr(10) || 'user:' || chr(10) || 'assistant:'), ('s', 'a', 'II', 4, chr(10) || 'user:' || chr(10) || 'assistant:')),
+nxt(t, role, e) AS (VALUES ('', 'user', 'u'), ('s', 'user', 'u'), ('a', 'user', 'u'), ('u', 'assistant', 'a')),
+w(conv_id, i, s, cost, audit, said) AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT), '', 0, '', '' FROM d
+  UNION ALL
+  SELECT conv_id, i, s, best.cost, best.audit, best.said FROM (
+    SELECT conv_id, i, s, min({'cost': cost, 'audit': audit, 'said': said}) AS best FROM (
+      SELECT w.conv_id, x.i, m.s, w.cost + ins.insc + m.c AS cost, w.audit || ins.ins || m.l AS audit, w.said || ins.said || m.said AS said
+      FROM w JOIN x ON x.conv_id IS NOT DISTINCT FROM w.conv_id AND x.i = w.i + 1 JOIN ins ON ins.s = w.s JOIN nxt ON nxt.t = ins.t,
+      LATERAL (SELECT 'D' AS l, 3 AS c, ins.t AS s, '' AS said
+        UNION ALL SELECT 'R', 2 + CAST(x.fault = 'truncated' AS INT), nxt.e, chr(10) || nxt.role || ':' || x.text WHERE x.fault NOT IN ('blank', 'duplicate')
+        UNION ALL SELECT 'K', CAST(x.fault = 'truncated' AS INT), x.r, chr(10) || x.role || ':' || x.text WHERE x.fault NOT IN ('blank', 'duplicate') AND (x.r = nxt.e OR x.r = 's' AND ins.t = '')) AS m)
+    GROUP BY conv_id, i, s)),
+fin AS (SELECT w.conv_id, min({'cost': w.cost + ins.insc, 'audit': w.audit || ins.ins, 'said': w.said || ins.said}) AS best FROM w JOIN n ON n.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i = n.rows JOIN ins ON ins.s = w.s WHERE ins.t IN ('', 'a') GROUP BY w.conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(best.cost, 0) AS BIGINT) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(best.said[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN fin ON fin.conv_id IS NOT DISTINCT FROM a.conv_id""",
     "op13_merkle_manifest": r"""
 WITH RECURSIVE f AS (
   SELECT doc_id, source, text, """

@@ -15,6 +15,7 @@ COLUMNS = {
     "op6": "page_id url text n_chars",
     "op7": "doc_id held_out lang_pred score",
     "op11": "doc_id n_words n_base first_word last_word base_labels labels score",
+    "op12": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
     "op13": "doc_id leaf subroot root proof_sha256 folded_root verified",
     "op9": "doc_id n_assign n_access n_hex base_sha256 spans",
 }
@@ -24,6 +25,9 @@ COLUMNS = {
 def test_columns_and_rows(spark, name):
     got = queries.QUERIES[name](spark, SF)
     assert set(COLUMNS.get(name.split("_")[0], "").split()) <= set(got.columns)
+    if name.startswith("op12"):
+        assert got.count() == spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id").distinct().count()
+        return
     table = "pages" if name.startswith("op6") else "documents"
     assert got.count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
 
@@ -31,7 +35,8 @@ def test_columns_and_rows(spark, name):
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_agrees_with_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        con.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
     want = con.sql(queries.ORACLES[name])
     got = queries.QUERIES[name](spark, SF).select(*want.columns)
     assert sorted(tuple(r) for r in got.collect()) == sorted(want.fetchall())
