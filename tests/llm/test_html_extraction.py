@@ -106,31 +106,93 @@ def by_pattern(page):
     return "\n".join(x for x in lines if x)
 
 
-def by_windows(page):
-    """What is kept of a page with an article: each line from whose window of WINDOW lines no sum falls to 0 between two lines with a length."""
-    lines = X._strip(page)
-    inside = max((x.main for x in lines if x and not x.cut), default=0)
-    length = [x.length if x and x.main == inside else 0 for x in lines]
-    kept, dropped = [], 0
-    for i, line in enumerate(lines):
-        if line:
-            before = [k for k in range(i + 1) if length[k]]
-            after = [k for k in range(i, len(lines)) if length[k]]
-            good = bool(before) and bool(after) and all(sum(length[k : k + X.WINDOW]) for k in range(before[-1], after[0] + 1))
-            kept += [line.text] * good
-            dropped += not good
-    return "\n".join(kept), dropped
+def test_whole_pages_by_brute_force():
+    for row in pq.read_table(f"{SF}/pages.parquet").to_pylist():
+        assert X.main_text(row["html"]) == by_pattern(row["html"])
+
+
+@pytest.mark.parametrize("table", [SF, "/root/testdata/sf0.01"])
+def test_pages_stripped_of_all_names_by_line_lengths_alone(table):
+    kept = chars = adverts = pages = 0
+    for row in pq.read_table(f"{table}/pages.parquet").to_pylist():
+        page = row["html"]
+        menu = [html.unescape(x) for x in re.findall(r"<li><a[^>]*>(.*?)</a>", page)]
+        advert = html.unescape(re.search(r'<div class="ad">(.*?)</div>', page, re.S)[1])
+        bare = re.sub(r"<(/?)(?:article|main|nav|footer|header|aside)\b[^>]*>", r"<\1div>", page)
+        bare = re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*'|[^\s>]*)", "", bare)
+        want, got = by_pattern(page).split("\n"), X.main_text(bare).split("\n")
+        left = list(got)
+        for line in want:
+            chars += len(line)
+            if line in left:
+                left.remove(line)
+                kept += len(line)
+        assert not set(menu) & set(left), page
+        adverts += " ".join(advert.split()) in left
+        pages += 1
+    assert kept >= 0.95 * chars and adverts <= 0.2 * pages
+
+
+LONG = "".join(f"<p>Paragraph {i} with a good number of words in it.</p>" for i in range(9))
+LINES = "\n".join(f"Paragraph {i} with a good number of words in it." for i in range(9))
 
 
-def test_whole_pages_by_brute_force():
-    pages = [r["html"] for r in pq.read_table(f"{SF}/pages.parquet").to_pylist()]
-    decided = 0
-    for page in pages:
-        got = X.main_text(page)
-        want, dropped = by_windows(page)
-        assert got == want == by_pattern(page)
-        decided += dropped > 0
-    assert decided == len(pages)  # on every page there are lines that the windows part from the text
+@pytest.mark.parametrize(
+    "part,text",
+    [
+        ('<p class="no-comment">No comment was given.</p>', "No comment was given."),
+        ('<p id="ad-hoc">An ad hoc remark, short.</p>', "An ad hoc remark, short."),
+        ('<p id="ad-hoc">Ad hoc</p>', "Ad hoc"),
+        ('<section id="login-flow"><h2>Login flow</h2><p>The user opens the page.</p></section>', "Login flow\nThe user opens the page."),
+        ('<div class="modal-logic">Modal logic is about what must be.</div>', "Modal logic is about what must be."),
+        ('<div class="notice"><p>Notice that this is prose.</p></div>', "Notice that this is prose."),
+        ('<div class="comment-analysis"><p>Comments were counted.</p></div>', "Comments were counted."),
+        ('<h2 class="share">The share of labour</h2>', "The share of labour"),
+        ('<div class="widget">Widgets are made here, as they were.</div>', "Widgets are made here, as they were."),
+        ('<p>See <a href="x">the whole report of that year</a></p>', "See the whole report of that year"),
+    ],
+)
+def test_names_alone_cut_nothing_inside_an_article(part, text):
+    for tag in ("article", "main"):
+        assert main_text(f"<{tag}><h1>T</h1>{LONG}{part}<p>End.</p></{tag}>") == f"T\n{LINES}\n{text}\nEnd."
+        assert main_text(f"<{tag}>{part}{LONG}</{tag}>") == f"{text}\n{LINES}"
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<div class="ad"><p>Buy this now, it is cheap today.</p></div>',
+        '<div class="ad-slot">Buy now</div>',
+        '<ul class="share-buttons"><li>Mail<li>Print</ul>',
+        '<div class="related-posts"><a href=1>One other post.</a><a href=2>And one more.</a></div>',
+        '<div class="newsletter"><p>Get our letter.</p><input name=mail><button>Go</button></div>',
+        '<div class="sidebar"><p>About the author, who lives by the sea.</p></div>',
+        '<div id="cookie-banner"><p>We use cookies on this site.</p></div>',
+    ],
+)
+def test_names_are_believed_of_what_looks_the_part(part):
+    assert main_text(f"<article>{LONG}{part}<p>End.</p></article>") == f"{LINES}\nEnd."
+    assert main_text(f"<article>{LONG}</article>{part}") == LINES
+    assert main_text(f"<div>{LONG}{part}<p>End.</p></div>") == f"{LINES}\nEnd."
+
+
+def test_reader_comments_longer_than_the_article():
+    comments = "".join(f'<div class="comment"><p>I thought so too, number {i}, and said it at length.</p></div>' for i in range(40))
+    for name in ("comments", "comment-list", "post-comments"):
+        assert main_text(f'<article><h1>T</h1><p>It is short.</p><section class="{name}"><h2>40 comments</h2>{comments}</section></article>') == "T\nIt is short."
+
+
+def test_titles_leads_and_ends_apart_from_the_body():
+    links = "".join(f"<div><a href={i}>Go to page {i}</a></div>" for i in range(4))
+    assert main_text(f"<body><h1>Title</h1><p>Short lead.</p>{links}{LONG}{links}<p>Last words.</p></body>") == f"Title\nShort lead.\n{LINES}\nLast words."
+    assert main_text(f"<body><h1>Title</h1><p>Short lead.</p>{links}<div>{LONG}</div>{links}<p>Last words.</p></body>") == f"Title\nShort lead.\n{LINES}\nLast words."
+
+
+def test_a_name_does_not_beat_a_long_text():
+    got = main_text(f'<div class="content">One line.</div><hr><ul>{"<li><a href=1>Link</a>" * 5}</ul><div class="q">{LONG}</div>')
+    assert LINES in got
+    assert LINES in main_text(f"<article>A card.</article><div>{LONG * 3}</div>")
+    assert main_text(f'<div class="widget">{LONG}</div>') == LINES
 
 
 def test_pages_without_telling_names():
