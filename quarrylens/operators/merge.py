@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylens.functions import scalars as S
+from quarrylens.operators.numbering import numbered
 
 KEYS = ["repo_id", "file_path", "func_name"]
 AUTO, MANUAL = 1, 2
@@ -20,49 +21,83 @@ STANDARD_IMPORTS = [
 ]
 
 
+def _in_order(parsed: DataFrame) -> tuple[Window, list[str]]:
+    """The functions of one key in the order of their lines; of functions on one line or without one, in the order of their code."""
+    order = [c for c in ("func_line", "code") if c in parsed.columns]
+    return Window.partitionBy(*KEYS).orderBy(*order), order
+
+
 def merge_actions(existing: DataFrame, parsed: DataFrame) -> DataFrame:
-    """parsed (KEYS, code) with what happens to each: insert, hit, flag (manual: review mark only) or overwrite; id of the document, if any."""
+    """parsed (KEYS, code, maybe func_line) with what happens to each: insert, hit, flag (manual: review mark only) or overwrite; id of the document, if any.
+
+    A file may hold a name more than once (methods of two types): such functions are merged one
+    after another, so each is compared with what the one before it left, and the last wins.
+    """
     own = existing.select(*KEYS, "id", F.trim("source_code").alias("was"), "content_source", "source_code_changed")
-    both = parsed.join(own, KEYS, "left")
+    w, _ = _in_order(parsed)
+    before = parsed.withColumn("code_before", F.lag(F.trim("code")).over(w)).withColumn("again", F.row_number().over(w) > 1)
+    same = F.when(F.col("again"), F.col("code_before") == F.trim("code")).otherwise((F.col("source_code_changed") == 0) & (F.col("was") == F.trim("code")))
     action = (
-        F.when(F.col("id").isNull(), "insert")
-        .when((F.col("content_source") == AUTO) & (F.col("source_code_changed") == 0) & (F.col("was") == F.trim("code")), "hit")
-        .when(F.col("content_source") == MANUAL, "flag")
+        F.when(F.col("content_source") == MANUAL, "flag")
+        .when(F.col("id").isNull() & ~F.col("again"), "insert")
+        .when(same, "hit")
         .otherwise("overwrite")
     )
-    return both.withColumn("action", action)
+    return before.join(own, KEYS, "left").withColumn("action", action).drop("code_before", "again")
 
 
 #: What a generator writes about a function.
 GENERATED = ["summary", "process_flow", "risk_point"]
 
 
+def _one_for_each_key(parsed: DataFrame) -> DataFrame:
+    """KEYS, runs (of equal code, one after another), auto (what an automatic document ends with), manual (what a manual one takes), first.
+
+    Each of equal code after another is a hit and leaves the line of the first, so an automatic
+    document ends with the first function of the last run, a manual one with the last function.
+    """
+    w, order = _in_order(parsed)
+    starts = parsed.withColumn("starts", ~F.trim("code").eqNullSafe(F.lag(F.trim("code")).over(w)) | (F.row_number().over(w) == 1))
+    row, place = F.struct(*(c for c in parsed.columns if c not in KEYS)), F.struct(*order)
+    return starts.groupBy(*KEYS).agg(
+        F.count_if("starts").alias("runs"), F.max_by(row, F.when(F.col("starts"), place)).alias("auto"), F.max_by(row, place).alias("manual"), F.min_by(row, place).alias("first")
+    )
+
+
 def apply_merge(existing: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Documents after the merge, those of new functions included.  A second merge of the same code hits every automatic document.
+    """Documents after the merge, those of new functions included, one for each key.  A second merge of the same code hits every automatic document.
 
-    parsed: KEYS, code, and what it brings of module_name, func_line and GENERATED.  A manual
-    document takes code and line alone and is marked for review; an automatic one takes all; a
-    new one also keeps what was generated, as origin_auto_doc, which no later merge touches.
-    New ids follow the greatest one, without order or gaps of any meaning.
+    parsed: KEYS, code, and what it brings of module_name, func_line and GENERATED; functions that
+    repeat a key are merged one after another.  A manual document takes code and line alone and
+    is marked for review; an automatic one takes all; a new one also keeps what was first
+    generated, as origin_auto_doc, which no later merge touches.  New ids follow the greatest
+    one in the order of KEYS, however the rows are partitioned.
     """
-    act = merge_actions(existing, parsed).where("action <> 'hit'")
-    known = act.where("id is not null").select("id", "code", "action", *(F.col(c).alias(f"new_{c}") for c in ["func_line", "module_name", *GENERATED] if c in parsed.columns and c in existing.columns))
-    out = existing.join(known, "id", "left")
-    changed, overwrite = F.col("action").isNotNull(), F.col("action") == "overwrite"
-    values = {
-        "source_code": F.when(changed, F.col("code")).otherwise(F.col("source_code")),
-        "source_code_changed": F.when(F.col("action") == "flag", 1).when(overwrite, 0).otherwise(F.col("source_code_changed")).cast("long"),
-    }
-    for c in ["func_line", "module_name", *GENERATED]:
-        if f"new_{c}" in known.columns:
-            values[c] = F.when(changed if c == "func_line" else overwrite, F.col(f"new_{c}")).otherwise(F.col(c))
-    kept = out.withColumns(values).select(*existing.columns)
+    brought = _one_for_each_key(parsed)
+    fresh = parsed.select(*KEYS).distinct().join(existing.select(*KEYS).hint("merge"), KEYS, "left_anti")
     last = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))  # one row
-    own = {"id": F.col("last") + 1 + F.monotonically_increasing_id(), "source_code": F.col("code"), "content_source": F.lit(AUTO), "source_code_changed": F.lit(0), "is_deleted": F.lit(0)}
-    own["origin_auto_doc"] = F.to_json(F.struct(*(c for c in GENERATED if c in parsed.columns))) if set(GENERATED) & set(parsed.columns) else F.lit(None)
-    brought = {c: F.col(c) for c in parsed.columns}
-    new = parsed.join(existing.select(*KEYS), KEYS, "left_anti").crossJoin(F.broadcast(last))
-    return kept.union(new.select(*((own | {k: v for k, v in brought.items() if k not in own}).get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in existing.schema)))
+    ids = numbered(fresh, KEYS, "new_id").crossJoin(F.broadcast(last)).select(*KEYS, (F.col("last") + 1 + F.col("new_id")).alias("new_id"))
+    both = existing.hint("merge").join(brought, KEYS, "full_outer").join(ids.hint("merge"), KEYS, "left")
+    parsed_too, new, manual = F.col("runs").isNotNull(), F.col("id").isNull(), F.col("content_source") == MANUAL
+    hit = (F.col("content_source") == AUTO) & (F.col("source_code_changed") == 0) & (F.col("runs") == 1) & (F.trim("source_code") == F.trim("auto.code"))
+    flag = parsed_too & ~new & manual
+    takes = parsed_too & (new | ~manual & ~F.coalesce(hit, F.lit(False)))
+    own = lambda c: F.when(takes, F.col(f"auto.{c}")).otherwise(F.col(c))
+    out = {
+        "id": F.coalesce("id", "new_id"),
+        "source_code": F.when(takes, F.col("auto.code")).when(flag, F.col("manual.code")).otherwise(F.col("source_code")),
+        "source_code_changed": F.when(flag, 1).when(takes, 0).otherwise(F.col("source_code_changed")),
+        "content_source": F.when(takes, AUTO).otherwise(F.col("content_source")),
+    }
+    out |= {c: own(c) for c in ["module_name", *GENERATED] if c in parsed.columns}
+    if "func_line" in parsed.columns:
+        out["func_line"] = F.when(flag, F.col("manual.func_line")).otherwise(own("func_line"))
+    if "is_deleted" in existing.columns:
+        out["is_deleted"] = F.when(new, 0).otherwise(F.col("is_deleted"))
+    if "origin_auto_doc" in existing.columns and set(GENERATED) & set(parsed.columns):
+        origin = F.to_json(F.struct(*(F.col(f"first.{c}").alias(c) for c in GENERATED if c in parsed.columns)))
+        out["origin_auto_doc"] = F.when(new, origin).otherwise(F.col("origin_auto_doc"))
+    return both.select(*(out.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in existing.schema))
 
 
 def retire_ghosts(existing: DataFrame, current: DataFrame, keys: tuple[str, ...] = ("file", "func")) -> tuple[DataFrame, DataFrame, DataFrame]:

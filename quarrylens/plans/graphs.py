@@ -125,31 +125,41 @@ def _(t):
     return own.groupBy("file", "func").agg(F.min("pos")).select("file", "func")
 
 
-_EXISTING = "existing AS (SELECT id, repo_id, file_path, func_name, source_code, content_source, source_code_changed FROM active), parsed AS (SELECT repo_id, file_path, func_name, CASE WHEN n_chars % 7 = 0 THEN source_code || '!' ELSE ' ' || source_code END AS code FROM docs JOIN documents ON doc_id = id)"
-_ACTION = "CASE WHEN e.id IS NULL THEN 'insert' WHEN e.content_source = 1 AND e.source_code_changed = 0 AND trim(e.source_code) = trim(p.code) THEN 'hit' WHEN e.content_source = 2 THEN 'flag' ELSE 'overwrite' END"
+_EXISTING = """existing AS (SELECT id, repo_id, file_path, func_name, source_code, content_source, source_code_changed FROM active),
+parsed AS (SELECT repo_id, file_path, func_name, func_line + 1 + 500 * k AS func_line, k, CASE WHEN n_chars % 7 = 0 THEN source_code || '!' ELSE ' ' || source_code END || CASE WHEN k > 0 THEN '#' ELSE '' END AS code
+  FROM (SELECT *, unnest(CASE WHEN id % 6 = 0 THEN [0, 1, 2] WHEN id % 6 = 1 THEN [0, 1] ELSE [0] END) AS k FROM docs JOIN documents ON doc_id = id))"""
+_ACTION = """CASE WHEN e.content_source = 2 THEN 'flag' WHEN e.id IS NULL AND p.k = 0 THEN 'insert' WHEN p.k = 2 THEN 'hit' WHEN p.k = 1 THEN 'overwrite'
+WHEN e.source_code_changed = 0 AND trim(e.source_code) = trim(p.code) THEN 'hit' ELSE 'overwrite' END"""
 
 
 def _parsed(t, *more):
+    """Functions as parsed; every sixth file holds its function's name three times, the last two alike, every other sixth twice."""
     code = F.when(F.col("n_chars") % 7 == 0, F.concat("source_code", F.lit("!"))).otherwise(F.concat(F.lit(" "), "source_code"))
-    return t.sources.select("repo_id", "file_path", "func_name", code.alias("code"), *more)
+    times = F.when(F.col("id") % 6 == 0, 3).when(F.col("id") % 6 == 1, 2).otherwise(1)
+    each = t.sources.withColumn("k", F.explode(F.sequence(F.lit(0), times - 1)))
+    return each.select("repo_id", "file_path", "func_name", (F.col("func_line") + 1 + 500 * F.col("k")).alias("func_line"), F.concat(code, F.when(F.col("k") > 0, "#").otherwise("")).alias("code"), *more)
 
 
-@query("mg01_doc_merge", f"WITH $docs, {_EXISTING} SELECT p.file_path, p.func_name, {_ACTION} AS action FROM parsed p LEFT JOIN existing e ON e.repo_id = p.repo_id AND e.file_path = p.file_path AND e.func_name = p.func_name")
+@query("mg01_doc_merge", f"WITH $docs, {_EXISTING} SELECT p.file_path, p.func_name, p.func_line, {_ACTION} AS action FROM parsed p LEFT JOIN existing e ON e.repo_id = p.repo_id AND e.file_path = p.file_path AND e.func_name = p.func_name")
 def _(t):
-    return M.merge_actions(t.active, _parsed(t)).select("file_path", "func_name", "action")
+    return M.merge_actions(t.active, _parsed(t)).select("file_path", "func_name", "func_line", "action")
 
 
 @query("sk09_doc_merge", f"""WITH $docs, {_EXISTING}, had AS (SELECT a.*, NULL AS origin_auto_doc FROM active a),
-p AS (SELECT d.repo_id, d.file_path, d.func_name, d.module_name || '!' AS module_name, d.func_line + 1 AS func_line, x.code, split_part(x.code, chr(10), 2) AS summary, d.process_flow || '.' AS process_flow, d.risk_point FROM docs d JOIN parsed x ON x.repo_id = d.repo_id AND x.file_path = d.file_path AND x.func_name = d.func_name),
-j AS (SELECT p.*, e.id, e.module_name AS m0, e.func_line AS l0, e.source_code AS c0, e.summary AS s0, e.process_flow AS f0, e.content_source AS t0, e.source_code_changed AS r0, {_ACTION} AS act FROM p LEFT JOIN had e ON e.repo_id = p.repo_id AND e.file_path = p.file_path AND e.func_name = p.func_name)
-SELECT repo_id, file_path, func_name, CASE WHEN act IN ('insert', 'overwrite') THEN module_name ELSE m0 END AS module_name, CASE WHEN act = 'hit' THEN l0 ELSE func_line END AS func_line, md5(CASE WHEN act = 'hit' THEN c0 ELSE code END) AS code_md5,
-md5(CASE WHEN act IN ('insert', 'overwrite') THEN summary || process_flow ELSE s0 || f0 END) AS doc_md5, CASE WHEN act IN ('insert', 'overwrite') THEN 1 ELSE t0 END AS content_source, CASE act WHEN 'flag' THEN 1 WHEN 'hit' THEN r0 ELSE 0 END AS source_code_changed, act = 'insert' AS has_origin FROM j""")
-def _(t):
-    more = F.concat("module_name", F.lit("!")).alias("module_name"), (F.col("func_line") + 1).alias("func_line"), F.concat("process_flow", F.lit(".")).alias("process_flow"), "risk_point"
+p AS (SELECT d.repo_id, d.file_path, d.func_name, d.module_name || '!' AS module_name, x.func_line, x.code, x.k, split_part(x.code, chr(10), 2) AS summary, d.process_flow || '.' AS process_flow, d.risk_point FROM docs d JOIN parsed x ON x.repo_id = d.repo_id AND x.file_path = d.file_path AND x.func_name = d.func_name),
+j AS (SELECT p.*, e.id, e.module_name AS m0, e.func_line AS l0, e.source_code AS c0, e.summary AS s0, e.process_flow AS f0, e.content_source AS t0, e.source_code_changed AS r0, {_ACTION} AS act FROM p LEFT JOIN had e ON e.repo_id = p.repo_id AND e.file_path = p.file_path AND e.func_name = p.func_name),
+z AS (SELECT repo_id, file_path, func_name, arg_max(j, k) FILTER (act <> 'hit') AS w, arg_min(j, k) AS f, bool_or(act = 'insert') AS fresh FROM j GROUP BY ALL),
+a AS (SELECT repo_id, file_path, func_name, coalesce(w, f) AS j, CASE WHEN w IS NULL THEN 'hit' ELSE w.act END AS act, fresh FROM z),
+ids AS (SELECT *, row_number() OVER (PARTITION BY fresh ORDER BY repo_id, file_path, func_name) + (SELECT max(id) FROM had) AS new_id FROM a)
+SELECT CASE WHEN fresh THEN new_id ELSE j.id END AS id, repo_id, file_path, func_name, CASE WHEN act IN ('insert', 'overwrite') THEN j.module_name ELSE j.m0 END AS module_name, CASE WHEN act = 'hit' THEN j.l0 ELSE j.func_line END AS func_line,
+md5(CASE WHEN act = 'hit' THEN j.c0 ELSE j.code END) AS code_md5, md5(CASE WHEN act IN ('insert', 'overwrite') THEN j.summary || j.process_flow ELSE j.s0 || j.f0 END) AS doc_md5, CASE WHEN act IN ('insert', 'overwrite') THEN 1 ELSE j.t0 END AS content_source,
+CASE act WHEN 'flag' THEN 1 WHEN 'hit' THEN j.r0 ELSE 0 END AS source_code_changed, fresh AS has_origin FROM ids""")
+def _(t):
+    more = F.concat("module_name", F.lit("!")).alias("module_name"), F.concat("process_flow", F.lit(".")).alias("process_flow"), "risk_point"
     parsed = _parsed(t, *more).where("file_path is not null").withColumn("summary", F.split_part("code", F.lit("\n"), F.lit(2)))
     after = M.apply_merge(t.active.withColumn("origin_auto_doc", F.lit(None).cast("string")), parsed)
     return after.select(
-        "repo_id", "file_path", "func_name", "module_name", "func_line", F.md5(F.col("source_code").cast("binary")).alias("code_md5"), F.md5(F.concat("summary", "process_flow").cast("binary")).alias("doc_md5"),
+        "id", "repo_id", "file_path", "func_name", "module_name", "func_line", F.md5(F.col("source_code").cast("binary")).alias("code_md5"), F.md5(F.concat("summary", "process_flow").cast("binary")).alias("doc_md5"),
         "content_source", "source_code_changed", F.col("origin_auto_doc").isNotNull().alias("has_origin"),
     )
 

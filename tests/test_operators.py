@@ -1,4 +1,6 @@
 import hmac
+import json
+import random
 
 import pandas as pd
 import pytest
@@ -65,6 +67,44 @@ def test_merge_keeps_origins_and_manual_texts(spark):
     assert (got["h"].origin_auto_doc, got["h"].content_source) == ('{"summary":"new h"}', 1) and got["h"].id > 2
 
 
+def merged_in_turn(have, new):
+    """Documents by key, functions merged one after another, and the action of each."""
+    docs, actions = {d[0]: dict(zip(("id", "code", "line", "by", "mark", "origin"), d[1:])) for d in have}, []
+    fresh = {}
+    for key, line, code, summary in sorted(new, key=lambda f: (f[1], f[2])):
+        d = docs.get(key)
+        if d is None:
+            docs[key] = fresh[key] = {"id": None, "code": code, "line": line, "by": 1, "mark": 0, "origin": summary}
+            actions.append((key, line, "insert"))
+        elif d["by"] == 2:
+            d.update(code=code, line=line, mark=1)
+            actions.append((key, line, "flag"))
+        elif d["mark"] == 0 and d["code"].strip(" ") == code.strip(" "):
+            actions.append((key, line, "hit"))
+        else:
+            d.update(code=code, line=line, mark=0)
+            actions.append((key, line, "overwrite"))
+    most = max((d[1] for d in have), default=0)
+    for n, key in enumerate(sorted(fresh)):
+        fresh[key]["id"] = most + 1 + n
+    return docs, actions
+
+
+def test_repeated_names_are_merged_one_after_another(spark):
+    r = random.Random(3)
+    names = [f"f{i}" for i in range(30)]
+    have = [(n, 10 + i, r.choice("xyz"), 0, r.choice([1, 1, 2]), r.choice([0, 0, 1]), None) for i, n in enumerate(names[:20])]
+    new = [(n, line, r.choice(["x", " x", "y", "z "]), f"about {line}") for n in names[5:] for line in r.sample(range(1, 99), r.choice([0, 1, 1, 2, 4]))]
+    docs, actions = merged_in_turn(have, new)
+    existing = spark.createDataFrame([(d[1], 1, "a", d[0], d[3], d[2], "s", d[6], d[4], d[5]) for d in have], "id long, repo_id long, file_path string, func_name string, func_line long, source_code string, summary string, origin_auto_doc string, content_source long, source_code_changed long")
+    parsed = spark.createDataFrame([(1, "a", *f) for f in new], "repo_id long, file_path string, func_name string, func_line long, code string, summary string")
+    assert sorted((x.func_name, x.func_line, x.action) for x in M.merge_actions(existing, parsed).collect()) == sorted(actions)
+    for parts in (1, 7):  # ids too are the same however the rows lie
+        after = M.apply_merge(existing.repartition(parts), parsed.repartition(parts)).collect()
+        got = {x.func_name: {"id": x.id, "code": x.source_code, "line": x.func_line, "by": x.content_source, "mark": x.source_code_changed, "origin": json.loads(x.origin_auto_doc)["summary"] if x.origin_auto_doc else None} for x in after}
+        assert len(after) == len(docs) and got == docs
+
+
 def test_ordered_union_has_no_repeats(spark):
     a = spark.createDataFrame([(0, 4), (1, 2), (2, 0)], "pos int, id int")
     b = spark.createDataFrame([(0, 2), (1, 9)], "pos int, id int")
