@@ -211,25 +211,34 @@ def random_id() -> Column:
     return F.replace(F.uuid(), F.lit("-"))
 
 
+_REPOSITORY = "struct<url: string, git_http_url: string, git_ssh_url: string, html_url: string>"
+_PUSH = f"object_kind string, hook_name string, ref string, before string, after string, repository {_REPOSITORY}, project {_REPOSITORY}, unread string"
+
+
 def push_event(body: Column) -> Column:
     """provider, repo_url, branch, tag, deleted, before, after and error of a push payload, as the two providers send it.
 
     error says what is missing: body, json, event, url or branch; empty if the event can be used.
+    The payload is parsed once: what is read of it is bound to one value.
     """
-    get = lambda *path: F.get_json_object(body, "$." + ".".join(path))
-    kind, hook = F.coalesce(get("object_kind"), F.lit("")), F.coalesce(get("hook_name"), F.lit(""))
+    parsed = F.from_json(body, _PUSH, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "unread"})
+    return F.transform(F.array(F.struct(body.alias("body"), parsed.alias("json"))), lambda x: _push_event(x["body"], x["json"]))[0]
+
+
+def _push_event(body: Column, json: Column) -> Column:
+    kind, hook = F.coalesce(json["object_kind"], F.lit("")), F.coalesce(json["hook_name"], F.lit(""))
     # fixed values: the providers' names of their events
     provider = F.when(kind.isin("push", "tag_push"), "gitlab").when(hook.isin("push_hooks", "tag_push_hooks"), "gitee").otherwise("")
     by_kind = F.when(provider == "gitlab", kind == "tag_push").otherwise(hook == "tag_push_hooks")
     places = [("repository", "git_http_url"), ("project", "git_http_url"), ("repository", "url"), ("repository", "git_ssh_url"), ("project", "git_ssh_url"), ("repository", "html_url"), ("project", "html_url")]
-    url = F.coalesce(*(F.when(F.trim(get(*p)) != "", get(*p)) for p in places))
-    ref, after = F.coalesce(get("ref"), F.lit("")), F.coalesce(get("after"), F.lit(""))
+    url = F.coalesce(*(F.when(F.trim(json[a][b]) != "", json[a][b]) for a, b in places))
+    ref, after = F.coalesce(json["ref"], F.lit("")), F.coalesce(json["after"], F.lit(""))
     known = provider != ""
     tag = known & (by_kind | is_tag(ref))
     branch = F.when(known & ~tag & (ref != ""), F.regexp_replace(ref, "^refs/heads/", ""))
     deleted = known & ~tag & (after == "0" * 40)
     error = (
-        F.when(F.coalesce(body, F.lit("")) == "", "body").when(F.try_parse_json(body).isNull(), "json").when(~known, "event").when(url.isNull(), "url")
+        F.when(F.coalesce(body, F.lit("")) == "", "body").when(json["unread"].isNotNull(), "json").when(~known, "event").when(url.isNull(), "url")
         .when(~tag & ~deleted & (F.coalesce(branch, F.lit("")) == ""), "branch").otherwise("")
     )
-    return F.struct(provider.alias("provider"), F.when(known, url).alias("repo_url"), branch.alias("branch"), tag.alias("tag"), deleted.alias("deleted"), get("before").alias("before"), after.alias("after"), error.alias("error"))
+    return F.struct(provider.alias("provider"), F.when(known, url).alias("repo_url"), branch.alias("branch"), tag.alias("tag"), deleted.alias("deleted"), json["before"].alias("before"), after.alias("after"), error.alias("error"))

@@ -66,11 +66,18 @@ def skip_reason(path: Column) -> Column:
     )
 
 
-def term_hits(docs: DataFrame, query: str) -> DataFrame:
-    """docs with hits, how many of the query's terms each holds.  The body is put in lower case once a row."""
-    body = F.lower(F.concat_ws(" ", "module_name", "func_name", "file_path", "summary", "process_flow", "risk_point"))
-    each = (F.contains(F.col("body_"), F.lit(w)).cast("long") for w in terms_of(docs, query))
-    return docs.withColumn("body_", body).withColumn("hits", sum(each, F.lit(0).cast("long"))).drop("body_")
+def hits_of(body: Column, terms: Sequence[str]) -> Column:
+    """How many terms a body holds, without regard to case.  The body is put in lower case once: the fold over the terms carries it."""
+    begin = F.struct(F.lower(body).alias("body"), F.lit(0).cast("long").alias("n"))
+    return F.aggregate(
+        F.array(*map(F.lit, terms)).cast("array<string>"), begin, lambda a, w: F.struct(a["body"].alias("body"), (a["n"] + F.contains(a["body"], w).cast("long")).alias("n")), lambda a: a["n"]
+    )
+
+
+def term_hits(docs: DataFrame, query: str, terms: Sequence[str] | None = None) -> DataFrame:
+    """docs with hits, how many of the query's terms each holds."""
+    body = F.concat_ws(" ", "module_name", "func_name", "file_path", "summary", "process_flow", "risk_point")
+    return docs.withColumn("hits", hits_of(body, terms_of(docs, query) if terms is None else terms))
 
 
 def terms_of(docs: DataFrame, query: str) -> list[str]:
@@ -80,7 +87,8 @@ def terms_of(docs: DataFrame, query: str) -> list[str]:
 
 def relevant(docs: DataFrame, query: str, least: int = 2) -> DataFrame:
     """Documents with two terms or more of the query; all of them if the query has no terms."""
-    return term_hits(docs, query).where((F.col("hits") >= least) if terms_of(docs, query) else F.lit(True))
+    terms = terms_of(docs, query)
+    return term_hits(docs, query, terms).where((F.col("hits") >= least) if terms else F.lit(True))
 
 
 def candidate_models(models: DataFrame, estimated_tokens: int = 0, least_price: float | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrylens.functions import scalars as S
+from quarrylens.operators import listing as L
 from quarrylens.operators import retrieval as R
 from quarrylens.operators import sessions as C
 from quarrylens.plans.registry import query
@@ -92,6 +93,5 @@ def _(t):
 def _(t):
     docs, vectors, wanted = _parts(t)
     got = R.load_in_order(R.recall(docs, vectors, wanted, "stupid").select("id", "pos"), docs)
-    body = F.lower(F.concat_ws(" ", *R.KEYWORD_COLUMNS[:1], "func_name", "file_path", "summary", "process_flow", "risk_point"))
-    hits = sum((F.contains(body, F.lit(w)).cast("int") for w in ("stupid", "the", "src")), F.lit(0))
-    return got.where(hits >= 2).orderBy("pos").limit(8).select("id", "func_name")
+    body = F.concat_ws(" ", *R.KEYWORD_COLUMNS[:1], "func_name", "file_path", "summary", "process_flow", "risk_point")
+    return got.where(L.hits_of(body, ["stupid", "the", "src"]) >= 2).orderBy("pos").limit(8).select("id", "func_name")

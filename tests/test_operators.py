@@ -170,6 +170,20 @@ def test_push_payloads(spark):
     assert {r.body: (r.e.provider, r.e.repo_url, r.e.branch, r.e.tag, r.e.deleted, r.e.error) for r in got} == cases
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_one_parse_and_one_lower_a_row(spark):
+    """Whatever reads the fields of a payload, or the hits of a query, does the costly step once for each place that uses it."""
+    got = spark.range(3).select(F.concat(F.lit("{"), F.col("id").cast("string")).alias("body"))
+    plan = plan_of(got.select(S.push_event(F.col("body")).alias("e")).select("e.*"))
+    assert plan.count("from_json") == 1 and "get_json_object" not in plan and "parse_json" not in plan
+    docs = spark.range(3).select(*(F.col("id").cast("string").alias(c) for c in ("module_name", "func_name", "file_path", "summary", "process_flow", "risk_point")))
+    plan = plan_of(L.relevant(docs, "token password reader stupid").select("hits"))
+    assert plan.count("lower(") == 2  # the filter and the column that passes on
+
+
 def test_change_text(spark):
     e = edges(spark, ("oCreate", "uGet"), ("uGet", "uUpdate"))
     changed = spark.createDataFrame([("u", "Get", "reads a user"), ("x", "Lone", " ")], "module string, func string, summary string")
