@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylens.functions import scalars as S
@@ -21,9 +21,14 @@ STANDARD_IMPORTS = [
 ]
 
 
+def code_digest(code: Column) -> Column:
+    """What tells code apart but for spaces around it."""
+    return F.md5(F.trim(code).cast("binary"))
+
+
 def _in_order(parsed: DataFrame) -> tuple[Window, list[str]]:
-    """The functions of one key in the order of their lines; of functions on one line or without one, in the order of their code."""
-    order = [c for c in ("func_line", "code") if c in parsed.columns]
+    """The functions of one key in the order of their lines; of functions on one line or without one, in the order of their digests."""
+    order = [*(["func_line"] if "func_line" in parsed.columns else []), "digest_"]
     return Window.partitionBy(*KEYS).orderBy(*order), order
 
 
@@ -31,19 +36,21 @@ def merge_actions(existing: DataFrame, parsed: DataFrame) -> DataFrame:
     """parsed (KEYS, code, maybe func_line) with what happens to each: insert, hit, flag (manual: review mark only) or overwrite; id of the document, if any.
 
     A file may hold a name more than once (methods of two types): such functions are merged one
-    after another, so each is compared with what the one before it left, and the last wins.
+    so each is compared with what the one before it left, and the last wins.  Code is
+    compared by digest; existing may bring that as code_digest in place of source_code.
     """
-    own = existing.select(*KEYS, "id", F.trim("source_code").alias("was"), "content_source", "source_code_changed")
+    was = F.col("code_digest") if "code_digest" in existing.columns else code_digest(F.col("source_code"))
+    own = existing.select(*KEYS, "id", was.alias("was"), "content_source", "source_code_changed")
     w, _ = _in_order(parsed)
-    before = parsed.withColumn("code_before", F.lag(F.trim("code")).over(w)).withColumn("again", F.row_number().over(w) > 1)
-    same = F.when(F.col("again"), F.col("code_before") == F.trim("code")).otherwise((F.col("source_code_changed") == 0) & (F.col("was") == F.trim("code")))
+    before = parsed.withColumn("digest_", code_digest(F.col("code"))).withColumn("before_", F.lag("digest_").over(w)).withColumn("again", F.row_number().over(w) > 1)
+    same = F.when(F.col("again"), F.col("before_") == F.col("digest_")).otherwise((F.col("source_code_changed") == 0) & (F.col("was") == F.col("digest_")))
     action = (
         F.when(F.col("content_source") == MANUAL, "flag")
         .when(F.col("id").isNull() & ~F.col("again"), "insert")
         .when(same, "hit")
         .otherwise("overwrite")
     )
-    return before.join(own, KEYS, "left").withColumn("action", action).drop("code_before", "again")
+    return before.join(own, KEYS, "left").withColumn("action", action).drop("digest_", "before_", "again", "was")
 
 
 #: What a generator writes about a function.
@@ -57,7 +64,7 @@ def _one_for_each_key(parsed: DataFrame) -> DataFrame:
     document ends with the first function of the last run, a manual one with the last function.
     """
     w, order = _in_order(parsed)
-    starts = parsed.withColumn("starts", ~F.trim("code").eqNullSafe(F.lag(F.trim("code")).over(w)) | (F.row_number().over(w) == 1))
+    starts = parsed.withColumn("digest_", code_digest(F.col("code"))).withColumn("starts", ~F.col("digest_").eqNullSafe(F.lag("digest_").over(w)) | (F.row_number().over(w) == 1))
     row, place = F.struct(*(c for c in parsed.columns if c not in KEYS)), F.struct(*order)
     return starts.groupBy(*KEYS).agg(
         F.count_if("starts").alias("runs"), F.max_by(row, F.when(F.col("starts"), place)).alias("auto"), F.max_by(row, place).alias("manual"), F.min_by(row, place).alias("first")

@@ -142,7 +142,7 @@ def _parsed(t, *more):
 
 @query("mg01_doc_merge", f"WITH $docs, {_EXISTING} SELECT p.file_path, p.func_name, p.func_line, {_ACTION} AS action FROM parsed p LEFT JOIN existing e ON e.repo_id = p.repo_id AND e.file_path = p.file_path AND e.func_name = p.func_name")
 def _(t):
-    return M.merge_actions(t.active, _parsed(t)).select("file_path", "func_name", "func_line", "action")
+    return M.merge_actions(t.coded, _parsed(t)).select("file_path", "func_name", "func_line", "action")
 
 
 @query("sk09_doc_merge", f"""WITH $docs, {_EXISTING}, had AS (SELECT a.*, NULL AS origin_auto_doc FROM active a),

@@ -61,12 +61,15 @@ class Tables:
     def docs(self) -> DataFrame:
         """One function of a repository with its document; labels hold at most one row for each."""
         joined = self.raw("documents").join(self.raw("labels"), "doc_id", "left")
-        return joined.select(
-            *self._source_columns,
+        return joined.select(*self._source_columns, *self._label_columns)
+
+    @cached_property
+    def _label_columns(self) -> list[Column]:
+        return [
             F.when(F.col("quality") == 0, 2).otherwise(1).cast("long").alias("content_source"),
             F.coalesce("toxic", F.lit(0)).cast("long").alias("source_code_changed"),
             F.when((F.col("quality") == 0) & (F.col("toxic") == 1), 1).otherwise(0).cast("long").alias("is_deleted"),
-        )
+        ]
 
     @cached_property
     def active(self) -> DataFrame:
@@ -77,6 +80,15 @@ class Tables:
         """Active documents without their text."""
         return self.active.drop("source_code", "summary", "process_flow", "risk_point")
 
+    @cached_property
+    def coded(self) -> DataFrame:
+        """Active documents without their text, code as a digest: taken before labels are joined, so no text is shuffled."""
+        return self.marked(self.sources.select("id", "repo_id", "module_name", "file_path", "func_name", "func_line", F.md5(F.trim("source_code").cast("binary")).alias("code_digest")))
+
+    def marked(self, own: DataFrame) -> DataFrame:
+        """Rows of sources, cut down to what is wanted of them, with what the labels say; those of deleted documents are left out."""
+        return own.join(self.raw("labels").withColumnRenamed("doc_id", "id"), "id", "left").select(*own.columns, *self._label_columns).where("is_deleted = 0")
+
     @cached_property
     def vectors(self) -> DataFrame:
         return self.raw("embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").cast("long").alias("label"))
