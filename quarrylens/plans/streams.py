@@ -9,6 +9,7 @@ from quarrylens.operators import sessions as C
 from quarrylens.plans.registry import query
 from quarrylens.plans.windows import _TEN, _sessions
 from quarrylens.sources.adapters import MODELS
+from quarrylens.streaming import live as V
 from quarrylens.streaming import stateful as R
 
 
@@ -25,6 +26,44 @@ def _(t):
     return t.tasks.groupBy("task_id").agg(state.alias("state"), F.max(F.when(F.col("status").isin(2, 3), F.col("us"))).alias("finished"))
 
 
+_HOUR = 3_600_000_000
+
+
+@query("sm06_task_calls", f"""WITH $tasks, n AS (SELECT task_id, us, event_id, status, count(*) FILTER (status = 3) OVER w AS attempt, count(*) FILTER (status = 2) OVER w > 0 AS done FROM tasks WINDOW w AS (PARTITION BY task_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT task_id, min(us) FILTER (status = 2) AS won, min(us) FILTER (status = 3 AND attempt = 4) AS lost FROM n GROUP BY task_id),
+f AS (SELECT n.*, us + {_HOUR} AS due, won, lost FROM n JOIN e USING (task_id) WHERE status = 3 AND NOT done)
+SELECT task_id, due AS "at", 'retry' AS kind, attempt FROM f WHERE attempt <= 3 AND coalesce(won, due + 1) > due AND coalesce(lost, due + 1) > due UNION ALL SELECT task_id, us, 'terminal', attempt FROM f WHERE attempt = 4""")
+def _(t):
+    """Retries and terminal calls of tasks; streaming.live.stream_tasks says the same of a stream."""
+    return V.task_calls(t.tasks.select("task_id", F.col("us").alias("at"), "event_id", "status"), _HOUR)
+
+
+@query("sm13_session_lookups", f"""WITH $tasks, k AS (SELECT task_id AS key, us, event_id, CASE WHEN event_type IN ('purchase', 'signup') THEN 'write' WHEN event_type = 'error' THEN 'delete' ELSE 'read' END AS kind, event_type || event_id AS value FROM tasks),
+l AS (SELECT *, last_value(CASE WHEN kind <> 'read' THEN {{'kind': kind, 'us': us, 'value': value}} END IGNORE NULLS) OVER (PARTITION BY key ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM k),
+r AS (SELECT key, event_id, coalesce(p.kind = 'write' AND us < p.us + 24 * {_HOUR}, false) AS live, p FROM l WHERE kind = 'read') SELECT key, event_id, live, CASE WHEN live THEN p.value END AS value FROM r""")
+def _(t):
+    """What reads of a session store find, whose entries live for a day after a write; streaming.live.stream_lookups says the same of a stream."""
+    kind = F.when(F.col("event_type").isin("purchase", "signup"), "write").when(F.col("event_type") == "error", "delete").otherwise("read")
+    events = t.tasks.select(F.col("task_id").alias("key"), F.col("us").alias("at"), "event_id", kind.alias("kind"), F.concat("event_type", F.col("event_id").cast("string")).alias("value"))
+    return V.session_lookups(events, 24 * _HOUR)
+
+
+@query("sm15_chat_memory", """WITH $chat, m AS (SELECT conv_id AS session, turn, role, text, CASE WHEN turn % 7 = 6 THEN 9 ELSE conv_id % 5 END AS repo, CASE WHEN conv_id % 11 = 0 THEN 99 WHEN conv_id % 3 = 0 THEN conv_id % 5 END AS owner FROM chat),
+o AS (SELECT *, repo <> coalesce(owner, first_value(repo) OVER (PARTITION BY session ORDER BY turn)) AS refused FROM m),
+g AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY turn) AS nth FROM o WHERE NOT refused),
+f AS (SELECT session, max(nth) AS n, first(text ORDER BY nth) FILTER (role = 'user') AS asked, list_reduce(list_prepend(CAST(0 AS BIGINT), coalesce(list(nth ORDER BY nth) FILTER (role = 'assistant'), [])), lambda a, b: CASE WHEN b - a > 4 THEN b - 2 ELSE a END) AS gone FROM g GROUP BY session),
+s AS (SELECT session, right(string_agg(role || ': ' || text || chr(10), '' ORDER BY nth), 80) AS summary FROM g JOIN f USING (session) WHERE nth <= gone GROUP BY session)
+SELECT session, count(*) FILTER (refused) AS refused, coalesce(any_value(n - gone), 0) AS kept, coalesce(any_value(gone), 0) AS rolled, any_value(CASE WHEN length(asked) > 20 THEN left(asked, 20) || '...' ELSE asked END) AS title, coalesce(any_value(summary), '') AS summary
+FROM o LEFT JOIN f USING (session) LEFT JOIN s USING (session) GROUP BY session""")
+def _(t):
+    """Messages, summary and title of sessions, those of other repositories refused; streaming.live.stream_chat says the same of a stream."""
+    repo = F.when(F.col("turn") % 7 == 6, 9).otherwise(F.col("conv_id") % 5).cast("long")
+    messages = t.chat.select(F.col("conv_id").alias("session"), F.col("turn").alias("at"), F.col("turn").alias("event_id"), repo.alias("repo"), "role", "text")
+    own = F.when(F.col("conv_id") % 11 == 0, 99).when(F.col("conv_id") % 3 == 0, F.col("conv_id") % 5).cast("long")
+    owners = t.chat.select(F.col("conv_id").alias("session"), own.alias("repo")).where("repo is not null").distinct()
+    return V.chat_memory(messages, owners, 80, trigger=4, keep=2)
+
+
 @query("sm07_dedupe_trigger", "WITH $tasks SELECT task_id, min(event_id) AS event_id, count(*) - 1 AS returned_existing FROM tasks GROUP BY task_id")
 def _(t):
     return t.tasks.groupBy("task_id").agg(F.min("event_id").alias("event_id"), (F.count("*") - 1).alias("returned_existing"))

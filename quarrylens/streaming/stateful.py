@@ -234,10 +234,16 @@ def stream_breaker(calls: DataFrame, ttl: int, threshold: int) -> DataFrame:
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         breaker = Breaker(ttl, threshold, state.get if state.exists else None)
         events = pd.concat(list(frames)).sort_values(["at", "event_id"])
-        passed = [breaker.step(int(a), bool(x)) for a, x in zip(events["at"], events["failed"])]
+        passed = []
+        for at, failed, auth in zip(events["at"], events["failed"], events["auth"]):
+            passed.append(breaker.step(int(at), bool(failed) and not auth))
+            if passed[-1] and failed and auth:
+                breaker.open(int(at))
         state.update(breaker.state())
         yield events[["event_id", "model"]].assign(passed=passed)
 
+    if "auth" not in calls.columns:
+        calls = calls.withColumn("auth", F.lit(False))
     return calls.groupBy("model").applyInPandasWithState(run, "event_id long, model string, passed boolean", "n long, until long, open_until long", "append", GroupStateTimeout.NoTimeout)
 
 
