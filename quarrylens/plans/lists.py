@@ -143,7 +143,8 @@ def _(t):
 b AS (SELECT module_name, lower(concat_ws(' ', module_name, func_name, file_path, summary, process_flow, risk_point)) AS body FROM active)
 SELECT module_name, CAST(sum(len(list_filter(ts, lambda w: contains(body, w)))) AS BIGINT) AS hits FROM b, terms GROUP BY module_name""")
 def _(t):
-    return L.term_hits(t.active, _QUERY).groupBy("module_name").agg(F.sum("hits").alias("hits"))
+    hits = t.marked(L.term_hits(t.sources, _QUERY).select("id", "module_name", "hits"))
+    return hits.groupBy("module_name").agg(F.sum("hits").alias("hits"))
 
 
 @query("pf12_model_candidates", "WITH $models SELECT name, max_context FROM models WHERE enabled AND max_context >= 50000 AND (price_in + price_out) / 2 >= 0.0004")
