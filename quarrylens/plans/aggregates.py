@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions import scalars as S
 from quarrylens.operators import graph as G
+from quarrylens.operators import pool as P
 from quarrylens.operators import secrets as X
 from quarrylens.plans.registry import query
 
@@ -84,6 +85,19 @@ def _(t):
     return priced.groupBy("name").agg(F.count("*").alias("calls"), F.round(F.sum(cost), 4).alias("cost"))
 
 
+@query("ag17_cost_by_version", """WITH $tasks, e AS (SELECT *, CASE event_id % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' ELSE 'gamma' END AS name FROM tasks),
+v AS (SELECT name, us AS valid_from, max(value) / 100000 AS price_in FROM e WHERE event_type = 'signup' GROUP BY ALL), c AS (SELECT name, event_id, us, CAST(floor(value * 10) AS BIGINT) AS tokens FROM e WHERE event_type <> 'signup')
+SELECT event_id, valid_from AS version, round((tokens * price_in + tokens * 2 * price_in) / 1000, 6) AS cost FROM c ASOF LEFT JOIN v ON c.name = v.name AND c.us >= v.valid_from""")
+def _(t):
+    """Each call by the prices in force at its time; a signup changes those of its model."""
+    e = t.tasks.withColumn("name", F.when(F.col("event_id") % 3 == 0, "alpha").when(F.col("event_id") % 3 == 1, "beta").otherwise("gamma"))
+    price = F.max("value") / 100000
+    versions = e.where("event_type = 'signup'").groupBy("name", F.col("us").alias("valid_from")).agg(price.alias("price_in")).withColumns({"price_out": 2 * F.col("price_in"), "enabled": F.lit(True)})
+    tokens = F.floor(F.col("value") * 10)
+    calls = e.where("event_type <> 'signup'").select("name", "event_id", F.col("us").alias("at"), tokens.alias("tokens_in"), tokens.alias("tokens_out"))
+    return P.priced(calls, versions, 86_400_000_000).select("event_id", "version", "cost")
+
+
 _RULE_ROWS = ", ".join(f"('{n}', '{r}', '{p}')" for n, r, p in X.RULES)
 _FINDINGS = rf"""rules(rule, risk, pattern) AS (VALUES {_RULE_ROWS}),
 lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line_no FROM documents),

@@ -31,7 +31,7 @@ def _(t):
 
 @query("wn03_context_prefix", "WITH $docs, r AS (SELECT id, module_name, octet_length(encode(summary)) AS b, sum(octet_length(encode(summary))) OVER (PARTITION BY module_name ORDER BY id) AS used FROM active) SELECT module_name, id, CAST(used AS BIGINT) AS used FROM r WHERE used <= 6000")
 def _(t):
-    sized = t.active.select("module_name", "id", F.octet_length("summary").cast("long").alias("bytes"))
+    sized = t.marked(t.sources.select("module_name", "id", F.octet_length("summary").cast("long").alias("bytes")))
     return W.prefix_budget(sized, ["module_name"], "id", "bytes", 6000).select("module_name", "id", "used")
 
 
