@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylens.functions import scalars as S
+from quarrylens.operators.numbering import numbered
 
 PAGE, PAGE_MOST = 20, 100
 
@@ -41,10 +42,19 @@ def keyword(df: DataFrame, word: str, columns: Sequence[str]) -> DataFrame:
     return df.where(reduce(lambda a, b: a | b, (F.col(c).ilike(f"%{word.strip()}%") for c in columns)))
 
 
+def group_digest(*columns: str) -> Column:
+    """An aggregate that tells groups of rows apart by 128 bits and their count: sums of hashes, so it is merged task by task and holds no list.
+
+    Where the order of rows matters their position is one of the columns.
+    """
+    first, second = (F.sum(F.xxhash64(F.lit(salt), *columns).cast("decimal(20,0)")) for salt in (1, 2))
+    return F.concat_ws(":", F.count("*").cast("string"), first.cast("string"), second.cast("string"))
+
+
 def changed_files(old: DataFrame, new: DataFrame) -> DataFrame:
     """Files that one of two snapshots lacks or that differ, with the kind of change."""
     def body(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("file").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("pos", "func", "signature")))), 256).alias(name))  # lines of one file
+        return df.groupBy("file").agg(group_digest("pos", "func", "signature").alias(name))
 
     both = body(old, "a").join(body(new, "b"), "file", "full_outer").where(~F.col("a").eqNullSafe(F.col("b")))
     return both.select("file", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("modified").alias("change"))
@@ -99,7 +109,9 @@ def candidate_models(models: DataFrame, estimated_tokens: int = 0, least_price:
 
 
 def by_price(models: DataFrame) -> DataFrame:
-    return models.withColumn("pos", F.row_number().over(Window.orderBy(S.average_price(F.col("price_in"), F.col("price_out")), "name")))  # a handful of models
+    """models with pos, from 1: the cheapest on average first, equal prices by name."""
+    priced = models.withColumn("average_", S.average_price(F.col("price_in"), F.col("price_out")))
+    return numbered(priced, ["average_", "name"], "pos").withColumn("pos", F.col("pos") + 1).drop("average_")
 
 
 def status_label(status: Column) -> Column:

@@ -115,9 +115,9 @@ def _(t):
     return X.summary(X.scan(t.raw("documents"), "doc_id", "text"))
 
 
-@query("pf19_finding_list", f"WITH {_FINDINGS} SELECT doc_id, line_no, rule FROM findings WHERE risk = 'high' ORDER BY doc_id DESC, line_no, rule LIMIT 20")
+@query("pf19_finding_list", f"WITH {_FINDINGS} SELECT doc_id, line_no, rule FROM findings WHERE risk = 'low' ORDER BY doc_id DESC, line_no, rule LIMIT 20")
 def _(t):
-    return X.scan(t.raw("documents"), "doc_id", "text").where("risk = 'high'").orderBy(F.desc("doc_id"), "line_no", "rule").limit(20).select("doc_id", "line_no", "rule")
+    return X.scan(t.raw("documents"), "doc_id", "text").where("risk = 'low'").orderBy(F.desc("doc_id"), "line_no", "rule").limit(20).select("doc_id", "line_no", "rule")
 
 
 @query("sk24_stale_findings", f"""WITH {_FINDINGS}, old(doc_id, rule, status) AS (SELECT doc_id, 'email', 'open' FROM documents WHERE n_chars < 600),

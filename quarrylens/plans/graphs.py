@@ -76,14 +76,16 @@ def _(t):
     return R.expand(recalled, t.slim, t.relations).select("id", "module_name")
 
 
-@query("gr08_call_edges", """WITH c(caller, simple, selector, imports) AS (VALUES ('Create', ['validate', 'make', 'validate'], ['user.Get', 'fmt.Println', 'r.Context', 'pay.v2.Do'], MAP {'user': 'shop/user', 'fmt': 'fmt', 'pay': 'lib/pay/'})),
-s AS (SELECT DISTINCT caller, x AS f FROM (SELECT caller, unnest(simple) AS x FROM c) WHERE x NOT IN ('make', 'len')),
-q AS (SELECT DISTINCT caller, imports[split_part(x, '.', 1)] AS path, substr(x, instr(x, '.') + 1) AS rest FROM (SELECT caller, imports, unnest(selector) AS x FROM c))
-SELECT 'order' AS caller_module, caller AS caller_func, 'order' AS callee_module, f AS callee_func, 1 AS call_kind FROM s
-UNION ALL SELECT 'order', caller, split_part(regexp_replace(path, '/$', ''), '/', -1), rest, 2 FROM q WHERE path IS NOT NULL AND path <> 'fmt'""")
-def _(t):
-    schema = "path string, func_name string, callee_simple array<string>, callee array<string>, imports map<string,string>"
-    parsed = t.rows(schema, ("order/create.go", "Create", ["validate", "make", "validate"], ["user.Get", "fmt.Println", "r.Context", "pay.v2.Do"], {"user": "shop/user", "fmt": "fmt", "pay": "lib/pay/"}))
+@query("gr08_call_edges", """WITH $docs SELECT module_name AS caller_module, func_name AS caller_func, module_name AS callee_module, 'f' || id % 7 AS callee_func, 1 AS call_kind FROM docs
+UNION ALL SELECT module_name, func_name, 'm' || id % 3, 'G' || id, 2 FROM docs WHERE id % 3 < 2""")
+def _(t):
+    """Calls as parsed from documents' functions: one of the module twice, a builtin, one of an import if there is such an import, one of a standard import, one of no import."""
+    number = F.col("id").cast("string")
+    own = F.concat(F.lit("f"), (F.col("id") % 7).cast("string"))
+    simple = F.array(own, F.lit("make"), own)
+    calls = F.array(F.concat(F.lit("m"), (F.col("id") % 3).cast("string"), F.lit(".G"), number), F.lit("fmt.Println"), F.lit("r.Context"))
+    imports = F.create_map(*map(F.lit, ("m0", "lib/m0/", "m1", "shop/m1", "fmt", "fmt")))
+    parsed = t.sources.select(F.col("file_path").alias("path"), "func_name", simple.alias("callee_simple"), calls.alias("callee"), imports.alias("imports"))
     return M.call_edges(parsed).select("caller_module", "caller_func", "callee_module", "callee_func", "call_kind")
 
 

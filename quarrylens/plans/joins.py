@@ -82,11 +82,15 @@ def _(t):
     return G.one_hop(t.edges, "part", "1")
 
 
-@query("jn10_alias_map", """WITH c(call, imports) AS (VALUES ('user.GetUser', MAP {'user': 'shop/user'}), ('x.Y.Z', MAP {'x': 'lib/x/'}), ('r.Context', MAP {'user': 'shop/user'}), ('plain', MAP {'plain': 'a/b'}))
-SELECT call, imports[split_part(call, '.', 1)] AS path, CASE WHEN contains(call, '.') THEN substr(call, instr(call, '.') + 1) ELSE '' END AS rest FROM c""")
-def _(t):
-    calls = t.rows("call string, imports map<string,string>", ("user.GetUser", {"user": "shop/user"}), ("x.Y.Z", {"x": "lib/x/"}), ("r.Context", {"user": "shop/user"}), ("plain", {"plain": "a/b"}))
-    return calls.select("call", F.try_element_at("imports", S.selector_alias(F.col("call"))).alias("path"), S.selector_rest(F.col("call")).alias("rest"))
+@query("jn10_alias_map", """SELECT doc_id AS id, 'm' || doc_id % 4 || CASE WHEN doc_id % 4 < 3 THEN '.F' || doc_id ELSE '' END AS call, CASE WHEN doc_id % 4 IN (0, 1) THEN source || '/m' || doc_id % 4 WHEN doc_id % 4 = 3 THEN 'plain' END AS path,
+CASE WHEN doc_id % 4 < 3 THEN 'F' || doc_id ELSE '' END AS rest FROM documents""")
+def _(t):
+    """Calls of documents through the imports of their files; some aliases are not imported, some calls name no function."""
+    n = F.col("id") % 4
+    call = F.concat(F.lit("m"), n.cast("string"), F.when(n < 3, F.concat(F.lit("."), "func_name")).otherwise(""))
+    imports = F.create_map(*(x for m in ("m0", "m1") for x in (F.lit(m), F.concat("module_name", F.lit(f"/{m}")))), F.lit("m3"), F.lit("plain"))
+    calls = t.sources.select("id", call.alias("call"), imports.alias("imports"))
+    return calls.select("id", "call", F.try_element_at("imports", S.selector_alias(F.col("call"))).alias("path"), S.selector_rest(F.col("call")).alias("rest"))
 
 
 _DIFF = """o AS (SELECT * FROM old_code QUALIFY row_number() OVER (PARTITION BY file, func ORDER BY pos DESC) = 1), f AS (SELECT DISTINCT file FROM old_code),

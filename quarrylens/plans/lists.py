@@ -147,9 +147,9 @@ def _(t):
     return hits.groupBy("module_name").agg(F.sum("hits").alias("hits"))
 
 
-@query("pf12_model_candidates", "WITH $models SELECT name, max_context FROM models WHERE enabled AND max_context >= 50000 AND (price_in + price_out) / 2 >= 0.0004")
+@query("pf12_model_candidates", "WITH $offers SELECT name, max_context FROM offers WHERE enabled AND (max_context <= 0 OR max_context >= 50000) AND (price_in + price_out) / 2 >= 0.0004")
 def _(t):
-    return L.candidate_models(t.models, estimated_tokens=50000, least_price=0.0004).select("name", "max_context")
+    return L.candidate_models(t.offers, estimated_tokens=50000, least_price=0.0004).select("name", "max_context")
 
 
 @query("pf15_deny_list", "WITH $edges SELECT callee_module, count(*) AS n FROM edges WHERE callee_module NOT IN ('region', 'nation') GROUP BY 1")
@@ -193,9 +193,9 @@ def _(t):
     return t.chat.groupBy("conv_id").agg(F.max("turn").alias("updated"), F.count("*").alias("n")).orderBy(F.desc("updated"), "conv_id").limit(50)
 
 
-@query("st06_cheapest_model", "WITH $models SELECT name, row_number() OVER (ORDER BY (price_in + price_out) / 2, name) AS pos FROM models WHERE enabled")
+@query("st06_cheapest_model", "WITH $offers SELECT name, row_number() OVER (ORDER BY (price_in + price_out) / 2, name) AS pos FROM offers WHERE enabled")
 def _(t):
-    return L.by_price(L.candidate_models(t.models)).select("name", F.col("pos").cast("long").alias("pos"))
+    return L.by_price(L.candidate_models(t.offers)).select("name", "pos")
 
 
 @query("st07_seed_cap", "WITH $docs SELECT id, func_name FROM active WHERE repo_id = 1 ORDER BY id LIMIT 8")

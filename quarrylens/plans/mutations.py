@@ -55,19 +55,19 @@ def _(t):
     return log.select(F.col("doc_id").alias("id"), "operate_type", after["summary"].alias("after_summary"), after["risk_point"].alias("after_risk"), before["summary"].alias("before_summary"), "operator")
 
 
-_ORIGIN = """o(id, origin) AS (VALUES (1, '{"summary": "first", "risk_point": "r"}'), (2, ''), (3, 'not json'))"""
-
-
-@query("sk12_reset_from_origin", f"WITH {_ORIGIN} SELECT id, CASE WHEN id = 1 THEN 'first' END AS summary, id = 1 AS restored FROM o")
+@query("sk12_reset_from_origin", "WITH $docs SELECT id, CASE WHEN id % 3 = 0 THEN summary END AS summary, id % 3 = 0 AS restored FROM docs")
 def _(t):
-    origin = t.rows("id int, origin string", (1, '{"summary": "first", "risk_point": "r"}'), (2, ""), (3, "not json"))
-    return U.restore_origin(origin).select("id", "summary", "restored")
+    origin = F.when(F.col("id") % 3 == 0, F.to_json(F.struct("summary", "risk_point"))).when(F.col("id") % 3 == 1, "").otherwise("not json")
+    return U.restore_origin(t.sources.select("id", origin.alias("origin"))).select("id", "summary", "restored")
 
 
-@query("sk13_add_relation", "WITH $relations, n(from_module, to_module, relation_type) AS (VALUES ('src1', 'src2', 1), ('src1', 'src9', 2), ('src3', 'src3', 1)) SELECT from_module, to_module, relation_type, 2 AS source FROM n WHERE from_module <> to_module AND NOT EXISTS (SELECT 1 FROM relations r WHERE r.from_module = n.from_module AND r.to_module = n.to_module)")
+@query("sk13_add_relation", """WITH $relations, n AS (SELECT from_module, CASE id % 3 WHEN 0 THEN to_module WHEN 1 THEN from_module ELSE 'src' || ((id + 1) % 20) END AS to_module, relation_type FROM relations)
+SELECT from_module, to_module, relation_type, 2 AS source FROM n WHERE from_module <> to_module AND NOT EXISTS (SELECT 1 FROM relations r WHERE r.from_module = n.from_module AND r.to_module = n.to_module)""")
 def _(t):
-    new = t.rows("from_module string, to_module string, relation_type int", ("src1", "src2", 1), ("src1", "src9", 2), ("src3", "src3", 1))
-    return U.add_relations(t.relations, new)[0]
+    """Of relations drawn by hand a third exist already and a third are of a module to itself."""
+    two_on = F.concat(F.lit("src"), ((F.col("id") + 1) % 20).cast("string"))
+    to = F.when(F.col("id") % 3 == 0, F.col("to_module")).when(F.col("id") % 3 == 1, F.col("from_module")).otherwise(two_on)
+    return U.add_relations(t.relations, t.relations.select("from_module", to.alias("to_module"), "relation_type"))[0]
 
 
 @query("sk14_delete_relation", "WITH $relations SELECT id, CASE WHEN id IN (3, 4) THEN 1 ELSE 0 END AS is_deleted FROM relations")
@@ -120,13 +120,21 @@ def _(t):
     return U.delete_by_id(orders, expired).select(F.col("id").alias("o_orderkey"))
 
 
-@query("sk23_repo_status", "WITH r(id, name, status) AS (VALUES (1, 'a', 1), (2, 'b', 1)), e(id, name, status) AS (VALUES (1, 'b', 2), (2, 'c', 2)) SELECT r.id, CASE WHEN EXISTS (SELECT 1 FROM r x WHERE x.name = e.name AND x.id <> e.id) THEN r.name ELSE e.name END AS name, CASE WHEN EXISTS (SELECT 1 FROM r x WHERE x.name = e.name AND x.id <> e.id) THEN r.status ELSE e.status END AS status FROM r JOIN e USING (id)")
+@query("sk23_repo_status", """WITH r AS (SELECT c_custkey AS id, c_name AS name, 1 AS status FROM customer), e AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 20 = 0 THEN 'Customer#' || lpad(CAST(c_custkey + 1 AS VARCHAR), 9, '0') ELSE c_name || '!' END AS name, 2 AS status FROM customer WHERE c_custkey % 10 = 0)
+SELECT r.id, CASE WHEN x.id <> e.id THEN r.name ELSE e.name END AS name, CASE WHEN x.id <> e.id THEN r.status ELSE e.status END AS status FROM r JOIN e USING (id) LEFT JOIN r x ON x.name = e.name""")
 def _(t):
-    repos = t.rows("id int, name string, status int", (1, "a", 1), (2, "b", 1))
-    return U.edit_unique(repos, t.rows("id int, name string, status int", (1, "b", 2), (2, "c", 2)), "name")
+    """Every tenth repository is renamed, half of them to a name that another one has."""
+    c = t.raw("customer")
+    repos = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit(1).alias("status"))
+    next_name = F.concat(F.lit("Customer#"), F.lpad((F.col("id") + 1).cast("string"), 9, "0"))
+    edits = repos.where("id % 10 = 0").select("id", F.when(F.col("id") % 20 == 0, next_name).otherwise(F.concat("name", F.lit("!"))).alias("name"), F.lit(2).alias("status"))
+    return U.edit_unique(repos, edits, "name")
 
 
-@query("sk25_finding_status", "WITH f(id, status) AS (VALUES (1, 'open'), (2, 'open'), (3, 'fixed')), u(id, status) AS (VALUES (1, 'false_positive'), (2, 'bogus')) SELECT f.id, CASE WHEN u.status IN ('open', 'fixed', 'false_positive') THEN u.status ELSE f.status END AS status FROM f LEFT JOIN u USING (id)")
+@query("sk25_finding_status", """WITH f AS (SELECT doc_id AS id, CASE WHEN n_chars % 3 = 0 THEN 'fixed' ELSE 'open' END AS status FROM documents), u AS (SELECT doc_id AS id, CASE WHEN toxic = 1 THEN 'false_positive' WHEN quality = 0 THEN 'bogus' ELSE 'fixed' END AS status FROM labels)
+SELECT f.id, CASE WHEN u.status IN ('open', 'fixed', 'false_positive') THEN u.status ELSE f.status END AS status FROM f LEFT JOIN u USING (id)""")
 def _(t):
-    found = t.rows("id int, status string", (1, "open"), (2, "open"), (3, "fixed"))
-    return U.set_finding_status(found, t.rows("id int, status string", (1, "false_positive"), (2, "bogus")))
+    """Findings of documents, whose status the labels change; a status that is none changes nothing."""
+    found = t.raw("documents").select(F.col("doc_id").alias("id"), F.when(F.col("n_chars") % 3 == 0, "fixed").otherwise("open").alias("status"))
+    wanted = F.when(F.col("toxic") == 1, "false_positive").when(F.col("quality") == 0, "bogus").otherwise("fixed")
+    return U.set_finding_status(found, t.raw("labels").select(F.col("doc_id").alias("id"), wanted.alias("status")))

@@ -112,9 +112,11 @@ def _(t):
     return e.select("event_id", F.explode(balanced_json(said)).alias("candidate"))
 
 
-@query("fn19_dependency_json", """WITH d(id, s) AS (VALUES (1, '["a","b"]'), (2, 'billing'), (3, ''), (4, NULL)) SELECT id, CASE id WHEN 1 THEN '["a","b"]' WHEN 2 THEN '["billing"]' ELSE '[]' END AS deps FROM d""")
+@query("fn19_dependency_json", '''SELECT event_id, CASE event_type WHEN 'view' THEN '["a","' || event_id || '"]' WHEN 'click' THEN '["billing' || event_id || '"]' ELSE '[]' END AS deps FROM events''')
 def _(t):
-    return t.rows("id int, s string", (1, '["a","b"]'), (2, "billing"), (3, ""), (4, None)).select("id", S.dependency_json(F.col("s")).alias("deps"))
+    kind, number = F.col("event_type"), F.col("event_id").cast("string")
+    said = F.when(kind == "view", F.concat(F.lit('["a","'), number, F.lit('"]'))).when(kind == "click", F.concat(F.lit("billing"), number)).when(kind == "error", F.lit(None)).otherwise("")
+    return t.raw("events").select("event_id", S.dependency_json(said).alias("deps"))
 
 
 @query("fn20_snapshot_map", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -122,15 +124,16 @@ def _(t):
     return t.raw("events").select("event_id", F.try_element_at(F.from_json("props", "map<string,string>"), F.lit("k")).cast("long").alias("k"))
 
 
-@query("fn22_avg_price", "WITH $models SELECT name, (price_in + price_out) / 2 AS price FROM models")
+@query("fn22_avg_price", "WITH $offers SELECT name, (price_in + price_out) / 2 AS price FROM offers")
 def _(t):
-    return t.models.select("name", S.average_price(F.col("price_in"), F.col("price_out")).alias("price"))
+    return t.offers.select("name", S.average_price(F.col("price_in"), F.col("price_out")).alias("price"))
 
 
-@query("fn23_error_class", "WITH e(status, kind) AS (VALUES (429, ''), (401, ''), (403, ''), (500, ''), (404, ''), (400, ''), (0, 'timeout'), (0, '')) SELECT status, kind, CASE WHEN kind = 'timeout' THEN 'retriable' WHEN status IN (401, 403) THEN 'auth' WHEN status = 429 OR status >= 500 THEN 'retriable' WHEN status >= 400 THEN 'business' ELSE 'retriable' END AS class FROM e")
+@query("fn23_error_class", """WITH e AS (SELECT event_id, [429, 401, 403, 500, 404, 400, 0][event_id % 7 + 1] AS status, CASE WHEN event_type = 'error' THEN 'timeout' ELSE '' END AS kind FROM events)
+SELECT event_id, CASE WHEN kind = 'timeout' THEN 'retriable' WHEN status IN (401, 403) THEN 'auth' WHEN status = 429 OR status >= 500 THEN 'retriable' WHEN status >= 400 THEN 'business' ELSE 'retriable' END AS class FROM e""")
 def _(t):
-    e = t.rows("status int, kind string", (429, ""), (401, ""), (403, ""), (500, ""), (404, ""), (400, ""), (0, "timeout"), (0, ""))
-    return e.select("status", "kind", S.error_class(F.col("status"), F.col("kind")).alias("class"))
+    status = F.element_at(F.array(*map(F.lit, (429, 401, 403, 500, 404, 400, 0))), (F.col("event_id") % 7 + 1).cast("int"))
+    return t.raw("events").select("event_id", S.error_class(status, F.when(F.col("event_type") == "error", "timeout").otherwise("")).alias("class"))
 
 
 @query("fn25_l2", "SELECT vec_id AS id, round(list_distance(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 1)), 6) AS distance FROM embeddings")
@@ -150,13 +153,10 @@ def _(t):
     return t.chat.groupBy("conv_id").agg((F.count("*") - 1).alias("n")).select("conv_id", S.impact_tokens(F.col("n")).cast("long").alias("tokens"))
 
 
-_PATHS = ["a/b.go", "../x", "/etc/passwd", "a/../b", "a/../../b", "./a", "a/./../.."]
-_PATH_ROWS = ", ".join(f"('{p}')" for p in _PATHS)
-
-
-@query("fn32_safe_path", f"WITH p(path) AS (VALUES {_PATH_ROWS}) SELECT path, path IN ('a/b.go', 'a/../b', './a') AS safe FROM p")
+@query("fn32_safe_path", "WITH $files, p AS (SELECT id, ['', '../', '/', 'a/../', 'a/../../', './'][id % 6 + 1] || path AS path FROM files) SELECT id, path, id % 6 IN (0, 3, 5) AS safe FROM p")
 def _(t):
-    return t.rows("path string", *((p,) for p in _PATHS)).select("path", S.safe_path(F.col("path")).alias("safe"))
+    before = F.element_at(F.array(*map(F.lit, ("", "../", "/", "a/../", "a/../../", "./"))), (F.col("id") % 6 + 1).cast("int"))
+    return t.files.select("id", F.concat(before, "path").alias("path")).withColumn("safe", S.safe_path(F.col("path")))
 
 
 @query("fn33_dates", "SELECT event_id, epoch_us(ts) // 1000000 AS unix, strftime(ts + INTERVAL 7 DAY, '%Y%m%d') AS expires FROM events")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.sources.scratch import settle
 
-MODULES = 20  # modules on the ring of module relations
+MODULES = 20  # after the last of so many modules comes the first
 
 MODELS = [  # name, price in, price out, context, requests and tokens a minute, enabled
     ("alpha", 0.001, 0.002, 64000, 60, 100000, True),
@@ -122,10 +122,10 @@ class Tables:
 
     @cached_property
     def relations(self) -> DataFrame:
-        """Module relations: a ring, sync and async by turns, every fifth drawn by hand."""
-        i = F.col("id") - 1
-        return self.spark.range(1, MODULES + 1).select(
-            "id", F.concat(F.lit("src"), i.cast("string")).alias("from_module"), F.concat(F.lit("src"), ((i + 1) % MODULES).cast("string")).alias("to_module"),
+        """Relations of the documents' modules: each to the next by number, sync and async by turns, every fifth drawn by hand."""
+        i = F.col("i")
+        return self.raw("documents").where(r"source rlike '^src[0-9]+$'").select(F.substring("source", 4, 18).cast("long").alias("i")).distinct().select(
+            (i + 1).alias("id"), F.concat(F.lit("src"), i.cast("string")).alias("from_module"), F.concat(F.lit("src"), ((i + 1) % MODULES).cast("string")).alias("to_module"),
             (1 + i % 2).alias("relation_type"), F.when(i % 5 == 0, 2).otherwise(1).cast("long").alias("source"),
         )
 
@@ -165,6 +165,14 @@ class Tables:
     def models(self) -> DataFrame:
         return self.rows("name string, price_in double, price_out double, max_context long, rpm long, tpm long, enabled boolean", *MODELS)
 
+    @cached_property
+    def offers(self) -> DataFrame:
+        """Models on offer: one of each supplier."""
+        price = F.abs("s_acctbal") / 1_000_000
+        return self.raw("supplier").select(
+            F.col("s_name").alias("name"), price.alias("price_in"), (2 * price).alias("price_out"), ((F.col("s_suppkey") % 8) * 16000).alias("max_context"), (F.col("s_suppkey") % 5 != 0).alias("enabled")
+        )
+
     @cached_property
     def calls(self) -> DataFrame:
         """Model calls: one model for each kind of event, ten tokens for each unit of value."""
@@ -195,7 +203,7 @@ active AS (SELECT * FROM docs WHERE is_deleted = 0)""",
   UNION ALL SELECT 'part', CAST(l_partkey AS VARCHAR), 'supplier', CAST(l_suppkey AS VARCHAR), 2 FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)
   UNION ALL SELECT 'part', CAST(p_partkey AS VARCHAR), 'part', CAST(q AS VARCHAR), 1 FROM (SELECT p_partkey, lead(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS q FROM part) WHERE q IS NOT NULL)""",
     "relations": f"""relations AS (SELECT i + 1 AS id, 'src' || i AS from_module, 'src' || ((i + 1) % {MODULES}) AS to_module, 1 + i % 2 AS relation_type,
-  CAST(CASE WHEN i % 5 = 0 THEN 2 ELSE 1 END AS BIGINT) AS source FROM (SELECT unnest(range(0, {MODULES})) AS i))""",
+  CAST(CASE WHEN i % 5 = 0 THEN 2 ELSE 1 END AS BIGINT) AS source FROM (SELECT DISTINCT CAST(substr(source, 4) AS BIGINT) AS i FROM documents WHERE regexp_matches(source, '^src[0-9]+$')))""",
     "code": r"""old_code AS (SELECT p_brand || '.go' AS file, p_name || '_' || p_partkey AS func, p_partkey AS pos, 'func ' || p_name || '(' || p_type || ')' AS signature FROM part WHERE p_size <= 40),
 new_code AS (SELECT p_brand || '.go' AS file, p_name || '_' || p_partkey AS func, p_partkey AS pos,
   'func ' || p_name || '(' || p_type || CASE WHEN p_size BETWEEN 20 AND 25 THEN ', ctx' ELSE '' END || ')' AS signature FROM part WHERE p_size >= 11)""",
@@ -205,5 +213,6 @@ new_code AS (SELECT p_brand || '.go' AS file, p_name || '_' || p_partkey AS func
     "files": r"""files AS (SELECT page_id AS id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') ||
   CASE WHEN contains(url, 'example.com') THEN '.go' WHEN contains(url, 'example.net') THEN '.php' ELSE '.html' END AS path, coalesce(html, '') AS content FROM pages)""",
     "models": f"models(name, price_in, price_out, max_context, rpm, tpm, enabled) AS (VALUES {_MODEL_ROWS})",
+    "offers": "offers AS (SELECT s_name AS name, abs(s_acctbal) / 1000000 AS price_in, 2 * (abs(s_acctbal) / 1000000) AS price_out, s_suppkey % 8 * 16000 AS max_context, s_suppkey % 5 <> 0 AS enabled FROM supplier)",
     "calls": r"""calls AS (SELECT event_id, event_type AS model, epoch_us(ts) // 1000000 AS "at", CAST(floor(value * 10) AS BIGINT) AS tokens, value > 50 AS failed FROM events)""",
 }
