@@ -94,6 +94,29 @@ _NO_DOCUMENTS = "知识库中暂未检索到与当前需求相关的业务文档
 _NOTE = "\n说明：知识库暂未检索到与当前需求匹配的业务文档，建议补充相关代码后重新分析。"
 
 
+# fixed values: what a result says whose answer could not be read
+_UNREAD = "知识库检索完成，但 AI 结构化分析输出解析失败，已基于召回文档返回基础信息，请稍后重试。"
+_SUGGESTION = "建议补充/更新知识库文档后重新分析。"
+
+
+def fallback(requests: DataFrame, recalled: DataFrame) -> DataFrame:
+    """What is answered to requests (request) whose answers cannot be read: request, related_modules, related_functions, analysis, risk_points, suggestion, knowledge_missing.
+
+    recalled: request, pos, module_name, id, file_path, func_name, summary of the documents that
+    were recalled for each, a top-k.  Modules come in order of their names.
+    """
+    function = F.struct("id", "file_path", "func_name", S.truncate(F.col("summary"), 100).alias("summary"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", function.alias("f")))), lambda x: x["f"])  # of a top-k
+    modules = F.array_sort(F.collect_set(F.when(F.trim("module_name") != "", F.col("module_name"))))
+    found = recalled.groupBy("request").agg(listed.alias("related_functions"), modules.alias("related_modules"))
+    out = requests.select("request").join(found, "request", "left").withColumn("knowledge_missing", F.col("related_functions").isNull())
+    empty = lambda c: F.coalesce(c, F.array().cast(out.schema[c].dataType)).alias(c)
+    return out.select(
+        "request", empty("related_modules"), empty("related_functions"), F.when(F.col("knowledge_missing"), _NO_DOCUMENTS).otherwise(_UNREAD).alias("analysis"),
+        F.array().cast("array<string>").alias("risk_points"), F.lit(_SUGGESTION).alias("suggestion"), "knowledge_missing",
+    )
+
+
 def degraded(results: DataFrame) -> DataFrame:
     """results (analysis, n: documents recalled) with knowledge_missing, and an analysis that says so."""
     said = F.coalesce("analysis", F.lit(""))

@@ -74,6 +74,21 @@ def _(t):
     return parts[0].union(parts[1])
 
 
+@query("rt06_fallback_answer", f"""WITH $docs, r AS (SELECT DISTINCT source AS request FROM documents UNION SELECT 'none'),
+k AS (SELECT module_name AS request, id, func_name, CASE WHEN length(summary) > 100 THEN left(summary, 100) || '...' ELSE summary END AS said FROM active QUALIFY row_number() OVER (PARTITION BY module_name ORDER BY id DESC) <= 5),
+f AS (SELECT request, string_agg(func_name, ',' ORDER BY id DESC) AS functions, md5(string_agg(said, chr(10) ORDER BY id DESC)) AS said_md5, count(*) AS n FROM k GROUP BY request)
+SELECT request, CASE WHEN n > 0 THEN request ELSE '' END AS modules, coalesce(functions, '') AS functions, coalesce(said_md5, md5('')) AS said_md5, CASE WHEN n > 0 THEN '{R._UNREAD}' ELSE '{R._NO_DOCUMENTS}' END AS analysis, n IS NULL AS knowledge_missing FROM r LEFT JOIN f USING (request)""")
+def _(t):
+    """Requests for each module, and one that recalls nothing, whose answers could not be read."""
+    newest = L.last_n(t.marked(t.sources.select("id", "module_name", "file_path", "func_name", "summary")), ["module_name"], "id", 5)
+    recalled = newest.withColumn("request", F.col("module_name")).withColumn("pos", -F.col("id"))
+    requests = t.raw("documents").select(F.col("source").alias("request")).distinct().union(t.rows("request string", ("none",)))
+    out = R.fallback(requests, recalled)
+    said = F.array_join(F.transform("related_functions", lambda f: f["summary"]), "\n")
+    names = F.array_join(F.transform("related_functions", lambda f: f["func_name"]), ",")
+    return out.select("request", F.array_join("related_modules", ",").alias("modules"), names.alias("functions"), F.md5(said.cast("binary")).alias("said_md5"), "analysis", "knowledge_missing")
+
+
 def _any_like(word):
     out = F.lit(False)
     for c in R.KEYWORD_COLUMNS:

@@ -19,12 +19,11 @@ def clear_scratch(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the folder that spark.checkpoint.dir names: its lineage ends here and outlives executors.
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names.
 
     Only where that is unset and all runs on one machine a temporary folder is made and set.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
@@ -33,5 +32,12 @@ def settle(df: DataFrame, label: str) -> DataFrame:
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     _MADE.append(path)
+    return path
+
+
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """df as a table in the shared folder: its lineage ends here and outlives executors."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
