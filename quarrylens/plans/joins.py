@@ -9,6 +9,7 @@ from quarrylens.functions import scalars as S
 from quarrylens.operators import diff as D
 from quarrylens.operators import graph as G
 from quarrylens.operators import retrieval as R
+from quarrylens.operators import textindex as X
 from quarrylens.plans.registry import query
 
 
@@ -146,6 +147,15 @@ def _(t):
     return D.mentions(t.active, names, ("process_flow", "summary")).groupBy("name", "module_name").agg(F.count("*").alias("n"))
 
 
+@query("jn16_many_names", r"""WITH $docs, n AS (SELECT DISTINCT lower(regexp_extract(summary, '[A-Za-z]{5,}')) AS name FROM docs UNION SELECT DISTINCT lower(source) FROM documents), k AS (SELECT * FROM n WHERE name <> '')
+SELECT k.name, count(*) AS n FROM k JOIN docs d ON contains(lower(d.source_code), k.name) GROUP BY k.name""")
+def _(t):
+    """How many documents mention each of many names: the first long word of every document, and every module."""
+    word = F.regexp_extract("summary", "[A-Za-z]{5,}", 0)
+    names = t.sources.select(word.alias("name")).union(t.raw("documents").select("source"))
+    return X.contained(t.sources.select("id", "source_code"), names, "id", "source_code", "name").groupBy("name").agg(F.count("*").alias("n"))
+
+
 @query("jn17_regex_theta", r"WITH $docs SELECT id, array_to_string(list_sort(list_distinct(regexp_extract_all(source_code, '\b(token|password|License|stupid)\b'))), ',') AS funcs FROM active WHERE regexp_matches(source_code, '\b(token|password|License|stupid)\b')")
 def _(t):
     return D.test_selection(t.active.select("id", F.col("source_code").alias("content")), ["token", "password", "License", "stupid"]).select("id", F.array_join(F.array_sort("funcs"), ",").alias("funcs"))
