@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -74,3 +75,54 @@ def test_long_texts_are_learnt_from_in_part(spark):
     docs = spark.createDataFrame([(i, "lange worte " * 3000 if i % 2 else "short words " * 9, "de" if i % 2 else "en") for i in range(60)], "doc_id long, text string, lang string")
     rows = N.training_rows(docs, id_col="doc_id", text_col="text", lang_col="lang")
     assert {lang for _, lang in rows} == {"de", "en"} and max(len(t) for t, _ in rows) == N.LONGEST
+
+
+def plainly(model, text):
+    """Logits of a text: means over its n-grams, one by one."""
+    sums, count = [0.0] * len(model.languages), 0
+    for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+        marked = f" {word} "
+        for k in model.grams:
+            for i in range(len(marked) - k + 1):
+                code = 0
+                for c in marked[i : i + k]:
+                    code = (code * int(N._STEP) + ord(c) + 1) % (1 << 64)
+                bucket = ((code ^ code >> 30) * int(N._MIX) % (1 << 64)) >> (64 - (model.buckets - 1).bit_length())
+                sums = [s + float(x) for s, x in zip(sums, model.table[bucket])]
+                count += 1
+    return [s / max(1, count) + float(b) for s, b in zip(sums, model.bias)]
+
+
+def softmax(logits, heat):
+    top = max(x / heat for x in logits)
+    e = [math.exp(x / heat - top) for x in logits]
+    return [x / sum(e) for x in e]
+
+
+def test_predictions_and_calibration_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = N.training_rows(docs, id_col="doc_id", text_col="text", lang_col="lang")
+    model = N.fit(rows)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(40).collect()] + ["Das ist gut", "the and of", "½ 12", "", "zzz qqq xxyyzz"]
+    for text in texts:
+        lang, score, accepted = model.predict(text)
+        if not any(c.isalpha() for c in text or ""):
+            assert (lang, score, accepted) == ("und", 0.0, False)
+            continue
+        p = softmax(plainly(model, text), model.temperature)
+        assert abs(max(p) - score) < 1e-6 and abs(p[model.languages.index(lang)] - max(p)) < 1e-6 and (accepted == (score >= model.limit))
+    # what is held back of the sample, found again by the same draws, gives the temperature and the limit
+    rng = np.random.default_rng(N.SEED)
+    rng.uniform(size=(N.BUCKETS, N.DIM))
+    sample = [(text, lang) for text, lang in rows if any(c.isalpha() for c in text)]
+    rng.shuffle(sample)
+    held = [(plainly(model, text), model.languages.index(lang)) for text, lang in sample[::5]]
+    loss = {heat: -sum(math.log(softmax(x, heat)[y] + 1e-12) for x, y in held) / len(held) for heat in np.geomspace(0.05, 20, 60)}
+    assert abs(loss[min(loss, key=loss.get)] - loss[min(loss, key=lambda h: abs(h - model.temperature))]) < 1e-6
+    scored = sorted(((max(p), p.index(max(p)) == y) for x, y in held for p in [softmax(x, model.temperature)]), key=lambda x: -x[0])
+    right, limit = 0, 1.0
+    for n, (score, good) in enumerate(scored, 1):
+        right += good
+        if right / n >= N.TARGET_ACCURACY:
+            limit = score
+    assert abs(limit - model.limit) < 1e-6
