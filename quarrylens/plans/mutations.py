@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from quarrylens.operators import mutation as U
 from quarrylens.operators import sessions as C
+from quarrylens.operators import stored as T
 from quarrylens.plans.registry import query
+from quarrylens.sources.scratch import scratch_path
 from quarrylens.plans.windows import _TEN, _sessions
 
 _EDITS = "edits(id, summary, risk_point) AS (VALUES (1, 'new summary', ''), (2, '', 'new risk'), (99999999, 'lost', 'lost'))"
@@ -42,6 +44,17 @@ def _(t):
     return U.replace_partition(t.old_code.select(*cols), t.new_code.where("file like 'Brand#1%'").select(*cols), ["file"])
 
 
+@query("sk06_stored_partition", "WITH $code SELECT file, func, signature FROM old_code WHERE file NOT IN (SELECT file FROM new_code WHERE file LIKE 'Brand#1%') UNION ALL SELECT file, func, signature FROM new_code WHERE file LIKE 'Brand#1%'")
+def _(t):
+    """The same on a stored table: only the slots of the files that changed are written."""
+    cols, schema, table = ["file", "func", "signature"], "file string, func string, signature string", scratch_path(t.spark, "stored-code")
+    new = t.new_code.where("file like 'Brand#1%'").select(*cols)
+    T.create(t.old_code.select(*cols), table, ["file"], 16)
+    log = new.groupBy("file").agg(F.count("*").alias("functions"))
+    T.replace(t.spark, table, schema, ["file"], new.select("file"), new, log, scratch_path(t.spark, "stored-log"), 1, 16)
+    return T.read(t.spark, table, schema).select(*cols)
+
+
 @query("sk07_get_or_create", "WITH have(name) AS (VALUES ('src1'), ('src2'), ('other')) SELECT name, false AS created FROM have UNION ALL SELECT DISTINCT source, true FROM documents WHERE source NOT IN (SELECT name FROM have)")
 def _(t):
     have = t.rows("name string", ("src1",), ("src2",), ("other",))
