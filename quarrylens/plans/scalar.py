@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrylens.functions import scalars as S
+from quarrylens.functions import validation as V
 from quarrylens.operators.parsers import balanced_json
 from quarrylens.plans.registry import query
 
@@ -159,6 +160,26 @@ def _(t):
     return t.files.select("id", F.concat(before, "path").alias("path")).withColumn("safe", S.safe_path(F.col("path")))
 
 
+@query("pf22_impact_requests", f"""WITH e AS (SELECT event_id, ['both', ' ', 'sideways', 'upstream', ''][event_id % 5 + 1] AS direction, CASE WHEN event_type IN ('view', 'error') THEN 'main' ELSE ' ' END AS branch, event_id % 3 = 0 AS f, CASE WHEN event_type = 'click' THEN 'how' END AS query FROM events)
+SELECT event_id, CASE WHEN direction = 'sideways' THEN '{V.BAD_DIRECTION}' WHEN CAST(branch = 'main' AS INT) + CAST(f AS INT) + CAST(query IS NOT NULL AS INT) > 1 THEN '{V.MANY_SEEDS}' ELSE '' END AS error FROM e""")
+def _(t):
+    """What is wrong with requests for an impact."""
+    kind, n = F.col("event_type"), F.col("event_id")
+    direction = F.element_at(F.array(*map(F.lit, ("both", " ", "sideways", "upstream", ""))), (n % 5 + 1).cast("int"))
+    functions = F.when(n % 3 == 0, F.array(F.lit("order.Create"))).when(n % 3 == 1, F.array().cast("array<string>"))
+    error = V.impact_error(direction, F.when(kind.isin("view", "error"), "main").otherwise(" "), functions, F.when(kind == "click", "how"))
+    return t.raw("events").select("event_id", error.alias("error"))
+
+
+@query("pf22_relation_requests", f"""WITH r AS (SELECT doc_id, source AS a, CASE doc_id % 5 WHEN 0 THEN ' ' || source || ' ' WHEN 1 THEN ' ' ELSE source || 'x' END AS b, doc_id % 4 AS kind, CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'me' END AS creator FROM documents)
+SELECT doc_id AS id, CASE WHEN trim(coalesce(a, '')) = '' OR trim(coalesce(b, '')) = '' THEN '{V.NO_MODULE}' WHEN trim(a) = trim(b) THEN '{V.SAME_MODULE}' WHEN kind NOT IN (1, 2) THEN '{V.BAD_TYPE}' WHEN creator = '' THEN '{V.NO_CREATOR}' ELSE '' END AS error FROM r""")
+def _(t):
+    """What is wrong with relations that are drawn by hand."""
+    n, source = F.col("doc_id"), F.col("source")
+    target = F.when(n % 5 == 0, F.concat(F.lit(" "), source, F.lit(" "))).when(n % 5 == 1, " ").otherwise(F.concat(source, F.lit("x")))
+    return t.raw("documents").select(n.alias("id"), V.relation_error(source, target, n % 4, F.when(n % 7 == 0, "").otherwise("me")).alias("error"))
+
+
 @query("fn33_dates", "SELECT event_id, epoch_us(ts) // 1000000 AS unix, strftime(ts + INTERVAL 7 DAY, '%Y%m%d') AS expires FROM events")
 def _(t):
     at = F.col("ts").cast("timestamp")
