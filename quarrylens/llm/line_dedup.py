@@ -217,5 +217,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     told = texts.withColumn("may", may_lose("tag"))
     losing = told.where("may").join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t")), "left").select("doc_id", "text", "dropped")
-    whole = told.where("not may").select("doc_id", "text", F.lit(None).cast("array<int>").alias("dropped"))
-    return losing.union(whole).mapInArrow(cut, "doc_id long, text string, n_lines long, dropped array<int>")
+    # what loses no line stays in the JVM
+    lines_of = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
+    whole = told.where("not may").select("doc_id", "text", lines_of.alias("n_lines"), F.array().cast("array<int>").alias("dropped"))
+    return losing.mapInArrow(cut, "doc_id long, text string, n_lines long, dropped array<int>").union(whole)
