@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions import scalars as S
 from quarrylens.operators import listing as L
+from quarrylens.operators import prompts as M
 from quarrylens.operators import retrieval as R
 from quarrylens.operators import sessions as C
 from quarrylens.plans.registry import query
@@ -110,3 +111,35 @@ def _(t):
     got = R.load_in_order(R.recall(docs, vectors, wanted, "stupid").select("id", "pos"), docs)
     body = F.concat_ws(" ", *R.KEYWORD_COLUMNS[:1], "func_name", "file_path", "summary", "process_flow", "risk_point")
     return got.where(L.hits_of(body, ["stupid", "the", "src"]) >= 2).orderBy("pos").limit(8).select("id", "func_name")
+
+
+_IMPACT = f"""i AS (SELECT module_name AS request, ['{M.CHANGED}', '{M.UPSTREAM}', '{M.DOWNSTREAM}'][id % 3 + 1] AS kind, module_name AS module, func_name AS func, file_path AS file, left(summary, 40) AS summary, id % 2 + 1 AS depth,
+CASE id % 3 WHEN 1 THEN module_name || '.' || func_name || '{M._CALLS}' || module_name || '.F' || (id - 1) WHEN 2 THEN module_name || '.F' || (id - 2) || '{M._CALLS}' || module_name || '.' || func_name END AS edge FROM docs),
+f AS (SELECT *, row_number() OVER (PARTITION BY request, kind ORDER BY depth, module, func, coalesce(edge, '')) AS place FROM i QUALIFY place <= 5)"""
+
+
+def _impact(t):
+    """Documents of each module as an impact: a third changed, a third calls the one before, a third is called by the one before that."""
+    n, name = F.col("id"), S.function_key(F.col("module_name"), F.col("func_name"))
+    near = lambda back: F.concat("module_name", F.lit(".F"), (n - back).cast("string"))
+    kind = F.when(n % 3 == 0, M.CHANGED).when(n % 3 == 1, M.UPSTREAM).otherwise(M.DOWNSTREAM)
+    edge = F.when(n % 3 == 1, M.edge_text(name, near(1))).when(n % 3 == 2, M.edge_text(near(2), name))
+    return t.sources.select(
+        F.col("module_name").alias("request"), kind.alias("kind"), F.col("module_name").alias("module"), F.col("func_name").alias("func"), F.col("file_path").alias("file"), F.left("summary", F.lit(40)).alias("summary"),
+        (n % 2 + 1).alias("depth"), edge.alias("edge"),
+    )
+
+
+@query("fn21_impact_prompts", f"""WITH $docs, {_IMPACT}, l AS (SELECT request, kind, place, CASE kind WHEN 'changed' THEN '- ' || module || '.' || func || ' (文件 ' || coalesce(file, '') || ')' ELSE '- [深度' || depth || '] ' || module || '.' || func || ' ' || edge END || chr(10) || '  摘要: ' || summary || chr(10) AS line FROM f),
+s AS (SELECT request, coalesce(string_agg(line, '' ORDER BY place) FILTER (kind = 'changed'), '') AS c, coalesce(string_agg(line, '' ORDER BY place) FILTER (kind = 'upstream'), '') AS u, coalesce(string_agg(line, '' ORDER BY place) FILTER (kind = 'downstream'), '') AS d FROM l GROUP BY request)
+SELECT request, '{M._IMPACT_HEAD}' || '{M._SECTIONS[M.CHANGED]}' || c || CASE WHEN u <> '' THEN '{M._SECTIONS[M.UPSTREAM]}' || u ELSE '' END || CASE WHEN d <> '' THEN '{M._SECTIONS[M.DOWNSTREAM]}' || d ELSE '' END || '{M._IMPACT_END}' AS prompt FROM s""")
+def _(t):
+    return M.impact_prompts(_impact(t), 5)
+
+
+@query("fn21_change_prompts", f"""WITH $docs, {_IMPACT}, a AS (SELECT request, kind, place, CASE kind WHEN 'upstream' THEN split_part(edge, '{M._CALLS}', 2) ELSE split_part(edge, '{M._CALLS}', 1) END AS name, CASE kind WHEN 'upstream' THEN split_part(edge, '{M._CALLS}', 1) ELSE split_part(edge, '{M._CALLS}', 2) END || '(深度' || depth || ')' AS told FROM f WHERE kind <> 'changed'),
+c AS (SELECT request, name, string_agg(told, '、' ORDER BY place) FILTER (kind = 'upstream') AS u, string_agg(told, '、' ORDER BY place) FILTER (kind = 'downstream') AS d FROM a GROUP BY request, name),
+e AS (SELECT f.request, f.place, chr(10) || '【' || module || '.' || func || '】文件 ' || coalesce(file, '') || chr(10) || '  摘要: ' || summary || chr(10) || coalesce('  上游调用方: ' || u || chr(10), '') || coalesce('  下游依赖: ' || d || chr(10), '') AS entry FROM f LEFT JOIN c ON c.request = f.request AND c.name = module || '.' || func WHERE kind = 'changed')
+SELECT request, '{M._CHANGE_HEAD}' || string_agg(entry, '' ORDER BY place) || '{M._CHANGE_END}' AS prompt FROM e GROUP BY request""")
+def _(t):
+    return M.change_prompts(_impact(t), 5)
