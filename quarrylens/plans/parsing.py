@@ -36,12 +36,12 @@ def _(t):
     return out.select("path", "func_name", "start_line", "signature", F.array_join("callee_simple", ",").alias("plain"), F.array_join("callee", ",").alias("qualified"))
 
 
-@query("ud02_php_functions", f"""WITH $docs, {_LINES} SELECT replace(file_path, '.go', '.php') AS path, 'f' || i AS func_name, CAST(3 + 4 * i AS INTEGER) AS start_line FROM l WHERE file_path IS NOT NULL AND i % 3 < 2""")
+@query("ud02_php_functions", f"""WITH $docs, {_LINES} SELECT replace(file_path, '.go', '.php') AS path, 'f' || i AS func_name, CAST(3 + 4 * i AS INTEGER) AS start_line, length(line) + length(CAST(i AS VARCHAR)) + CASE WHEN i % 3 = 0 THEN 31 ELSE 42 END AS code_chars FROM l WHERE file_path IS NOT NULL AND i % 3 < 2""")
 def _(t):
     """PHP files with a function for each line of a document, the line in a string or in a comment; every third line names a function that is only spoken of."""
     def function(line, i):
         n = i.cast("string")
-        said = F.regexp_replace(line, r"['\\\\\r]|\*/", " ")
+        said = F.regexp_replace(F.regexp_replace(line, r"['\\\r]", " "), r"\*/", "* ")
         plain = F.concat(F.lit("function f"), n, F.lit("($a) {\n  return '"), said, F.lit("';\n}\n\n"))
         by_reference = F.concat(F.lit("function &f"), n, F.lit("() {\n  /* function no() { "), said, F.lit(" */\n}\n\n"))
         spoken = F.concat(F.lit("// function g"), n, F.lit("() {\n$b = 'function h() {';\n# "), said, F.lit("\n\n"))
@@ -49,7 +49,7 @@ def _(t):
 
     body = _written(F.split("source_code", "\n"), "<?php\n\n", function)
     out = P.parse_files(t.sources.select(F.regexp_replace("file_path", "go$", "php").alias("path"), body.alias("content")), "php")
-    return out.select("path", "func_name", "start_line")
+    return out.select("path", "func_name", "start_line", F.length("code").alias("code_chars"))
 
 
 def _stub_model(texts: list[str]) -> list[str]:

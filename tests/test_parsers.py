@@ -91,9 +91,11 @@ def test_queries_parse_the_whole_text(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     php = {(r.path, r.func_name): r.code_chars for r in catalogue.QUERIES["ud02_php_functions"](spark, str(tmp_path)).collect()}
-    assert [php[f"s/en/{i}.php", "one"] for i in range(3)] == [len("function one($a) { return ''; }") + len(t or "") for t in texts]
+    assert php == {("s/en/0.php", "f0"): len("function f0($a) {\n  return 'one';\n}"), ("s/en/0.php", "f1"): len("function &f1() {\n  /* function no() { " + texts[0].split("\n")[1] + " */\n}")} | {
+        (f"s/en/{i}.php", "f0"): len("function f0($a) {\n  return '';\n}") for i in (1, 2)
+    }
     parsed = []
     monkeypatch.setattr(P, "parse_files", lambda files, language, parse=P.parse_files: parsed.append(files) or parse(files, language))
-    assert catalogue.QUERIES["ud01_go_functions"](spark, str(tmp_path)).count() == 6
+    assert catalogue.QUERIES["ud01_go_functions"](spark, str(tmp_path)).count() == 5  # a function for each line
     bodies = {r.path: r.content for r in parsed[0].collect()}
-    assert "Println(\"one two  q  'p'   last\")" in bodies["s/en/0.go"] and 'Println("")' in bodies["s/en/2.go"]
+    assert 'Println("one")' in bodies["s/en/0.go"] and "// two  q  'p'  \n" in bodies["s/en/0.go"] and 'Println("last")' in bodies["s/en/0.go"] and 'Println("")' in bodies["s/en/2.go"]
