@@ -7,25 +7,35 @@ inside the tasks by a bitmap of fixed size, which may let some pass but loses no
 shuffled are the postings that names ask for, not texts times names.  Shorter names match by
 their own characters, which are keys of one or two.
 
+Names of ``SMALL_CHARS`` characters at most in all, which is measured, go to the tasks as one
+automaton instead: a text is then read once, and nothing of it is shuffled.
+
 Texts and names are compared in lower case; null and empty names stand nowhere, null texts hold
 nothing; rows that repeat an id are texts each.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrylens.sources.scratch import settle
 
 #: Bits of the bitmap of wanted trigrams: 2 MB wherever it goes.
 BITS = 1 << 24
 GRAM = 3
+#: Names that may travel whole; their automaton takes about 100 bytes for each character.
+SMALL_CHARS = 1_000_000
+
+_AUTOMATA: dict[str, ahocorasick.Automaton] = {}
 
 
 def grams_of(text: str) -> list[int]:
@@ -74,10 +84,42 @@ def _bitmap(grams: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def contained(texts: DataFrame, names: DataFrame, id_col: str, text_col: str, name_col: str) -> DataFrame:
-    """id and name of each text that holds a name, without regard to case; each name once, in lower case."""
+def _automaton(key: str, names: list[str]) -> ahocorasick.Automaton:
+    """The automaton of some names, built once in each worker and kept until others are asked for."""
+    if key not in _AUTOMATA:
+        _AUTOMATA.clear()
+        made = ahocorasick.Automaton()
+        for name in names:
+            made.add_word(name, name)
+        made.make_automaton()
+        _AUTOMATA[key] = made
+    return _AUTOMATA[key]
+
+
+def _found_by_automaton(texts: DataFrame, names: list[str]) -> DataFrame:
+    """id and name, from texts (id, text)."""
+    sent, key = texts.sparkSession.sparkContext.broadcast(names), uuid.uuid4().hex
+    schema = T.StructType([texts.schema["id"], T.StructField("name", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(key, sent.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [{name for _, name in automaton.iter(text)} for text in part.column(1).to_pylist()]
+                ids = part.column(0).take(pa.array(np.repeat(np.arange(len(found)), list(map(len, found)))))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([n for some in found for n in some], pa.string())], ["id", "name"])
+
+    return texts.mapInArrow(run, schema)
+
+
+def contained(texts: DataFrame, names: DataFrame, id_col: str, text_col: str, name_col: str, small_chars: int = SMALL_CHARS) -> DataFrame:
+    """id and name of each text that holds a name, without regard to case; each name once, in lower case.  small_chars changes no result."""
     known = names.select(F.lower(name_col).alias("text")).where("text <> ''").distinct().withColumn("row", F.monotonically_increasing_id()).select("row", "text")
     known = settle(known, "names")
+    size = known.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    if 0 < size <= small_chars:
+        return _found_by_automaton(texts.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.lower(text_col).alias("text")), [r.text for r in known.select("text").collect()])
     bodies = settle(texts.where(F.col(text_col).isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.lower(text_col).alias("text")), "texts")
     keys = settle(_keyed(known, own_grams), "name-grams")
     slim = bodies.select("row", "text")
