@@ -1,3 +1,7 @@
+import tracemalloc
+
+import pyarrow as pa
+
 from quarrylens.operators import parsers as P
 from quarrylens.plans import catalogue
 
@@ -86,6 +90,61 @@ def test_parse_files(spark):
     assert [(r.path, r.func_name, list(r.callee_simple)) for r in P.parse_files(files, "go").collect()] == [("a.go", "F", ["g"])]
 
 
+class Fed:
+    """Stands in for a DataFrame: keeps what is to run on its batches."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+    def mapInPandas(self, run, schema):
+        return lambda batches: run(b.to_pandas() for b in batches)
+
+
+def peak_of(language, batch):
+    """Most bytes that Python holds above the batch itself, and the functions found."""
+    run = P.parse_files(Fed(), language)
+    tracemalloc.start()
+    try:
+        found = 0
+        for out in run(iter([batch])):
+            found += len(out) if hasattr(out, "iloc") else out.num_rows
+        return tracemalloc.get_traced_memory()[1], found
+    finally:
+        tracemalloc.stop()
+
+
+def assert_memory_is_flat(language, head, function):
+    """A batch of four times the files, or a file of four times the functions, takes no four times the memory."""
+    files = lambda n, k: pa.record_batch({"path": [f"{i}" for i in range(n)], "content": [head + "".join(function % j for j in range(k))] * n})
+    (small, few), (large, many) = peak_of(language, files(500, 20)), peak_of(language, files(2000, 20))
+    assert (few, many) == (10_000, 40_000) and large < 1.5 * small, (small, large)
+    with_files = P.parsed_batches(iter([files(3, 5000), files(0, 0), files(5, 1)]), language)
+    sizes = [b.num_rows for b in with_files]
+    assert sum(sizes) == 15_005 and max(sizes) <= P.BATCH_ROWS
+
+
+def test_go_memory_does_not_grow_with_the_batch():
+    assert_memory_is_flat("go", 'package a\n\nimport "fmt"\n\n', 'func F%d() {\n\tfmt.Println(g("some words of a line that stands in a string"))\n}\n')
+
+
+def test_batches_of_long_functions_are_short():
+    body = "package a\n" + "".join(f"func F{i}() {{\n\t// {'x' * 400_000}\n}}\n" for i in range(7))
+    got = list(P.parsed_batches(iter([pa.record_batch({"path": ["a", None, "b"], "content": [body, body, None]})]), "go"))
+    assert [b.num_rows for b in got] == [3, 3, 3, 3, 2] and pa.Table.from_batches(got)["path"].to_pylist() == ["a"] * 7 + [None] * 7
+    assert [r["func_name"] for b in got for r in b.to_pylist()] == [f"F{i}" for i in range(7)] * 2
+
+
+def test_all_columns_come_back(spark):
+    source = 'package a\nimport u "x/user"\nfunc F() error {\n\tu.Get(g())\n}\nfunc G()\n'
+    got = [tuple(r) for r in P.parse_files(spark.createDataFrame([("a.go", source)], "path string, content string"), "go").collect()]
+    assert got == [("a.go", *f) for f in P.go_functions(source)] and len(got) == 2
+    source = "<?php\nfunction f() { }\n"
+    assert [tuple(r) for r in P.parse_files(spark.createDataFrame([("a", source)], "path string, content string"), "php").collect()] == [("a", "f", 2, "function f() { }")]
+
+
 def test_queries_parse_the_whole_text(spark, tmp_path, monkeypatch):
     texts = ["one\ntwo \"q\" 'p' \\\nlast", "", None]
     spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
