@@ -60,16 +60,29 @@ def range_rate(df: DataFrame, key: str, at: str, tokens: str, seconds: int, widt
     """requests and tokens_in_window of the last seconds, the row's own second included.
 
     A slice is ``width`` seconds, 24 windows unless named; rows of the last window of a slice
-    also stand, as a halo, at the head of the next.
+    also stand, as a halo, at the head of the next.  Spark sums a sliding window anew for each
+    row, so its work would grow with the square of a window's rows.  Here a slice is cut into
+    blocks as long as a window, which is then the end of one block and the head of the next:
+    two running sums.
     """
     width = width or 24 * max(seconds, 1)
     if width < seconds:
         raise ValueError("a slice must hold a window")
+    kind = df.select(F.sum(tokens)).schema[0].dataType
     cut = _sliced(df, at, width)
     halo = cut.where(F.col(at) >= (F.col("slice_") + 1) * width - seconds).withColumn("slice_", F.col("slice_") + 1)
-    w = Window.partitionBy(key, "slice_").orderBy(at).rangeBetween(-seconds, 0)
-    rows = cut.withColumn("own_", F.lit(True)).union(halo.withColumn("own_", F.lit(False)))
-    return rows.withColumn("requests", F.count("*").over(w)).withColumn("tokens_in_window", F.sum(tokens).over(w)).where("own_").drop("own_", "slice_")
+    rows = cut.withColumn("own_", F.lit(True)).union(halo.withColumn("own_", F.lit(False))).repartition(key, "slice_")
+    # each row stands in its block, and once more, late, in the next; rows without a time are one block
+    twice = rows.withColumn("late_", F.explode(F.when(F.col(at).isNull(), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    block = F.floor(F.col(at) / seconds) if seconds else F.col(at)
+    placed = twice.withColumn("block_", block + F.col("late_").cast("int")).withColumn("from_", F.when(F.col("late_"), F.col(at)).otherwise(F.col(at) - seconds))
+    by = Window.partitionBy("block_", key, "slice_")
+    head, end = (by.orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.col("from_").asc(), F.col("from_").desc()))
+    here, late = F.when(~F.col("late_"), F.col(tokens)), F.when(F.col("late_"), F.col(tokens))
+    summed = placed.withColumn("n_head_", F.count_if(~F.col("late_")).over(head)).withColumn("head_", F.sum(here).over(head))
+    summed = summed.withColumn("n_end_", F.count_if("late_").over(end)).withColumn("end_", F.sum(late).over(end)).where("own_ and not late_")
+    both = F.coalesce(F.col("head_") + F.col("end_"), "head_", "end_").cast(kind)
+    return summed.withColumn("requests", F.col("n_head_") + F.col("n_end_")).withColumn("tokens_in_window", both).select(*df.columns, "requests", "tokens_in_window")
 
 
 def failure_streak(df: DataFrame, key: str, order: Sequence[str], failed: str, width: int = SECONDS_SLICE) -> DataFrame:

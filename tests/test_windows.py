@@ -3,6 +3,7 @@ import random
 from statistics import median
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarrylens.operators import pool as P
@@ -47,6 +48,38 @@ def test_two_levels_agree_with_one_history(spark, width):
             W.range_rate(df, "key", "at", "n", 6, width)
 
 
+def test_a_window_is_not_summed_anew_for_each_row(spark, capsys):
+    """A frame that slides costs the square of a window's rows; running sums do not."""
+    rows = spark.range(40_000).select(F.lit("k").alias("key"), "id", F.floor(F.col("id") / 2).alias("at"), (F.col("id") % 9).alias("n"))
+    out = W.range_rate(rows, "key", "at", "n", 1_000)
+    out.explain("extended")
+    plan = capsys.readouterr().out
+    assert "RangeFrame, unboundedpreceding" in plan and "RangeFrame, -" not in plan
+    got = {x.id: (x.requests, x.tokens_in_window) for x in out.collect()}
+    sums = [0]
+    for i in range(40_000):
+        sums.append(sums[-1] + i % 9)
+    first, last = (lambda i: 2 * max(i // 2 - 1_000, 0)), (lambda i: i | 1)
+    assert got == {i: (last(i) - first(i) + 1, sums[last(i) + 1] - sums[first(i)]) for i in range(40_000)}
+
+
+@pytest.mark.parametrize("kind, seconds, width", [("long", 0, None), ("double", 6, 7), ("decimal(9,2)", 6, None)])
+def test_range_rate_takes_what_a_range_frame_takes(spark, kind, seconds, width):
+    """Null times and tokens, times before zero, huge tokens beside small ones, ties: as Spark's own frame, types too."""
+    r = random.Random(seconds)
+    n = lambda: r.choice([None, None, 1.0, 2.5, 1e17 if kind == "double" else 7.0])
+    rows = [(r.choice(["a", None]), i, r.choice([None, *range(-20, 40)]), n()) for i in range(300)]
+    df = spark.createDataFrame(rows, "key string, id long, at long, n double").withColumn("n", F.col("n").cast(kind))
+    w = Window.partitionBy("key").orderBy("at").rangeBetween(-seconds, 0)
+    want = df.withColumn("requests", F.count("*").over(w)).withColumn("tokens_in_window", F.sum("n").over(w))
+    got = W.range_rate(df, "key", "at", "n", seconds, width)
+    assert got.dtypes == want.dtypes
+    found, meant = ({x.id: (x.requests, x.tokens_in_window) for x in d.collect()} for d in (got, want))
+    if kind == "double":
+        meant = {i: (c, None if v is None else pytest.approx(v, rel=1e-12)) for i, (c, v) in meant.items()}
+    assert found == meant and len(found) == 300
+
+
 @pytest.mark.parametrize("width", [1, 40, 10_000])
 def test_as_of(spark, width):
     r = random.Random(width)
