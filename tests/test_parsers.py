@@ -130,6 +130,10 @@ def test_go_memory_does_not_grow_with_the_batch():
     assert_memory_is_flat("go", 'package a\n\nimport "fmt"\n\n', 'func F%d() {\n\tfmt.Println(g("some words of a line that stands in a string"))\n}\n')
 
 
+def test_php_memory_does_not_grow_with_the_batch():
+    assert_memory_is_flat("php", "<?php\n\n", "function f%d($a) {\n  return 'some words of a line that stands in a string';\n}\n\n")
+
+
 def test_batches_of_long_functions_are_short():
     body = "package a\n" + "".join(f"func F{i}() {{\n\t// {'x' * 400_000}\n}}\n" for i in range(7))
     got = list(P.parsed_batches(iter([pa.record_batch({"path": ["a", None, "b"], "content": [body, body, None]})]), "go"))
